@@ -98,17 +98,18 @@ def expand_frontier(
     has gathered fewer than ``budget`` characters up to that depth; each address is requested
     once per company, under the category of its first link by (src, link_no). A category is
     full exactly when its page sizes sum up to the budget, so a sum replaces the ordered fold.
-    Each round is written to the checkpoint folder, which keeps the plan short and survives
-    lost executors.
+    Page sizes, links and each round are written to the checkpoint folder: text and links are
+    extracted once, the plan stays short, and lost executors cost nothing already written.
     """
-    page_sizes = pages.select(canonical_url(F.col("url")).alias("url"), "chars").groupBy("url").agg(
-        F.min("chars").alias("chars")
-    )
-    edges = links.select(
-        canonical_url(F.col("src")).alias("src"),
-        "link_no",
-        canonical_url(F.col("target")).alias("target"),
-        "category",
+    sizes = pages.select(canonical_url(F.col("url")).alias("url"), "chars")
+    page_sizes = cut_lineage(sizes.groupBy("url").agg(F.min("chars").alias("chars")))
+    edges = cut_lineage(
+        links.select(
+            canonical_url(F.col("src")).alias("src"),
+            "link_no",
+            canonical_url(F.col("target")).alias("target"),
+            "category",
+        )
     )
     domain = F.lit("") if any_domain else url_netloc(F.col("url"))
     asked = seeds.select(
