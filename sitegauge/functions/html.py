@@ -7,6 +7,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .once import let
 from .text import collapse_spaces, strip
 
 # Elements whose whole content is not page text.
@@ -61,8 +62,11 @@ def unescape(text: Column) -> Column:
             .otherwise(F.coalesce(F.try_element_at(names, name), part))
         )
 
-    parts = F.regexp_extract_all(text, F.lit(r"(?s)&#?[A-Za-z0-9]+;|&|[^&]+"), F.lit(0))
-    return F.when(text.contains("&"), F.array_join(F.transform(parts, decode), "")).otherwise(text)
+    def decode_all(whole: Column) -> Column:
+        parts = F.regexp_extract_all(whole, F.lit(r"(?s)&#?[A-Za-z0-9]+;|&|[^&]+"), F.lit(0))
+        return F.when(whole.contains("&"), F.array_join(F.transform(parts, decode), "")).otherwise(whole)
+
+    return let(text, decode_all)
 
 
 def html_text(html: Column) -> Column:

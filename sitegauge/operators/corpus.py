@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import FAILED_CATEGORY
 from ..functions.text import fixed_chunks, strip
-from ..session import spread
 from .ranking import BLOCK_ROWS, first_k, keep_first, running_offset
 
 CHUNK_CHARS = 400
@@ -27,10 +26,8 @@ def chunk_records(
     min_chars: int = MIN_CHUNK_CHARS,
 ) -> DataFrame:
     """One row per fixed-width piece: the kept columns, ``chunk_no`` and ``chunk``."""
-    pieces = spread(records.select(*keep, text), *keep).select(
-        *keep, F.posexplode(fixed_chunks(F.col(text), width)).alias("chunk_no", "chunk")
-    )
-    return pieces.filter(F.length("chunk") >= min_chars) if min_chars > 1 else pieces
+    pieces = records.select(*keep, F.posexplode_outer(fixed_chunks(F.col(text), width)).alias("chunk_no", "chunk"))
+    return pieces.filter(F.length("chunk") >= min_chars)
 
 
 def ordered_concat(

@@ -24,46 +24,88 @@ from ..functions.rules import (
     UniqueRule,
 )
 from ..functions.text import number_or
-from ..session import spread
+from ..functions.once import computed_once
 
-BLOCK_ROWS = 100_000
+BLOCK_ROWS = 1_000
 _ANY_DISTANCE = 1 << 40
 _NONE = -1
 
+# Word lists are tried script by script: one class test skips all words of another script.
+_SCRIPTS = (("katakana", "[ァ-ヿ]"), ("hiragana", "[ぁ-ゟ]"), ("kanji", "[一-\u9fff]"), ("latin", "[A-Za-z]"))
 
-def _number_summary(text: Column, rule: NumberRule) -> Column:
+
+def by_script(pattern: str) -> str:
+    """The same matches as ``pattern``, faster: alternatives grouped by the script of their first
+    character. Words of different scripts never start at one position, so only the order inside a
+    group matters, and that is kept. Anything but a plain word list is returned unchanged."""
+    if not re.fullmatch(r"(?:[^\\.^$*+?{}\[\]()]|\\.)+", pattern):
+        return pattern
+    groups: dict[str, list[str]] = {}
+    for word in pattern.split("|"):
+        script = next((name for name, chars in _SCRIPTS if re.match(chars, word)), None)
+        if script is None:
+            return pattern
+        groups.setdefault(script, []).append(word)
+    arms, starts = [], ""
+    for name, chars in _SCRIPTS:
+        words = groups.get(name)
+        if words:
+            first = "".join(sorted({w[0] for w in words})) if name == "latin" else chars[1:-1]
+            arms.append(f"(?=[{first}])(?:{'|'.join(words)})")
+            starts += first
+    return f"(?=[{starts}])(?:{'|'.join(arms)})"
+
+
+def _reach(rule: NumberRule) -> str:
+    return "*" if rule.max_gap is None else f"{{0,{rule.max_gap}}}"
+
+
+def _number(rule: NumberRule) -> str:
+    return f"({rule.number}){rule.unit}"
+
+
+def _anchored(text: Column, rule: NumberRule) -> Column:
+    """First stretch from an anchor to its number or, failing that, to the end of the record."""
+    # An anchor spelled without ASCII cannot start at an ASCII character.
+    start = "" if re.search(r"[A-Za-z0-9.\\]", rule.anchor) else r"(?=[^\x00-\x7f])"
+    pattern = rf"{start}{rule.anchor}{rule.gap}{_reach(rule)}?(?:{_number(rule)}|\z)"
+    return F.regexp_extract(text, pattern, 0)
+
+
+def _number_summary(text: Column, stretch: Column, rule: NumberRule) -> Column:
     """What one record tells about a number rule.
 
     first  the record's own match
     head   a number that an anchor of an earlier record can reach, ``gap`` characters in
     through  length of the record if a gap may run through all of it, else -1
     tail   characters of gap still allowed after an anchor near the end of the record, else -1
+
+    The optional groups after ``\\A`` make the search succeed at once at the start of the text
+    instead of trying every later position in vain.
     """
-    on_line = rule.max_gap is None
-    reach = "*" if on_line else f"{{0,{rule.max_gap}}}"
-    number = f"({rule.number}){rule.unit}"
-    own = F.regexp_extract(text, f"{rule.anchor}{rule.gap}{reach}?{number}", 1)
-    start = rf"\A({rule.gap}{reach}?){number}"
+    gap, reach = rule.gap, _reach(rule)
+    own = F.regexp_extract(stretch, rf"\A{rule.anchor}{gap}{reach}?{_number(rule)}", 1)
+    start = rf"\A(?:({gap}{reach}?){_number(rule)})?"
     head = F.regexp_extract(text, start, 2)
-    if on_line:
-        gap = F.lit(0)
+    if rule.max_gap is None:
+        skipped = F.lit(0)
         through = F.when(text.contains("\n"), F.lit(_NONE)).otherwise(F.lit(0))
-        open_end = F.when(text.rlike(rf"{rule.anchor}{rule.gap}*\z"), F.lit(_ANY_DISTANCE))
+        allowed = F.lit(_ANY_DISTANCE)
     else:
-        gap = F.length(F.regexp_extract(text, start, 1))
-        through = F.when(text.rlike(rf"\A{rule.gap}{reach}\z"), F.length(text)).otherwise(F.lit(_NONE))
+        skipped = F.length(F.regexp_extract(text, start, 1))
+        whole = F.regexp_extract(text, rf"\A({gap}{{1,{rule.max_gap}}}\z)?", 1)
+        through = F.when((text == "") | (whole != ""), F.length(text)).otherwise(F.lit(_NONE))
         end = F.right(text, F.lit(rule.max_gap + rule.anchor_chars))
-        closing = rf"(?s)\A.*{rule.anchor}({rule.gap}{reach})\z"
-        open_end = F.when(
-            end.rlike(closing), F.lit(rule.max_gap) - F.length(F.regexp_extract(end, closing, 1))
-        )
+        closing = rf"(?s)\A.*{rule.anchor}({gap}{reach})\z"
+        allowed = F.lit(rule.max_gap) - F.length(F.regexp_extract(end, closing, 1))
+    # An own match makes everything after it irrelevant.
+    tail = F.when((stretch != "") & (own == ""), allowed).otherwise(F.lit(_NONE))
     return F.struct(
         F.when(own != "", own).alias("first"),
         F.when(head != "", head).alias("head"),
-        F.when(head != "", gap).otherwise(F.lit(0)).cast("long").alias("gap"),
+        F.when(head != "", skipped).otherwise(F.lit(0)).cast("long").alias("gap"),
         through.cast("long").alias("through"),
-        # An own match makes everything after it irrelevant.
-        F.when(own != "", F.lit(_NONE)).otherwise(F.coalesce(open_end, F.lit(_NONE))).cast("long").alias("tail"),
+        tail.cast("long").alias("tail"),
     )
 
 
@@ -135,7 +177,7 @@ def structural_features(
     _check_additive(unique_rules)
     body = F.coalesce(F.col(text), F.lit(""))
     cat = (F.array_position(F.array(*[F.lit(c) for c in categories]), F.col(category)) - 1).cast("int")
-    known = spread(records.select(company, category, seq, text), company, seq).select(
+    known = records.select(
         F.col(company).alias("_company"),
         F.col(seq).cast("long").alias("_at"),
         F.when(cat >= 0, cat).alias("_cat"),
@@ -144,20 +186,28 @@ def structural_features(
     t = F.col("_text")
     terms = [_distinct_terms(t, i, r) for i, r in enumerate(unique_rules)]
     no_terms = F.array().cast("array<struct<rule:int,term:string>>")
-    numbers = F.array(*[_number_summary(t, r) for r in number_rules]) if number_rules else None
     counts = [f"_k{i}" for i in range(len(count_rules))]
+    stretches = [f"_s{i}" for i in range(len(number_rules))]
+    scanned = computed_once(
+        known,
+        ["_company", "_cat", "_at", "_text"],
+        **{k: F.regexp_count(t, F.lit(by_script(r.pattern))).cast("long") for k, r in zip(counts, count_rules)},
+        **{s: _anchored(t, r) for s, r in zip(stretches, number_rules)},
+        _terms=F.coalesce(F.concat(*terms), no_terms) if terms else no_terms,
+    )
     columns = [
         "_company",
         "_cat",
         F.floor(F.col("_at") / block_rows).alias("_block"),
         F.length(t).cast("long").alias("_chars"),
-        *[F.regexp_count(t, F.lit(r.pattern)).cast("long").alias(k) for r, k in zip(count_rules, counts)],
-        F.coalesce(F.concat(*terms), no_terms).alias("_terms") if terms else no_terms.alias("_terms"),
+        *counts,
+        "_terms",
     ]
     if number_rules:
+        numbers = F.array(*[_number_summary(t, F.col(s), r) for s, r in zip(stretches, number_rules)])
         piece = F.struct(F.col("_cat").alias("cat"), F.col("_at").alias("at"), numbers.alias("numbers"))
         columns.append(F.when(t.isNotNull(), piece).alias("_piece"))
-    rows = known.select(*columns)
+    rows = scanned.select(*columns)
 
     sums = [F.sum(k).alias(k) for k in counts]
     fold = [_fold(F.sort_array(F.collect_list("_piece"))).alias("_piece")] if number_rules else []
@@ -170,26 +220,30 @@ def structural_features(
     )
 
     # One base row per block plus one row per distinct term of it, so that both kinds share the
-    # shuffle and the texts are not read a second time.
+    # shuffles and the texts are not read a second time. Base rows merge in two steps, runs of
+    # ``block_rows`` blocks first, so that no step gathers more than about ``block_rows`` pieces
+    # until few are left.
     marker = F.array(F.struct(F.lit(-1).alias("rule"), F.lit("").alias("term")))
-    rows2 = blocks.withColumn("_u", F.explode(F.concat(marker, F.col("_terms")))).drop("_terms")
+    split = blocks.withColumn("_u", F.explode(F.concat(marker, F.col("_terms"))))
     base = F.col("_u.rule") == -1
+    parted = split.select(
+        "_company",
+        F.col("_u.rule").alias("_rule"),
+        F.col("_u.term").alias("_term"),
+        "_cat",
+        F.when(base, F.floor(F.col("_block") / block_rows)).alias("_run"),
+        *[F.when(base, F.col(c)).alias(c) for c in ("_n", "_chars", *counts)],
+        *([F.when(base, F.col("_piece")).alias("_piece")] if number_rules else []),
+    )
+    runs = parted.groupBy("_company", "_rule", "_term", F.when(F.col("_rule") == -1, F.col("_cat")).alias("_cat"), "_run").agg(
+        F.sum("_n").alias("_n"), F.sum("_chars").alias("_chars"), *sums, *fold
+    )
     per_cat = [
-        agg
+        F.sum(F.when(F.col("_cat") == i, F.col(c))).alias(f"{c[:2]}{i}")
         for i in range(len(categories))
-        for agg in (
-            F.sum(F.when(base & (F.col("_cat") == i), F.col("_n"))).alias(f"_n{i}"),
-            F.sum(F.when(base & (F.col("_cat") == i), F.col("_chars"))).alias(f"_c{i}"),
-        )
+        for c in ("_n", "_chars")
     ]
-    fold2 = (
-        [_fold(F.sort_array(F.collect_list(F.when(base, F.col("_piece"))))).alias("_piece")]
-        if number_rules
-        else []
-    )
-    merged = rows2.groupBy("_company", F.col("_u.rule").alias("_rule"), F.col("_u.term").alias("_term")).agg(
-        *per_cat, *[F.sum(F.when(base, F.col(k))).alias(k) for k in counts], *fold2
-    )
+    merged = runs.groupBy("_company", "_rule", "_term").agg(*per_cat, *sums, *fold)
     cat_columns = [c for i in range(len(categories)) for c in (f"_n{i}", f"_c{i}")]
     whole = merged.groupBy("_company").agg(
         *[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in cat_columns],

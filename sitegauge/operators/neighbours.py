@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..session import cut_lineage
 from .ranking import first_k
 
 BLOCK_POINTS = 2_000
 PIVOT_BYTES = 64 << 20
+_CELL_BUDGET = 4 << 20
 _SLACK = 1e-7
 
 
@@ -37,40 +39,60 @@ class Cells:
     points: DataFrame  # block, id, vec, grp, weight
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row differences: equal inputs give equal results wherever they are computed."""
-    out = np.empty((len(a), len(b)))
-    step = max(1, (8 << 20) // max(1, b.size))
-    for i in range(0, len(a), step):
-        out[i : i + step] = np.sqrt(((a[i : i + step, None, :] - b[None, :, :]) ** 2).sum(axis=2))
-    return out
-
-
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=np.float64)
 
 
+def _squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances by one matrix product, and a bound on their rounding error."""
+    aa, bb = (a * a).sum(axis=1)[:, None], (b * b).sum(axis=1)[None, :]
+    return np.maximum(aa + bb - 2.0 * (a @ b.T), 0.0), 1e-12 * (aa + bb)
+
+
+def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of row pairs; equal inputs give equal results wherever they are computed."""
+    return np.sqrt(((a - b) ** 2).sum(axis=1))
+
+
+def _to_pivots(a: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances to the pivots, accurate to ``_SLACK``."""
+    squares, _ = _squares(a, pivots)
+    return np.sqrt(squares)
+
+
+def _pieces(n: int, width: int) -> Iterator[slice]:
+    step = max(1, _CELL_BUDGET // max(1, width))
+    for i in range(0, n, step):
+        yield slice(i, i + step)
+
+
 def build_cells(points: DataFrame, n_groups: int = 1, block_points: int = BLOCK_POINTS) -> Cells:
-    """``points``: id, vec, grp, weight."""
+    """``points``: id, vec, grp, weight. They are written once, as several passes follow."""
     spark = points.sparkSession
+    points = cut_lineage(points.select("id", "vec", "grp", "weight"), "points")
     head = points.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
     if not head["n"]:
         raise ValueError("no points")
     most = max(1, PIVOT_BYTES // (8 * head["d"]))
-    wanted = min(max(1, int(np.ceil(head["n"] / block_points)), min(64, head["n"] // 16)), most)
+    wanted = min(-(-head["n"] // block_points), most)
     chosen = points.select("vec", F.xxhash64("id").alias("h")).orderBy("h").limit(wanted).toPandas()
     pivots = _matrix(chosen["vec"])
     shared = spark.sparkContext.broadcast(pivots)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if len(b):
-                d = _distances(_matrix(b["vec"]), shared.value)
-                cell = d.argmin(axis=1)
-                yield b.assign(cell=cell.astype("int64"), reach=d[np.arange(len(b)), cell])
+            if not len(b):
+                continue
+            vec = _matrix(b["vec"])
+            cell, reach = np.empty(len(b), "int64"), np.empty(len(b))
+            for part in _pieces(len(b), len(shared.value)):
+                d = _to_pivots(vec[part], shared.value)
+                cell[part] = d.argmin(axis=1)
+                reach[part] = d.min(axis=1)
+            yield b.assign(cell=cell, reach=reach)
 
     schema = "id long, vec array<double>, grp int, weight long, cell long, reach double"
-    placed = points.select("id", "vec", "grp", "weight").mapInPandas(assign, schema)
+    placed = points.mapInPandas(assign, schema)
     stats = placed.groupBy("cell", "grp").agg(
         F.max("reach").alias("reach"), F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n")
     ).toPandas()
@@ -91,12 +113,36 @@ def build_cells(points: DataFrame, n_groups: int = 1, block_points: int = BLOCK_
     return Cells(pivots, radius, counts, first, blocked)
 
 
-def _block_visits(queries: DataFrame, probe, schema: str, cells: Cells, visit, out_schema: str) -> DataFrame:
-    """Send every query to the blocks ``probe`` names and run ``visit`` on each (queries, block)."""
-    sent = queries.mapInPandas(probe, schema)
-    # Blocks visited by many queries are repeated for parts of them.
-    parts = sent.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / (4 * BLOCK_POINTS)).alias("parts"))
-    asked = sent.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("qid"), F.col("parts")))
+def _blocks_of(row: np.ndarray, cell: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All blocks of the visited cells, with the visiting row."""
+    times = first[cell + 1] - first[cell]
+    start = np.repeat(np.cumsum(times) - times, times)
+    return np.repeat(row, times), np.repeat(first[cell], times) + (np.arange(times.sum()) - start)
+
+
+def _packs(row: np.ndarray, block: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
+    """One row per block and at most ``BLOCK_POINTS`` queries, arrays as bytes."""
+    order = np.argsort(block, kind="stable")
+    row, block = row[order], block[order]
+    edges = np.flatnonzero(np.diff(block)) + 1
+    for lo, hi in zip(np.concatenate([[0], edges]), np.concatenate([edges, [len(block)]])):
+        for i in range(lo, hi, BLOCK_POINTS):
+            j = min(i + BLOCK_POINTS, hi)
+            packed = {name: [values[row[i:j]].tobytes()] for name, values in columns.items()}
+            yield pd.DataFrame({"block": [block[i]], "n": [j - i], **packed})
+
+
+def _unpack(packs: pd.Series, dtype: str) -> np.ndarray:
+    return np.frombuffer(b"".join(packs), dtype=dtype)
+
+
+def _block_visits(packs: DataFrame, cells: Cells, visit, out_schema: str) -> DataFrame:
+    """Run ``visit`` on the query packs of every block and the block's points.
+
+    Blocks visited by many queries are repeated for parts of them, so both sides stay bounded.
+    """
+    parts = packs.groupBy("block").agg(F.ceil(F.sum("n") / (8 * BLOCK_POINTS)).alias("parts"))
+    asked = packs.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("qid"), F.col("parts")))
     copies = parts.select(F.col("block").alias("at"), F.col("parts").alias("copies"))
     held = cells.points.join(copies, F.col("block") == F.col("at")).select(
         "id",
@@ -109,7 +155,9 @@ def _block_visits(queries: DataFrame, probe, schema: str, cells: Cells, visit, o
     return asked.groupBy("block", "part").cogroup(held.groupBy("at", "copy")).applyInPandas(visit, out_schema)
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int, n_groups: int = 1) -> DataFrame:
+def nearest(
+    queries: DataFrame, points: DataFrame, k: int, n_groups: int = 1, block_points: int = BLOCK_POINTS
+) -> DataFrame:
     """``id, neighbour, distance, rank`` of the ``k`` nearest points; equal distances by id.
 
     Both inputs have ``id, vec, grp``. With several groups (folds) a query ignores the points
@@ -119,75 +167,64 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, n_groups: int = 1) ->
     vec = A.doubles(F.col("vec"))
     # A list needs at most k points of one vector and group, plus the query itself.
     some = first_k(points.select("id", vec.alias("vec"), "grp"), ["vec", "grp"], ["id"], k + 1)
-    cells = build_cells(some.select("id", "vec", "grp", F.lit(1).cast("long").alias("weight")), n_groups)
-    shared = spark.sparkContext.broadcast(
-        (cells.pivots, cells.radius, cells.counts, cells.first_block)
-    )
+    weighted = some.select("id", "vec", "grp", F.lit(1).cast("long").alias("weight"))
+    cells = build_cells(weighted, n_groups, block_points)
+    shared = spark.sparkContext.broadcast((cells.pivots, cells.radius, cells.counts, cells.first_block))
     folds = n_groups > 1
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pivots, radius, counts, first = shared.value
         for b in batches:
-            if not len(b):
-                continue
-            d = _distances(_matrix(b["vec"]), pivots)
-            reach = d + radius
-            order = np.argsort(reach, axis=1)
-            near = counts.sum(axis=1)[None, :] - (counts[:, b["grp"]].T if folds else 0)
-            seen = np.take_along_axis(near * np.ones_like(d), order, 1).cumsum(axis=1)
-            enough = seen >= (k if folds else k + 1)
-            at = np.where(enough.any(axis=1), enough.argmax(axis=1), d.shape[1] - 1)
-            limit = np.take_along_axis(reach, np.take_along_axis(order, at[:, None], 1), 1)[:, 0]
-            limit = np.where(enough.any(axis=1), limit, np.inf)
-            row, cell = np.nonzero(d - radius <= limit[:, None] * (1 + _SLACK) + _SLACK)
-            times = first[cell + 1] - first[cell]
-            row, cell = np.repeat(row, times), np.repeat(cell, times)
-            start = np.repeat(np.cumsum(times) - times, times)
-            block = first[cell] + (np.arange(len(row)) - start)
-            yield pd.DataFrame(
-                {
-                    "block": block,
-                    "qid": b["id"].to_numpy()[row],
-                    "qvec": b["vec"].to_numpy()[row],
-                    "qgrp": b["grp"].to_numpy()[row],
-                }
-            )
+            vec, grp = _matrix(b["vec"]), b["grp"].to_numpy()
+            ids = b["id"].to_numpy(dtype="int64")
+            rows, blocks = [], []
+            for part in _pieces(len(b), len(pivots)):
+                d = _to_pivots(vec[part], pivots)
+                reach = d + radius
+                order = np.argsort(reach, axis=1)
+                near = counts.sum(axis=1)[None, :] - (counts[:, grp[part]].T if folds else np.zeros((len(d), 1)))
+                enough = np.take_along_axis(near, order, 1).cumsum(axis=1) >= (k if folds else k + 1)
+                at = np.take_along_axis(order, enough.argmax(axis=1)[:, None], 1)
+                limit = np.where(enough.any(axis=1), np.take_along_axis(reach, at, 1)[:, 0], np.inf)
+                row, cell = np.nonzero(d - radius <= limit[:, None] * (1 + _SLACK) + _SLACK)
+                row, block = _blocks_of(row + part.start, cell, first)
+                rows.append(row)
+                blocks.append(block)
+            if rows:
+                columns = {"qid": ids, "qvec": vec, "qgrp": grp.astype("int32")}
+                yield from _packs(np.concatenate(rows), np.concatenate(blocks), columns)
 
     def visit(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        columns = ["id", "neighbour", "distance"]
-        if not len(asked) or not len(held):
-            return pd.DataFrame({c: [] for c in columns})
-        held = held.sort_values("id")
-        ids, grp = held["id"].to_numpy(), held["grp"].to_numpy()
-        d = _distances(_matrix(asked["qvec"]), _matrix(held["vec"]))
-        if folds:
-            d[asked["qgrp"].to_numpy()[:, None] == grp[None, :]] = np.inf
-        else:
-            d[asked["qid"].to_numpy()[:, None] == ids[None, :]] = np.inf
-        best = np.argsort(d, axis=1, kind="stable")[:, :k]
-        dist = np.take_along_axis(d, best, 1)
-        out = pd.DataFrame(
-            {
-                "id": np.repeat(asked["qid"].to_numpy(), best.shape[1]),
-                "neighbour": ids[best].ravel(),
-                "distance": dist.ravel(),
-            }
-        )
-        return out[np.isfinite(out["distance"])]
+        found = {"id": [], "neighbour": [], "distance": []}
+        if len(asked) and len(held):
+            ids, there = held["id"].to_numpy(), _matrix(held["vec"])
+            grp = held["grp"].to_numpy()
+            qid, qgrp = _unpack(asked["qid"], "int64"), _unpack(asked["qgrp"], "int32")
+            here = _unpack(asked["qvec"], "float64").reshape(len(qid), -1)
+            for part in _pieces(len(qid), len(ids)):
+                d, error = _squares(here[part], there)
+                own = (qgrp[part, None] == grp[None, :]) if folds else (qid[part, None] == ids[None, :])
+                d[own] = np.inf
+                # Everything that can be among the k nearest despite rounding, then exactly.
+                kth = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if d.shape[1] > k else np.full((len(d), 1), np.inf)
+                row, col = np.nonzero((d <= kth + 4 * error.max()) & np.isfinite(d))
+                dist = _exact(here[part][row], there[col])
+                order = np.lexsort((ids[col], dist, row))
+                row, col, dist = row[order], col[order], dist[order]
+                start = np.searchsorted(row, row, side="left")
+                best = np.arange(len(row)) - start < k
+                found["id"].append(qid[part][row[best]])
+                found["neighbour"].append(ids[col[best]])
+                found["distance"].append(dist[best])
+        return pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in found.items()})
 
     asked = queries.select("id", vec.alias("vec"), F.col("grp").cast("int").alias("grp"))
-    found = _block_visits(
-        asked,
-        probe,
-        "block long, qid long, qvec array<double>, qgrp int",
-        cells,
-        visit,
-        "id long, neighbour long, distance double",
-    )
+    packs = asked.mapInPandas(probe, "block long, n long, qid binary, qvec binary, qgrp binary")
+    found = _block_visits(packs, cells, visit, "id long, neighbour long, distance double")
     return first_k(found, ["id"], ["distance", "neighbour"], k, out="rank", salts=1)
 
 
-def neighbour_ranks(pairs: DataFrame, points: DataFrame) -> DataFrame:
+def neighbour_ranks(pairs: DataFrame, points: DataFrame, block_points: int = BLOCK_POINTS) -> DataFrame:
     """``id, neighbour, rank``: 1 + number of points strictly closer to ``id`` than ``neighbour``.
 
     ``pairs``: id, vec, neighbour, neighbour_vec. Cells wholly closer are counted from their
@@ -196,10 +233,10 @@ def neighbour_ranks(pairs: DataFrame, points: DataFrame) -> DataFrame:
     spark = points.sparkSession
     vec = A.doubles(F.col("vec"))
     distinct = points.groupBy(vec.alias("vec")).agg(F.count(F.lit(1)).alias("weight"), F.min("id").alias("id"))
-    cells = build_cells(distinct.select("id", "vec", F.lit(0).alias("grp"), "weight"))
-    shared = spark.sparkContext.broadcast(
-        (cells.pivots, cells.radius, cells.counts[:, 0], cells.first_block)
-    )
+    cells = build_cells(distinct.select("id", "vec", F.lit(0).alias("grp"), "weight"), 1, block_points)
+    shared = spark.sparkContext.broadcast((cells.pivots, cells.radius, cells.counts[:, 0], cells.first_block))
+    # A block that stands for no block: it carries the counts known without a visit.
+    nowhere = -1
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pivots, radius, counts, first = shared.value
@@ -207,74 +244,77 @@ def neighbour_ranks(pairs: DataFrame, points: DataFrame) -> DataFrame:
             if not len(b):
                 continue
             here, there = _matrix(b["vec"]), _matrix(b["neighbour_vec"])
-            limit = np.sqrt(((here - there) ** 2).sum(axis=1))
-            d = _distances(here, pivots)
-            pad = _SLACK * (1 + limit[:, None])
-            inside = d + radius < limit[:, None] - pad
-            edge = ~inside & (d - radius <= limit[:, None] + pad)
-            row, cell = np.nonzero(edge)
-            times = first[cell + 1] - first[cell]
-            row, cell = np.repeat(row, times), np.repeat(cell, times)
-            start = np.repeat(np.cumsum(times) - times, times)
-            block = first[cell] + (np.arange(len(row)) - start)
-            closer = (inside * np.where(counts > 0, counts, 0)[None, :]).sum(axis=1)
-            for blocks, rows, known in (
-                (np.full(len(b), -1), np.arange(len(b)), closer),
-                (block, row, np.zeros(len(row))),
-            ):
-                yield pd.DataFrame(
-                    {
-                        "block": blocks,
-                        "qid": b["id"].to_numpy()[rows],
-                        "neighbour": b["neighbour"].to_numpy()[rows],
-                        "qvec": b["vec"].to_numpy()[rows],
-                        "far": limit[rows],
-                        "known": known.astype("int64"),
-                    }
-                )
+            far = _exact(here, there)
+            known = np.zeros(len(b), "int64")
+            rows, blocks = [np.arange(len(b))], [np.full(len(b), nowhere)]
+            for part in _pieces(len(b), len(pivots)):
+                d, limit = _to_pivots(here[part], pivots), far[part, None]
+                pad = _SLACK * (1 + limit)
+                inside = (d + radius < limit - pad) & np.isfinite(radius)
+                known[part] = (inside * counts[None, :]).sum(axis=1)
+                row, cell = np.nonzero(~inside & (d - radius <= limit + pad))
+                row, block = _blocks_of(row + part.start, cell, first)
+                rows.append(row)
+                blocks.append(block)
+            columns = {
+                "qid": b["id"].to_numpy(dtype="int64"),
+                "other": b["neighbour"].to_numpy(dtype="int64"),
+                "qvec": here,
+                "far": far,
+                "known": known,
+            }
+            yield from _packs(np.concatenate(rows), np.concatenate(blocks), columns)
 
     def visit(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(asked):
             return pd.DataFrame({"id": [], "neighbour": [], "closer": []})
-        closer = asked["known"].to_numpy().copy()
+        qid, other = _unpack(asked["qid"], "int64"), _unpack(asked["other"], "int64")
+        if asked["block"].iloc[0] == nowhere:
+            closer = _unpack(asked["known"], "int64")
+        else:
+            closer = np.zeros(len(qid), "int64")
         if len(held):
-            d = _distances(_matrix(asked["qvec"]), _matrix(held["vec"]))
-            closer = closer + ((d < asked["far"].to_numpy()[:, None]) * held["weight"].to_numpy()[None, :]).sum(axis=1)
-        return pd.DataFrame({"id": asked["qid"], "neighbour": asked["neighbour"], "closer": closer.astype("int64")})
+            here = _unpack(asked["qvec"], "float64").reshape(len(qid), -1)
+            far, there, weight = _unpack(asked["far"], "float64"), _matrix(held["vec"]), held["weight"].to_numpy()
+            for part in _pieces(len(qid), len(there)):
+                d, error = _squares(here[part], there)
+                limit = far[part, None] ** 2
+                margin = 4 * error + 1e-12 * limit
+                closer[part] = ((d < limit - margin) * weight[None, :]).sum(axis=1)
+                # Too close to call from the matrix product: decide exactly.
+                row, col = np.nonzero(np.abs(d - limit) <= margin)
+                sure = _exact(here[part][row], there[col]) < far[part][row]
+                np.add.at(closer, part.start + row[sure], weight[col[sure]])
+        return pd.DataFrame({"id": qid, "neighbour": other, "closer": closer})
 
     asked = pairs.select("id", vec.alias("vec"), "neighbour", A.doubles(F.col("neighbour_vec")).alias("neighbour_vec"))
-    counted = _block_visits(
-        asked,
-        probe,
-        "block long, qid long, neighbour long, qvec array<double>, far double, known long",
-        cells,
-        visit,
-        "id long, neighbour long, closer long",
-    )
-    apart = pairs.select(
-        "id", "neighbour", (A.squared_distance(vec, A.doubles(F.col("neighbour_vec"))) > 0).cast("int").alias("self")
+    packs = asked.mapInPandas(
+        probe, "block long, n long, qid binary, other binary, qvec binary, far binary, known binary"
     )
+    counted = _block_visits(packs, cells, visit, "id long, neighbour long, closer long")
     total = counted.groupBy("id", "neighbour").agg(F.sum("closer").alias("closer"))
+    apart = A.squared_distance(vec, A.doubles(F.col("neighbour_vec"))) > 0
+    own = pairs.select("id", "neighbour", apart.cast("int").alias("own"))
     # The point itself is closer than any neighbour at a positive distance.
-    return total.join(apart, ["id", "neighbour"]).select(
-        "id", "neighbour", (F.col("closer") - F.col("self") + 1).alias("rank")
+    return total.join(own, ["id", "neighbour"]).select(
+        "id", "neighbour", (F.col("closer") - F.col("own") + 1).alias("rank")
     )
 
 
-def knn_predictions(points: DataFrame, k: int = 5, n_folds: int = 5) -> DataFrame:
+def knn_predictions(points: DataFrame, k: int = 5, n_folds: int = 5, block_points: int = BLOCK_POINTS) -> DataFrame:
     """Out-of-fold majority vote of the ``k`` nearest: ``id, label, fold, pred``.
 
     ``points``: id, vec, label, fold. Equal votes go to the lowest label.
     """
     spots = points.select("id", "vec", F.col("fold").alias("grp"))
-    found = nearest(spots, spots, k, n_groups=n_folds)
+    found = nearest(spots, spots, k, n_folds, block_points)
     labels = points.select(F.col("id").alias("neighbour"), F.col("label").alias("vote"))
     votes = found.join(labels, "neighbour").groupBy("id", "vote").agg(F.count(F.lit(1)).alias("n"))
     winner = votes.groupBy("id").agg(F.max_by("vote", F.struct("n", -F.col("vote"))).alias("pred"))
     return points.select("id", "label", "fold").join(winner, "id")
 
 
-def trustworthiness(points: DataFrame, k: int = 5) -> DataFrame:
+def trustworthiness(points: DataFrame, k: int = 5, block_points: int = BLOCK_POINTS) -> DataFrame:
     """How far the neighbours in a map are neighbours in the original space, 0 to 1.
 
     ``points``: id, high, low. Each map neighbour outside the ``k`` nearest originals costs its
@@ -283,12 +323,12 @@ def trustworthiness(points: DataFrame, k: int = 5) -> DataFrame:
     low = points.select("id", F.col("low").alias("vec"), F.lit(0).alias("grp"))
     high = points.select("id", F.col("high").alias("vec"))
     pairs = (
-        nearest(low, low, k)
+        nearest(low, low, k, 1, block_points)
         .select("id", "neighbour")
         .join(high, "id")
         .join(high.select(F.col("id").alias("neighbour"), F.col("vec").alias("neighbour_vec")), "neighbour")
     )
-    ranks = neighbour_ranks(pairs, high)
+    ranks = neighbour_ranks(pairs, high, block_points)
     cost = F.sum(F.greatest(F.col("rank") - k, F.lit(0)))
     n = points.agg(F.count(F.lit(1)).alias("n")).scalar()
     scale = 2.0 / (n * k * (2 * n - 3 * k - 1))

@@ -7,15 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import urls as U
+from ..functions.once import computed_once
 from ..functions.rules import LINK_RULES, LinkRule, link_category
-from ..session import spread
 
 
 def page_texts(pages: DataFrame, min_chars: int | None = 50) -> DataFrame:
     """``page_id, url, text``; pages whose text has at most ``min_chars`` characters are dropped."""
-    out = spread(pages.select("page_id", "url", "html"), "page_id").select(
-        "page_id", "url", H.html_text(F.col("html")).alias("text")
-    )
+    out = computed_once(pages, ["page_id", "url"], text=H.html_text(F.col("html")))
     return out if min_chars is None else out.filter(F.length("text") > min_chars)
 
 
@@ -24,21 +22,16 @@ def page_links(pages: DataFrame) -> DataFrame:
 
     Links without address and links to files are skipped; ``target`` is absolute.
     """
-    found = spread(pages.select("page_id", "url", "html"), "page_id").select(
-        "page_id", "url", F.posexplode(H.anchors(F.col("html"))).alias("link_no", "anchor")
-    )
-    return (
-        found.select(
-            "page_id",
-            "url",
-            "link_no",
-            H.anchor_href(F.col("anchor")).alias("href"),
-            H.anchor_text(F.col("anchor")).alias("link_text"),
-        )
-        .filter(F.col("href") != "")
-        .filter(~U.is_file_link(F.col("href")))
-        .withColumn("target", U.resolve_url(F.col("url"), F.col("href")))
+    found = pages.select("page_id", "url", F.posexplode_outer(H.anchors(F.col("html"))).alias("link_no", "anchor"))
+    parts = computed_once(
+        found.filter(F.col("anchor").isNotNull()),
+        ["page_id", "url", "link_no"],
+        href=H.anchor_href(F.col("anchor")),
+        link_text=H.anchor_text(F.col("anchor")),
     )
+    links = parts.filter((F.col("href") != "") & ~U.is_file_link(F.col("href")))
+    keep = ["page_id", "url", "link_no", "href", "link_text"]
+    return computed_once(links, keep, target=U.resolve_url(F.col("url"), F.col("href")))
 
 
 def same_domain(links: DataFrame, domain: str = "allowed_domain") -> DataFrame:
@@ -49,7 +42,7 @@ def same_domain(links: DataFrame, domain: str = "allowed_domain") -> DataFrame:
 def categorise_links(links: DataFrame, rules: tuple[LinkRule, ...] = LINK_RULES) -> DataFrame:
     """Add ``category`` and keep links that fall into one."""
     category = link_category(F.col("target"), F.col("link_text"), rules)
-    return links.withColumn("category", category).filter(F.col("category").isNotNull())
+    return computed_once(links, links.columns, category=category).filter(F.col("category").isNotNull())
 
 
 def startup_links(
@@ -78,12 +71,6 @@ def startup_details(
     """``company_name, url, revenue_class`` from detail pages that give both name and address."""
     html = F.col("html")
     name = F.trim(F.replace(H.page_title(html), F.lit(title_suffix), F.lit("")))
-    return (
-        detail_pages.select(
-            "page_id",
-            name.alias("company_name"),
-            H.first_link_in(html, css_class, tag).alias("url"),
-        )
-        .filter((F.col("company_name") != "") & (F.col("url") != ""))
-        .withColumn("revenue_class", F.lit(label))
-    )
+    parts = computed_once(detail_pages, ["page_id"], company_name=name, url=H.first_link_in(html, css_class, tag))
+    named = parts.filter((F.col("company_name") != "") & (F.col("url") != ""))
+    return named.withColumn("revenue_class", F.lit(label))

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import WORD_CHARS
-from ..session import spread
 
 TOKEN = rf"(?s)[{WORD_CHARS}]{{2,}}"
 MAX_FEATURES = 500
@@ -43,7 +42,7 @@ def tokenizer_udf(make_tokenizer: Callable[[], Callable[[str], list[str]]], wind
 def term_counts(docs: DataFrame, key: str, text: str, tokens: Column | None = None) -> DataFrame:
     """``key, term, tf`` for all texts of a key; counts are combined before the shuffle."""
     words = regex_tokens(F.coalesce(F.col(text), F.lit(""))) if tokens is None else tokens
-    rows = spread(docs, key, text).select(key, F.explode(words).alias("term"))
+    rows = docs.select(key, F.explode_outer(words).alias("term")).filter(F.col("term").isNotNull())
     return rows.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

@@ -127,11 +127,7 @@ def attention_pool(
     pooled = F.aggregate(
         F.slice(weighted, 2, max_chunks), F.get(weighted, 0), lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     )
-    return page_size(probs.withColumn(vector, pooled), keys, vector)
-
-
-def page_size(pages: DataFrame, keys: list[str], vector: str) -> DataFrame:
-    return pages.select(*keys, F.size("c").alias("n_chunks"), vector)
+    return probs.select(*keys, F.size("c").alias("n_chunks"), pooled.alias(vector))
 
 
 def padded_pages(

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
+
 Run = Callable[[SparkSession, str], DataFrame]
 
 
@@ -30,5 +32,10 @@ def query(name: str, sql: str | None = None) -> Callable[[Run], Run]:
     return add
 
 
+# Tables with long texts, and the key they are spread by when the scan has too few splits.
+TEXT_TABLES = {"pages": "page_id", "documents": "doc_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows, TEXT_TABLES[name]) if name in TEXT_TABLES else rows

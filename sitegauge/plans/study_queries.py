@@ -189,7 +189,7 @@ def train_classifier(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
     split = splits.split_companies(rows, "vec_id", by="label")
     train, held = split.filter(~F.col("is_test")), split.filter("is_test")
-    model, _ = learn.fit_best(train, held, "embedding", learn.logistic_grid())
+    model, _ = learn.fit_best(train, held, "embedding", learn.logistic_grid(max_iter=20))
     scored = learn.classify(held, "embedding", model)
     return M.rounded(M.classification_report(scored, "label", "pred"), 4, "precision", "recall", "f1")
 

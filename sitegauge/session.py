@@ -48,14 +48,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/sitegauge/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives lost executors, unlike a local one."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write the rows as a table below the shared folder and read them back.
+
+    Like a reliable checkpoint it survives lost executors; being columnar with known size, it
+    also lets later joins prune columns and pick their strategy.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
-    """Repartition by key only when the scan has fewer splits than there are cores.
+    """Repartition a raw scan by key, only when it has fewer splits than there are cores.
 
     Large inputs have many more splits than cores and pass through unchanged, so no
     shuffle of raw text is added at scale; a single small file is spread out before

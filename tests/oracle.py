@@ -5,10 +5,14 @@ from __future__ import annotations
 import glob
 import math
 import os
+import time
 
 import duckdb
 
 
+sqltime: list[float] = []
+
+
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for path in glob.glob(f"{sf_dir}/*.parquet"):
@@ -33,8 +37,10 @@ def rows_of(columns, rows):
 
 
 def differences(spark_df, con, sql) -> list[str]:
+    began = time.time()
     result = con.execute(sql)
     want_cols, want = rows_of([d[0] for d in result.description], result.fetchall())
+    sqltime.append(time.time() - began)
     got_cols, got = rows_of(spark_df.columns, [tuple(r) for r in spark_df.collect()])
     if want_cols != got_cols:
         return [f"columns {got_cols} instead of {want_cols}"]
