@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +29,6 @@ def tokenizer_udf(make_tokenizer: Callable[[], Callable[[str], list[str]]], wind
     Texts are lower-cased and handed over in windows of ``window`` characters.
     """
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
     def tokenize(batches):
         split = make_tokenizer()
         for texts in batches:
@@ -35,8 +36,8 @@ def tokenizer_udf(make_tokenizer: Callable[[], Callable[[str], list[str]]], wind
                 lambda t: [w for i in range(0, len(t or ""), window) for w in split(t.lower()[i : i + window])]
             )
 
-    tokenize.__annotations__ = {}
-    return tokenize
+    tokenize.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(tokenize, T.ArrayType(T.StringType()))
 
 
 def term_counts(docs: DataFrame, key: str, text: str, tokens: Column | None = None) -> DataFrame:
