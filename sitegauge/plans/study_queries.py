@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
@@ -125,62 +126,94 @@ def group_study(spark, sf_dir):
 HASH_SIZE = 16
 
 
-@query(
-    "batch_embed",
-    rf"""WITH c AS (SELECT source, lang, doc_id, i, 'passage: ' || substring(text, (i * 400 + 1)::BIGINT, 400) AS t
-                    FROM documents, unnest(range(0, (length(text) + 399) // 400)) AS r(i)),
-        w AS (SELECT source, lang, doc_id, i, unnest(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}_]{{2,}}')) AS word FROM c),
-        b AS (SELECT source, lang, doc_id, i, ('0x' || substring(md5(word), 1, 7))::BIGINT % {HASH_SIZE} AS dim, count(*) AS n FROM w GROUP BY ALL),
-        u AS (SELECT source, lang, doc_id, i, dim, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id, i)) AS x FROM b),
-        k AS (SELECT source, lang, count(*) AS chunks FROM c GROUP BY ALL),
-        m AS (SELECT source, lang, dim, sum(x) AS x FROM u GROUP BY ALL),
-        g AS (SELECT source, lang, chunks, dim FROM k, (SELECT unnest(range({HASH_SIZE})) AS dim))
-        SELECT source, lang, dim::INT AS dim, round(coalesce(x, 0) / chunks, 6) + 0.0 AS x FROM g LEFT JOIN m USING (source, lang, dim)""",
-)
+EMBED_SQL = rf"""
+c AS (SELECT source, lang, doc_id, i, 'passage: ' || substring(text, (i * 400 + 1)::BIGINT, 400) AS t
+      FROM documents, unnest(range(0, (length(text) + 399) // 400)) AS r(i)),
+w AS (SELECT source, lang, doc_id, i, unnest(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}_]{{2,}}')) AS word FROM c),
+b AS (SELECT source, lang, doc_id, i, ('0x' || substring(md5(word), 1, 7))::BIGINT % {HASH_SIZE} AS dim, count(*) AS n FROM w GROUP BY ALL),
+u AS (SELECT source, lang, doc_id, i, dim, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id, i)) AS x FROM b),
+chunks AS (SELECT source, lang, count(*) AS chunks FROM c GROUP BY ALL),
+m AS (SELECT source, lang, dim, sum(x) AS x FROM u GROUP BY ALL),
+g AS (SELECT source, lang, chunks, dim FROM chunks, (SELECT unnest(range({HASH_SIZE})) AS dim)),
+pooled AS (SELECT source, lang, dim::INT AS dim, coalesce(x, 0) / chunks AS x FROM g LEFT JOIN m USING (source, lang, dim))
+"""
+
+
+@query("batch_embed", f"WITH {EMBED_SQL} SELECT source, lang, dim, round(x, 6) + 0.0 AS x FROM pooled")
 def batch_embed(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("source", "lang", "text")
     pooled = vectors.embed_records(docs, "source", "lang", "text", vectors.hashing_encoder(HASH_SIZE), HASH_SIZE)
     return M.rounded(pooled.select("source", "lang", F.posexplode("vector").alias("dim", "x")), 6, "x")
 
 
+def _weights(size: int) -> dict:
+    """Small layers, so that the SQL can spell the network out."""
+    return vectors.seeded_weights(size, len(CATEGORY_IDS), len(REVENUE_IDS), embed_size=4, hidden=6)
+
+
+def _fusion_sql(size: int, vector: str, category_id: str) -> str:
+    """List of class probabilities of the seeded network as a SQL expression over two columns."""
+    w = _weights(size)
+    category = np.maximum(w["cat_e"] @ w["cat_w"].T + w["cat_b"], 0.0)
+    fused = [
+        f"greatest(list_dot_product({vector}, {row.tolist()}::DOUBLE[]) + {float(b)!r}, 0)"
+        for row, b in zip(w["text_w"], w["text_b"])
+    ] + [f"({column.tolist()}::DOUBLE[])[{category_id} + 1]" for column in category.T]
+    logits = [
+        f"list_dot_product([{', '.join(fused)}], {row.tolist()}::DOUBLE[]) + {float(b)!r}"
+        for row, b in zip(w["out_w"], w["out_b"])
+    ]
+    return f"list_transform([{', '.join(logits)}], lambda z: exp(z))"
+
+
 def _page_vectors(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     names = F.array(*[F.lit(c) for c in sorted(CATEGORY_IDS)])
     category = F.get(names, (F.col("vec_id") % 8).cast("int"))
-    return rows.select(
-        "vec_id",
-        F.floor(F.col("vec_id") / 5).alias("company"),
-        category.alias("category"),
-        A.doubles(F.col("embedding")).alias("vector"),
-    ).withColumn("category_id", encode_with(F.col("category"), CATEGORY_IDS))
+    return rows.select("vec_id", category.alias("category"), A.doubles(F.col("embedding")).alias("vector")).withColumn(
+        "category_id", encode_with(F.col("category"), CATEGORY_IDS)
+    )
 
 
-@query("fusion_score")
+@query(
+    "fusion_score",
+    f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v, vec_id % 8 AS k FROM embeddings),
+        e AS (SELECT vec_id, {_fusion_sql(SIZE, 'v', 'k')} AS e FROM v),
+        p AS (SELECT vec_id, unnest(range(5)) AS class_id, unnest(e) / list_sum(e) AS p FROM e)
+        SELECT vec_id, class_id::INT AS class_id, round(p, 6) AS p FROM p""",
+)
 def fusion_score(spark, sf_dir):
     """Class probabilities per page from the seeded fusion classifier."""
-    weights = vectors.seeded_weights(SIZE, len(CATEGORY_IDS), len(REVENUE_IDS))
-    scored = vectors.score_pages(_page_vectors(spark, sf_dir), "vector", "category_id", weights)
+    scored = vectors.score_pages(_page_vectors(spark, sf_dir), "vector", "category_id", _weights(SIZE))
     return scored.select("vec_id", F.posexplode("probs").alias("class_id", "p")).withColumn("p", F.round("p", 6))
 
 
-@query("company_score")
+@query(
+    "company_score",
+    f"""WITH {EMBED_SQL},
+        pages AS (SELECT source, lang, list(x ORDER BY dim) AS v, CASE lang WHEN 'en' THEN 7 WHEN 'fr' THEN 0 ELSE 3 END AS k
+                  FROM pooled WHERE lang IN ('en', 'fr', 'de') GROUP BY source, lang),
+        e AS (SELECT source, {_fusion_sql(HASH_SIZE, 'v', 'k')} AS e FROM pages),
+        p AS (SELECT source, list_transform(e, lambda x: x / list_sum(e)) AS p FROM e),
+        s AS (SELECT source, count(*) AS n_pages, [avg(p[1]), avg(p[2]), avg(p[3]), avg(p[4]), avg(p[5])] AS p FROM p GROUP BY source)
+        SELECT source AS company, n_pages, ['A', 'B', 'C', 'D', 'S'][list_position(p, list_max(p))] AS estimated_class,
+               round(list_max(p), 4) AS confidence, round(p[5], 4) AS p_s, 'ok' AS status FROM s""",
+)
 def company_score(spark, sf_dir):
-    """Documents to chunks, vectors, pages, fusion classifier and company estimate; companies
-    whose pages are unusable keep a row with a status."""
+    """Documents to chunks, vectors, pages, fusion classifier and company estimate. Spanish pages
+    have no known category and are skipped; a company without usable page would keep a row."""
     docs = table(spark, sf_dir, "documents")
-    routed = docs.select(
-        F.col("source").alias("company"),
-        F.when(F.col("lang") == "en", "top").when(F.col("lang") == "fr", "about").when(F.col("lang") == "de", "ir").alias("category"),
-        "text",
-    )
+    category = F.when(F.col("lang") == "en", "top").when(F.col("lang") == "fr", "about").when(F.col("lang") == "de", "ir")
+    routed = docs.select(F.col("source").alias("company"), category.alias("category"), "text")
     pages = vectors.usable_pages(routed, "text", "category")
     encoder = vectors.hashing_encoder(HASH_SIZE)
     pooled = vectors.embed_records(pages, "company", "category", "text", encoder, HASH_SIZE)
     ready = pooled.withColumn("category_id", encode_with(F.col("category"), CATEGORY_IDS))
-    weights = vectors.seeded_weights(HASH_SIZE, len(CATEGORY_IDS), len(REVENUE_IDS))
-    scored = vectors.score_pages(ready, "vector", "category_id", weights)
+    scored = vectors.score_pages(ready, "vector", "category_id", _weights(HASH_SIZE))
     out = vectors.company_scores(scored, "company", "probs", REVENUE_IDS, companies=routed)
-    return out.withColumn("class_probabilities", F.to_json("class_probabilities"))
+    return out.select(
+        "company", "n_pages", "estimated_class", "confidence", F.col("class_probabilities")["S"].alias("p_s"), "status"
+    )
 
 
 @query("train_classifier")

@@ -59,6 +59,10 @@ def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# More parts than this bring nothing to an input that fits a few splits.
+MOST_SPREAD = 200
+
+
 def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
     """Repartition a raw scan by key, only when it has fewer splits than there are cores.
 
@@ -66,7 +70,7 @@ def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
     shuffle of raw text is added at scale; a single small file is spread out before
     CPU-heavy expressions.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, MOST_SPREAD)
+    if df.rdd.getNumPartitions() >= wanted:
         return df
-    return df.repartition(cores, *[F.col(k) if isinstance(k, str) else k for k in keys])
+    return df.repartition(wanted, *[F.col(k) if isinstance(k, str) else k for k in keys])
