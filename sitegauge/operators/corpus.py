@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.rules import FAILED_CATEGORY
@@ -44,6 +45,51 @@ def ordered_concat(
     exceeds ``part_chars``, so a group of any size never meets in one task. ``order`` is a
     unique integer.
     """
+    pieces = _placed_pieces(records, keys, order, text, block_rows)
+    return _cut_and_join(pieces, keys, part_chars)
+
+
+def category_order_concat(
+    records: DataFrame,
+    company: str,
+    category: str,
+    order: str,
+    text: str,
+    categories: tuple[str, ...],
+    part_chars: int = 1 << 20,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Like ``ordered_concat`` per company, but category by category in the given order.
+
+    Every category takes part, so absent ones leave their separating space. Records of other
+    categories are left out, companies that have no others keep the bare separators.
+    """
+    number = (F.array_position(F.array(*[F.lit(c) for c in categories]), F.col(category)) - 1).cast("int")
+    known = records.select(company, order, text, number.alias("_no"))
+    chosen = known.filter(F.col("_no") >= 0)
+    pieces = _placed_pieces(chosen, [company, "_no"], order, text, block_rows)
+    # Lengths come from the records, so the texts are shuffled for the pieces only.
+    length = F.length(F.coalesce(F.col(text), F.lit("")))
+    used = chosen.groupBy(company, "_no").agg((F.sum(length) + F.count(F.lit(1)) - 1).alias("_chars"))
+    grid = records.select(company).distinct().withColumn("_no", F.explode(F.sequence(F.lit(0), F.lit(len(categories) - 1))))
+    # One row per company and category: a window over a handful of rows.
+    ahead = W.partitionBy(company).orderBy("_no").rowsBetween(W.unboundedPreceding, -1)
+    starts = grid.join(used, [company, "_no"], "left").select(
+        company,
+        "_no",
+        F.coalesce(F.sum(F.coalesce("_chars", F.lit(0)) + 1).over(ahead), F.lit(0)).alias("_start"),
+    )
+    spaces = starts.filter(F.col("_no") > 0).select(
+        company, (F.col("_start") - 1).alias("_at"), F.lit(" ").alias("_piece")
+    )
+    moved = pieces.join(starts, [company, "_no"]).select(
+        company, (F.col("_at") + F.col("_start")).alias("_at"), "_piece"
+    )
+    return _cut_and_join(moved.unionByName(spaces), [company], part_chars)
+
+
+def _placed_pieces(records: DataFrame, keys: list[str], order: str, text: str, block_rows: int) -> DataFrame:
+    """Each record's share of the joined text, ``_piece``, and where it starts, ``_at``."""
     body = F.coalesce(F.col(text), F.lit(""))
     rows = records.select(*keys, order, body.alias("_text")).withColumn(
         "_block", F.floor(F.col(order) / block_rows)
@@ -52,7 +98,11 @@ def ordered_concat(
     # Every record but the first brings the separator in front of it.
     piece = F.when(F.col("_start") == 0, F.col("_text")).otherwise(F.concat(F.lit(" "), F.col("_text")))
     start = F.when(F.col("_start") == 0, F.lit(0)).otherwise(F.col("_start") - 1)
-    pieces = placed.select(*keys, start.alias("_at"), piece.alias("_piece")).filter(F.col("_piece") != "")
+    return placed.select(*keys, start.alias("_at"), piece.alias("_piece")).filter(F.col("_piece") != "")
+
+
+def _cut_and_join(pieces: DataFrame, keys: list[str], part_chars: int) -> DataFrame:
+    """Cut pieces at part borders and join what falls into the same part."""
     first_part = F.floor(F.col("_at") / part_chars)
     last_part = F.floor((F.col("_at") + F.length("_piece") - 1) / part_chars)
     cut = pieces.withColumn("part_no", F.explode(F.sequence(first_part, last_part)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -211,3 +213,46 @@ def rounded(rows: DataFrame, digits: int, *columns: str) -> DataFrame:
 
 def rounded_array(values: Column, digits: int) -> Column:
     return F.transform(values, lambda x: F.round(x, digits) + F.lit(0.0))
+
+
+EUCLIDEAN_ROWS = 20_000
+
+
+def silhouette_euclidean(rows: DataFrame, label: str, vector: str, max_rows: int = EUCLIDEAN_ROWS) -> DataFrame:
+    """Mean silhouette under plain Euclidean distance, for small samples such as a drawn map.
+
+    Mean distances have no closed form, so every point meets every other. The points are
+    broadcast, after a check that there are at most ``max_rows``; larger inputs are refused and
+    left to ``silhouette``.
+    """
+    points = rows.select(F.col(label).cast("string").alias("label"), A.doubles(F.col(vector)).alias("v"))
+    held = points.limit(max_rows + 1).toPandas()
+    if len(held) > max_rows:
+        raise ValueError(f"more than {max_rows} rows: use silhouette, which is linear in the rows")
+    names = sorted(held["label"].unique())
+    shared = rows.sparkSession.sparkContext.broadcast(
+        (np.array(held["v"].tolist()), np.searchsorted(names, held["label"]), np.array(names))
+    )
+
+    def widths(batches):
+        there, group, known = shared.value
+        member = (group[:, None] == np.arange(len(known))[None, :]).astype(float)
+        sizes = member.sum(axis=0)
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.iloc[at : at + 256]
+                here = np.array(part["v"].tolist())
+                own = np.searchsorted(known, part["label"])
+                squares = (here**2).sum(1)[:, None] + (there**2).sum(1)[None, :] - 2 * here @ there.T
+                totals = np.sqrt(np.maximum(squares, 0)) @ member
+                row = np.arange(len(part))
+                inside = totals[row, own] / np.maximum(sizes[own] - 1, 1)
+                means = totals / sizes
+                means[row, own] = np.inf
+                outside = means.min(axis=1)
+                top = np.maximum(inside, outside)
+                width = np.where((sizes[own] > 1) & (top > 0), (outside - inside) / np.where(top > 0, top, 1), 0.0)
+                yield pd.DataFrame({"s": width})
+
+    scored = points.mapInPandas(widths, "s double")
+    return scored.agg(F.avg("s").alias("silhouette"), F.count(F.lit(1)).alias("n"))

@@ -245,6 +245,35 @@ def ordered_concat_turns(spark, sf_dir):
     )
 
 
+@query(
+    "company_text",
+    """WITH joined AS (SELECT source, string_agg(text, ' ' ORDER BY doc_id) AS t FROM documents GROUP BY source)
+       SELECT source, i AS part_no, md5(substring(t, (i * 50000 + 1)::BIGINT, 50000)) AS digest
+       FROM joined, unnest(range(0, (length(t) + 49999) // 50000)) AS r(i)""",
+)
+def company_text(spark, sf_dir):
+    """All texts of a company in file order."""
+    parts = corpus.ordered_concat(table(spark, sf_dir, "documents"), ["source"], "doc_id", "text", part_chars=50_000)
+    return parts.select("source", "part_no", F.md5("part_text").alias("digest"))
+
+
+@query(
+    "category_order_text",
+    """WITH c AS (SELECT source, coalesce(string_agg(text, ' ' ORDER BY doc_id) FILTER (lang = 'fr'), '') AS fr,
+                    coalesce(string_agg(text, ' ' ORDER BY doc_id) FILTER (lang = 'en'), '') AS en,
+                    coalesce(string_agg(text, ' ' ORDER BY doc_id) FILTER (lang = 'es'), '') AS es FROM documents GROUP BY source),
+       joined AS (SELECT source, fr || ' ' || '' || ' ' || en || ' ' || es AS t FROM c)
+       SELECT source, i AS part_no, md5(substring(t, (i * 50000 + 1)::BIGINT, 50000)) AS digest
+       FROM joined, unnest(range(0, (length(t) + 49999) // 50000)) AS r(i)""",
+)
+def category_order_text(spark, sf_dir):
+    """All texts of a company category by category; one category never occurs."""
+    parts = corpus.category_order_concat(
+        table(spark, sf_dir, "documents"), "source", "lang", "doc_id", "text", ("fr", "none", "en", "es"), part_chars=50_000
+    )
+    return parts.select("source", "part_no", F.md5("part_text").alias("digest"))
+
+
 @query(
     "first_row_attrs",
     """SELECT source, arg_min(lang, doc_id) AS lang, arg_min(n_chars, doc_id) AS n_chars

@@ -43,6 +43,21 @@ def test_ordered_concat(spark, part):
         assert got.get(k, "") == " ".join(t for key, _, t in sorted(rows, key=lambda x: x[1]) if key == k)
 
 
+@pytest.mark.parametrize("part", [3, 500])
+def test_category_order_concat(spark, part):
+    r = random.Random(part)
+    cats = ("x", "y", "none", "z")
+    rows = [(f"k{i % 5}", r.choice(["x", "y", "z", "other"]), i, r.choice(["", "a", "bb c"])) for i in range(80)]
+    rows.append(("only-other", "other", 99, "text"))
+    df = spark.createDataFrame(rows, "k string, c string, seq long, t string")
+    got = {}
+    for row in corpus.category_order_concat(df, "k", "c", "seq", "t", cats, part, 7).orderBy("k", "part_no").collect():
+        got[row.k] = got.get(row.k, "") + row.part_text
+    for k in {x[0] for x in rows}:
+        want = " ".join(" ".join(t for key, cat, _, t in rows if key == k and cat == c) for c in cats)
+        assert got[k] == want
+
+
 def test_budget(spark):
     r = random.Random(3)
     rows = [(f"c{i % 3}", i, "x" * r.choice([10, 50, 51, 60, 200, 6000])) for i in range(400)]
