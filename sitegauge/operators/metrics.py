@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -116,29 +118,30 @@ def density_by_class(
     runs ``cut`` bandwidths beyond its range. Equal values are counted first, so the kernel sum
     runs over distinct values, not over rows.
     """
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(label, F.col(value).cast("double").alias("v")).agg(
-        F.count(F.lit(1)).alias("c")
-    )
-    stats = (
-        rows.groupBy(label)
+    seen = rows.filter(F.col(value).isNotNull()).select(label, F.col(value).cast("double").alias("_v"))
+    counts = seen.groupBy(label, "_v").agg(F.count(F.lit(1)).alias("_times"))
+    widths = (
+        seen.groupBy(label)
         .agg(
-            F.count(value).alias("n"),
-            F.stddev_samp(value).alias("sd"),
-            F.min(F.col(value).cast("double")).alias("lo"),
-            F.max(F.col(value).cast("double")).alias("hi"),
+            F.count("_v").alias("_n"),
+            F.stddev_samp("_v").alias("_sd"),
+            F.min("_v").alias("_lo"),
+            F.max("_v").alias("_hi"),
         )
-        .filter((F.col("n") > 1) & (F.col("sd") > 0))
-        .withColumn("h", F.col("sd") * F.pow(F.col("n"), F.lit(-0.2)))
+        .filter((F.col("_n") > 1) & (F.col("_sd") > 0))
+        .withColumn("_h", F.col("_sd") * F.pow(F.col("_n"), F.lit(-0.2)))
     )
-    near = counts.join(stats, label)
-    start = F.col("lo") - cut * F.col("h")
-    width = F.col("hi") - F.col("lo") + 2 * cut * F.col("h")
+    near = counts.join(widths, label)
+    start = F.col("_lo") - cut * F.col("_h")
+    width = F.col("_hi") - F.col("_lo") + 2 * cut * F.col("_h")
     grid = near.withColumn("point_no", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn(
-        "x", start + width * F.col("point_no") / (points - 1)
+        "_x", start + width * F.col("point_no") / (points - 1)
+    )
+    u = (F.col("_x") - F.col("_v")) / F.col("_h")
+    scale = F.col("_n") * F.col("_h") * F.lit((2 * math.pi) ** 0.5)
+    return grid.groupBy(label, "point_no").agg(
+        F.min("_x").alias("x"), F.sum(F.col("_times") * F.exp(-u * u / 2) / scale).alias("density")
     )
-    u = (F.col("x") - F.col("v")) / F.col("h")
-    kernel = F.col("c") * F.exp(-u * u / 2) / (F.col("n") * F.col("h") * F.lit((2 * 3.141592653589793) ** 0.5))
-    return grid.groupBy(label, "point_no").agg(F.min("x").alias("x"), F.sum(kernel).alias("density"))
 
 
 # ------------------------------------------------------------------ clusters

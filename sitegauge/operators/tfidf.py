@@ -99,19 +99,23 @@ def tfidf_weights(counts: DataFrame, vocabulary: Vocabulary, key: str) -> DataFr
     that many terms left, so the norm needs only small groups.
     """
     terms = F.broadcast(vocabulary.terms.select("term", "term_no", "idf"))
-    weighted = counts.join(terms, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    entries = F.sort_array(F.collect_list(F.struct("term_no", "term", "w")))
-    grouped = weighted.groupBy(key).agg(entries.alias("e"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return grouped.select(key, "norm", F.explode("e").alias("e")).select(
-        key, F.col("e.term").alias("term"), F.col("e.term_no").alias("term_no"), (F.col("e.w") / F.col("norm")).alias("weight")
+    weighted = counts.join(terms, "term").withColumn("_w", F.col("tf") * F.col("idf"))
+    entries = F.sort_array(F.collect_list(F.struct("term_no", "term", "_w")))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")))
+    grouped = weighted.groupBy(key).agg(entries.alias("_all"), norm.alias("_norm"))
+    return grouped.select(key, "_norm", F.explode("_all").alias("_one")).select(
+        key,
+        F.col("_one.term").alias("term"),
+        F.col("_one.term_no").alias("term_no"),
+        (F.col("_one._w") / F.col("_norm")).alias("weight"),
     )
 
 
 def tfidf_vectors(weights: DataFrame, key: str, size: int) -> DataFrame:
     """Dense array per key in vocabulary order; absent terms are 0."""
     pairs = F.map_from_entries(F.collect_list(F.struct("term_no", "weight")))
-    grouped = weights.groupBy(key).agg(pairs.alias("m"))
+    grouped = weights.groupBy(key).agg(pairs.alias("_m"))
     dense = F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0))
+        F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0.0))
     )
     return grouped.select(key, dense.alias("tfidf"))
