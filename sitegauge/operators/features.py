@@ -31,29 +31,53 @@ _ANY_DISTANCE = 1 << 40
 _NONE = -1
 
 # Word lists are tried script by script: one class test skips all words of another script.
-_SCRIPTS = (("katakana", "[ァ-ヿ]"), ("hiragana", "[ぁ-ゟ]"), ("kanji", "[一-\u9fff]"), ("latin", "[A-Za-z]"))
-
-
-def by_script(pattern: str) -> str:
-    """The same matches as ``pattern``, faster: alternatives grouped by the script of their first
-    character. Words of different scripts never start at one position, so only the order inside a
-    group matters, and that is kept. Anything but a plain word list is returned unchanged."""
-    if not re.fullmatch(r"(?:[^\\.^$*+?{}\[\]()]|\\.)+", pattern):
-        return pattern
-    groups: dict[str, list[str]] = {}
-    for word in pattern.split("|"):
-        script = next((name for name, chars in _SCRIPTS if re.match(chars, word)), None)
-        if script is None:
-            return pattern
-        groups.setdefault(script, []).append(word)
-    arms, starts = [], ""
-    for name, chars in _SCRIPTS:
-        words = groups.get(name)
-        if words:
-            first = "".join(sorted({w[0] for w in words})) if name == "latin" else chars[1:-1]
-            arms.append(f"(?=[{first}])(?:{'|'.join(words)})")
-            starts += first
-    return f"(?=[{starts}])(?:{'|'.join(arms)})"
+_SCRIPTS = ("[ァ-ヿ]", "[ぁ-ゟ]", "[一-\u9fff]")
+_NOT_ASCII = r"(?=[^\x00-\x7f])"
+
+
+def _plain_words(pattern: str) -> list[str] | None:
+    """The words of a plain list; None if the pattern is more than that."""
+    if not re.fullmatch(r"(?:[^\\.^$*+?{}\[\]()]|\\[.&])+", pattern):
+        return None
+    return re.sub(r"\\(.)", r"\1", pattern).split("|")
+
+
+def _may_overlap(words: list[str]) -> bool:
+    """Whether one word can begin inside another, or a word inside itself."""
+    return any(
+        b.startswith(a[i:]) or a[i:].startswith(b) for a in words for b in words for i in range(0 if a != b else 1, len(a))
+    )
+
+
+def _grouped(words: list[str]) -> str:
+    """Alternatives grouped by the script of their first character. Words of different scripts
+    never start at one position, so only the order inside a group matters, and that is kept."""
+    groups = {chars: [re.escape(w) for w in words if re.match(chars, w)] for chars in _SCRIPTS}
+    arms = [f"(?={chars})(?:{'|'.join(found)})" for chars, found in groups.items() if found]
+    return f"{_NOT_ASCII}(?:{'|'.join(arms)})"
+
+
+def count_matches(text: Column, pattern: str) -> Column:
+    """Number of matches of ``pattern``, found faster for plain word lists.
+
+    ASCII words and words of other scripts share no character, so their matches never overlap
+    and can be counted apart: ASCII words by what removing them takes away, the others by a
+    search that passes over ASCII text at one test per character. Lists that mix characters
+    inside a word, or whose ASCII words can overlap, are searched as they are.
+    """
+    words = _plain_words(pattern)
+    ascii_words = [w for w in words or [] if w.isascii()]
+    others = [w for w in words or [] if not w.isascii()]
+    mixed = any(any(c.isascii() for c in w) or not any(re.match(s, w) for s in _SCRIPTS) for w in others)
+    if words is None or mixed or _may_overlap(ascii_words) or not all(words):
+        return F.regexp_count(text, F.lit(pattern)).cast("long")
+    counts = [
+        ((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(w), F.lit("")))) / len(w)).cast("long")
+        for w in ascii_words
+    ]
+    if others:
+        counts.append(F.regexp_count(text, F.lit(_grouped(others))).cast("long"))
+    return sum(counts[1:], counts[0])
 
 
 def _reach(rule: NumberRule) -> str:
@@ -67,32 +91,41 @@ def _number(rule: NumberRule) -> str:
 def _anchored(text: Column, rule: NumberRule) -> Column:
     """First stretch from an anchor to its number or, failing that, to the end of the record."""
     # An anchor spelled without ASCII cannot start at an ASCII character.
-    start = "" if re.search(r"[A-Za-z0-9.\\]", rule.anchor) else r"(?=[^\x00-\x7f])"
+    start = "" if re.search(r"[A-Za-z0-9.\\]", rule.anchor) else _NOT_ASCII
     pattern = rf"{start}{rule.anchor}{rule.gap}{_reach(rule)}?(?:{_number(rule)}|\z)"
     return F.regexp_extract(text, pattern, 0)
 
 
-def _number_summary(text: Column, stretch: Column, rule: NumberRule) -> Column:
+def _start(rule: NumberRule) -> str:
+    """A number within reach of the start of a record: groups gap and number.
+
+    The optional group makes the search succeed at once at the start of the text instead of
+    trying every later position in vain.
+    """
+    return rf"\A(?:({rule.gap}{_reach(rule)}?){_number(rule)})?"
+
+
+def _head(text: Column, start: str, unit: str) -> Column:
+    found = F.regexp_extract(text, start, 2)
+    return F.when(text.contains(unit), found).otherwise(F.lit("")) if unit and re.escape(unit) == unit else found
+
+
+def _number_summary(text: Column, stretch: Column, head: Column, rule: NumberRule) -> Column:
     """What one record tells about a number rule.
 
     first  the record's own match
     head   a number that an anchor of an earlier record can reach, ``gap`` characters in
     through  length of the record if a gap may run through all of it, else -1
     tail   characters of gap still allowed after an anchor near the end of the record, else -1
-
-    The optional groups after ``\\A`` make the search succeed at once at the start of the text
-    instead of trying every later position in vain.
     """
     gap, reach = rule.gap, _reach(rule)
     own = F.regexp_extract(stretch, rf"\A{rule.anchor}{gap}{reach}?{_number(rule)}", 1)
-    start = rf"\A(?:({gap}{reach}?){_number(rule)})?"
-    head = F.regexp_extract(text, start, 2)
     if rule.max_gap is None:
         skipped = F.lit(0)
         through = F.when(text.contains("\n"), F.lit(_NONE)).otherwise(F.lit(0))
         allowed = F.lit(_ANY_DISTANCE)
     else:
-        skipped = F.length(F.regexp_extract(text, start, 1))
+        skipped = F.length(F.regexp_extract(text, _start(rule), 1))
         whole = F.regexp_extract(text, rf"\A({gap}{{1,{rule.max_gap}}}\z)?", 1)
         through = F.when((text == "") | (whole != ""), F.length(text)).otherwise(F.lit(_NONE))
         end = F.right(text, F.lit(rule.max_gap + rule.anchor_chars))
@@ -188,11 +221,15 @@ def structural_features(
     no_terms = F.array().cast("array<struct<rule:int,term:string>>")
     counts = [f"_k{i}" for i in range(len(count_rules))]
     stretches = [f"_s{i}" for i in range(len(number_rules))]
+    # Rules with the same gap, number and unit share one search.
+    searches = dict.fromkeys((_start(r), r.unit) for r in number_rules)
+    starts = {search: f"_h{i}" for i, search in enumerate(searches)}
     scanned = computed_once(
         known,
         ["_company", "_cat", "_at", "_text"],
-        **{k: F.regexp_count(t, F.lit(by_script(r.pattern))).cast("long") for k, r in zip(counts, count_rules)},
+        **{k: count_matches(t, r.pattern) for k, r in zip(counts, count_rules)},
         **{s: _anchored(t, r) for s, r in zip(stretches, number_rules)},
+        **{h: _head(t, pattern, unit) for (pattern, unit), h in starts.items()},
         _terms=F.coalesce(F.concat(*terms), no_terms) if terms else no_terms,
     )
     columns = [
@@ -204,7 +241,9 @@ def structural_features(
         "_terms",
     ]
     if number_rules:
-        numbers = F.array(*[_number_summary(t, F.col(s), r) for s, r in zip(stretches, number_rules)])
+        numbers = F.array(
+            *[_number_summary(t, F.col(s), F.col(starts[_start(r), r.unit]), r) for s, r in zip(stretches, number_rules)]
+        )
         piece = F.struct(F.col("_cat").alias("cat"), F.col("_at").alias("at"), numbers.alias("numbers"))
         columns.append(F.when(t.isNotNull(), piece).alias("_piece"))
     rows = scanned.select(*columns)

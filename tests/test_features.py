@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from sitegauge.functions.rules import (
     COUNT_RULES,
@@ -13,7 +14,7 @@ from sitegauge.functions.rules import (
     UNIQUE_RULES,
     CountRule,
 )
-from sitegauge.operators.features import by_script, structural_features
+from sitegauge.operators.features import count_matches, structural_features
 
 SCHEMA = "company string, category string, seq long, text string"
 
@@ -118,15 +119,16 @@ def test_one_company_holds_nearly_everything(spark):
     check(spark, rows, block_rows=5)
 
 
-def test_word_lists_keep_their_matches_when_regrouped():
+def test_word_counts_equal_the_plain_search(spark):
     r = random.Random(1)
-    for rule in COUNT_RULES:
-        words = [w.replace("\\", "") for w in rule.pattern.split("|")]
-        pieces = words + [w[:-1] for w in words] + [w[1:] for w in words] + ["x", "の", " "]
-        for _ in range(200):
-            text = "".join(r.choice(pieces) for _ in range(12))
-            assert re.findall(by_script(rule.pattern), text) == re.findall(rule.pattern, text)
-    assert by_script("[0-9]+|a") == "[0-9]+|a"
+    patterns = [rule.pattern for rule in COUNT_RULES] + ["aba|ab", "aa", "a|ba", "ITサービス|IT", "[0-9]+|a", "No\\.1|x", "é|ab"]
+    for pattern in patterns:
+        words = [w.replace("\\", "") for w in pattern.split("|")]
+        pieces = words + [w[:-1] for w in words] + [w[1:] for w in words] + ["x", "の", " ", "a", "1"]
+        texts = ["".join(r.choice(pieces) for _ in range(14)) for _ in range(150)]
+        rows = spark.createDataFrame([(t,) for t in texts], "t string")
+        got = [x.n for x in rows.select(count_matches(F.col("t"), pattern).alias("n")).collect()]
+        assert got == [len(re.findall(pattern, t)) for t in texts], pattern
 
 
 def test_rules_with_white_space_are_refused(spark):
