@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions.rules import FEATURE_GROUPS
+from ..session import cut_lineage
 from .companies import present_columns
 from .metrics import calinski_harabasz, fold_summary, silhouette
 from .neighbours import knn_predictions, trustworthiness
@@ -87,7 +88,8 @@ def map_2d(rows: DataFrame, vector: str, components: int = 50, seed: int = 42, o
 
 def study(rows: DataFrame, key: str, label: str, high: str, low: str, k: int = 5, folds: int = 5) -> DataFrame:
     """Silhouette, Calinski-Harabasz, neighbour accuracy and trustworthiness of a map, as one row."""
-    spots = stratified_folds(rows.select(key, label, low), key, label, folds)
+    rows = cut_lineage(rows.select(key, label, high, low), "map")
+    spots = cut_lineage(stratified_folds(rows.select(key, label, low), key, label, folds), "folds")
     votes = knn_predictions(
         spots.select(F.col(key).alias("id"), F.col(low).alias("vec"), F.col(label).alias("label"), "fold"), k, folds
     )
@@ -106,12 +108,14 @@ def study(rows: DataFrame, key: str, label: str, high: str, low: str, k: int = 5
 
 def group_study(rows: DataFrame, key: str, label: str, groups: dict[str, tuple[str, ...]] = FEATURE_GROUPS) -> DataFrame:
     """The map metrics for every named group of columns that exists."""
+    used = list(dict.fromkeys(c for wanted in groups.values() for c in present_columns(rows, wanted)))
+    table = cut_lineage(rows.select(key, label, *used), "features")
     out: DataFrame | None = None
     for name, wanted in groups.items():
         columns = present_columns(rows, wanted)
         if not columns:
             continue
-        packed = vectorised(rows.select(key, label, *columns), columns, "high").select(key, label, "high")
+        packed = vectorised(table.select(key, label, *columns), columns, "high").select(key, label, "high")
         scaled = fit_scaler(packed, "high").transform(packed, "high")
         mapped = map_2d(scaled, "high", out="low")
         part = study(mapped, key, label, "high", "low").select(F.lit(name).alias("feature_group"), "metric", "value")
@@ -123,8 +127,8 @@ def group_study(rows: DataFrame, key: str, label: str, groups: dict[str, tuple[s
 
 # ------------------------------------------------------------------ classifier
 def balanced_weights(rows: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """``n / (classes * n_class)`` per row; the class table is as small as the label domain."""
-    sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    """``n / (classes * n_class)`` per row; the class table is written, so its size is known."""
+    sizes = cut_lineage(rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n")), "classes")
     totals = sizes.agg(F.struct(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("k")).alias("t")).scalar()
     weighted = sizes.select(label, (totals["n"] / (totals["k"] * F.col("_n"))).alias(out))
     return rows.join(weighted, label)

@@ -17,6 +17,7 @@ TOKEN = rf"(?s)[{WORD_CHARS}]{{2,}}"
 MAX_FEATURES = 500
 MIN_DF = 3
 MAX_DF = 0.90
+BROADCAST_TERMS = 100_000
 
 
 def regex_tokens(text: Column, pattern: str = TOKEN) -> Column:
@@ -49,9 +50,10 @@ def term_counts(docs: DataFrame, key: str, text: str, tokens: Column | None = No
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Chosen terms (``term, term_no, df, idf``), at most ``max_features`` rows."""
+    """Chosen terms (``term, term_no, df, total, idf``), at most ``most`` rows where that is known."""
 
     terms: DataFrame
+    most: int | None = None
 
 
 def fit_vocabulary(
@@ -80,7 +82,7 @@ def fit_vocabulary(
         F.col("t.total").alias("total"),
         (F.log((1 + n) / (1 + F.col("t.df"))) + 1).alias("idf"),
     )
-    return Vocabulary(terms)
+    return Vocabulary(terms, max_features)
 
 
 def save_vocabulary(vocabulary: Vocabulary, path: str) -> None:
@@ -95,10 +97,12 @@ def load_vocabulary(spark, path: str) -> Vocabulary:
 def tfidf_weights(counts: DataFrame, vocabulary: Vocabulary, key: str) -> DataFrame:
     """Long form ``key, term, term_no, weight``, every key's weights of unit length.
 
-    The vocabulary is broadcast: its size is bounded by ``max_features``. A key has at most
-    that many terms left, so the norm needs only small groups.
+    A vocabulary bounded by at most ``BROADCAST_TERMS`` rows is broadcast; for others their size
+    decides. A key has no more terms than the vocabulary, so the norm needs only small groups.
     """
-    terms = F.broadcast(vocabulary.terms.select("term", "term_no", "idf"))
+    terms = vocabulary.terms.select("term", "term_no", "idf")
+    if vocabulary.most is not None and vocabulary.most <= BROADCAST_TERMS:
+        terms = F.broadcast(terms)
     weighted = counts.join(terms, "term").withColumn("_w", F.col("tf") * F.col("idf"))
     entries = F.sort_array(F.collect_list(F.struct("term_no", "term", "_w")))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")))

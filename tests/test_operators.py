@@ -131,6 +131,14 @@ def test_lookup(spark):
     assert got == {"A": "https://a", "B": "NOT_FOUND", "C": "NOT_FOUND", "D": "NOT_FOUND"}
 
 
+def test_small_label_table_is_broadcast(spark):
+    rows = spark.range(50).select(F.concat(F.lit("l"), (F.col("id") % 3).cast("string")).alias("c"))
+    labels = ranking.label_ids(rows, "c")
+    out = companies.encode_labels(rows.unionByName(spark.createDataFrame([("new",)], "c string")), labels, "c", "y")
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.c, r.y) for r in out.collect()} == {("l0", 0), ("l1", 1), ("l2", 2), ("new", None)}
+
+
 def test_columns_by_name(spark):
     df = spark.createDataFrame([("x", 1, 2.0, 3.0)], "company_name string, has_top int, top_vec_0 double, ir_vec_0 double")
     assert companies.vector_columns(df) == ["top_vec_0", "ir_vec_0"]
