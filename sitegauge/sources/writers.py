@@ -56,8 +56,7 @@ def existing(rows: DataFrame, path: str) -> DataFrame | None:
 def append_new(rows: DataFrame, path: str, key: str) -> None:
     """Append the rows whose key the table lacks; nothing already written is rewritten.
 
-    Give the rows still lazy: the anti-join then runs before expensive features only if it
-    was applied upstream (``operators.companies.not_done``); here it guards the append.
+    To skip the work for known keys as well, filter the inputs by ``companies.not_done`` first.
     """
     done = existing(rows, path)
     fresh = rows if done is None else not_done(rows, done, key)
