@@ -2,7 +2,7 @@
 
 One weight per hashed feature is shared by all grades; ordered thresholds cut the score: P(grade <= k) = sigmoid(t_k - score).
 The model is fitted on a sample of the ratings of bounded size (``SAMPLE``), over features that at least ``SEEN`` of its
-texts have; every document is scored whole. Features are sets: words, their beginnings, the shapes of words, and how much
+texts have and that speak for a lower grade; every document is scored whole. Features are sets: words, their beginnings, the shapes of words, and how much
 of a text repeats.
 """
 
@@ -21,6 +21,7 @@ from sitegauge.llm.common import extended, word_chunks
 
 SAMPLE = 12_000
 SEEN = 4
+LIFT = 4.0
 PENALTY = 0.02
 ROUNDS = 80
 SHAPES = bytes(97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
@@ -94,14 +95,31 @@ def _likelihood(theta, weights, of, ends, grades, penalty):
     return value, np.concatenate([by_theta, by_weight])
 
 
-def fit_rows(rows: list[tuple[np.ndarray, int]], seen: int = SEEN, penalty: float = PENALTY, rounds: int = ROUNDS) -> Ordinal | None:
+def telling(found: list[np.ndarray], grades: np.ndarray, seen: int, lift: float) -> np.ndarray:
+    """The features that at least ``seen`` texts have, and that some grade below the top has ``lift`` standard deviations too often.
+
+    Features of ordinary text say nothing against it; left in, their number would make long texts look good whatever else
+    they hold.
+    """
+    hashes, inverse, counts = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+    own = np.repeat(grades, [len(f) for f in found])
+    tells = np.zeros(len(hashes), dtype=bool)
+    for grade in range(int(grades.max())):
+        share = (grades == grade).mean()
+        have = np.bincount(inverse, weights=own == grade, minlength=len(hashes))
+        tells |= have - counts * share > lift * np.sqrt(counts * share * (1 - share))
+    return hashes[tells & (counts >= seen)]
+
+
+def fit_rows(
+    rows: list[tuple[np.ndarray, int]], seen: int = SEEN, lift: float = LIFT, penalty: float = PENALTY, rounds: int = ROUNDS
+) -> Ordinal | None:
     """Fit by limited-memory quasi-Newton steps; None without rows. Grades run from 0; those that no row has get no room."""
     if not rows:
         return None
     grades = np.array([g for _, g in rows], dtype=np.int64)
     top = max(1, int(grades.max()))
-    hashes, counts = np.unique(np.concatenate([f for f, _ in rows]), return_counts=True)
-    hashes = hashes[counts >= seen]
+    hashes = telling([f for f, _ in rows], grades, seen, lift)
     of, ends = [], []
     for f, _ in rows:
         at = np.searchsorted(hashes, f)
