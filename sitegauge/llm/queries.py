@@ -6,10 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegauge.llm import bpe, exact, ordinal, simhash, suffixes
+from sitegauge.llm import bpe, exact, hosts, ordinal, packing, pagediff, prefixes, secrets, simhash, suffixes
 from sitegauge.llm.common import table
 
 LEAST_TAIL = 0.5
+TOKEN_LIMIT = 2048
+ROW_TOKENS = 2048
+URL_RULES = [
+    ("com/", "allow"),
+    ("example.com/en/", "block"),
+    ("www.example.com/en/", "allow"),
+    ("net/es/", "block"),
+    ("net/fr/", "block"),
+]
 
 
 def op1_simhash_vp_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +26,19 @@ def op1_simhash_vp_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.candidates(table(spark, sf_dir, "documents"), path_col="source")
+    return secrets.scored(found, secrets.train(spark)).select(
+        "doc_id", "start", "end", "kind", F.sha2("value", 256).alias("value_sha256"), F.round("probability", 6).alias("probability"), "is_secret"
+    )
+
+
+def op3_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    counted = prefixes.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
 def grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Graded ratings: 0 for bad text, 1 for good text that is toxic, 2 for good text."""
     grade = F.when(F.col("quality") == 0, 0).when(F.coalesce("toxic", F.lit(0)) == 1, 1).when(F.col("quality") == 1, 2)
@@ -48,6 +70,24 @@ def op5_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_host_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosts.judged(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op7_page_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagediff.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op8_packed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    rows = packing.packed(ids.select("doc_id", "token_ids"), ROW_TOKENS, pad=50256)
+    return rows.select(
+        "block", "row", "doc_ids", "piece_starts", "cu_seqlens", "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"),
+    )
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -97,8 +137,13 @@ FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 # Name to query and SQL, which is None where SQL can't express the operator.
 QUERIES = {
     "op1_simhash_vp_trees": (op1_simhash_vp_trees, None),
+    "op2_forest_secrets": (op2_forest_secrets, None),
+    "op3_prefix_counts": (op3_prefix_counts, None),
     "op4_ordinal_quality": (op4_ordinal_quality, None),
     "op5_segment_tree_bpe": (op5_segment_tree_bpe, None),
+    "op6_host_trust": (op6_host_trust, hosts.judged_sql(URL_RULES)),
+    "op7_page_differences": (op7_page_differences, None),
+    "op8_packed_rows": (op8_packed_rows, None),
     "op9_exact_dedup": (op9_exact_dedup, EXACT_SQL),
     "op10_suffix_arrays": (op10_suffix_arrays, MATCH_SQL),
 }
