@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from sitegauge.llm.common import extended, word_chunks
 
 SAMPLE = 12_000
-SEEN = 4
-LIFT = 4.0
+SEEN = 3
+LIFT = 3.0
 PENALTY = 0.02
 ROUNDS = 80
 SHAPES = bytes(97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
