@@ -25,7 +25,7 @@ UNITS = regex.compile(r"(?= \S)")
 LOOSE = regex.compile(r" (?:\s|$)")
 NEVER = np.int64(1) << 62
 WIDE = 64
-CACHED = 400_000
+CACHED = 150_000
 
 
 def byte_characters() -> list[str]:
