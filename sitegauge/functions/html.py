@@ -13,13 +13,13 @@ from .text import collapse_spaces, strip
 # Elements whose whole content is not page text.
 DROPPED_ELEMENTS = ("script", "style", "header", "footer", "nav", "noscript", "aside", "form", "iframe")
 
-_SPAN = r"{0}(?:[\s/][^>]*)?>.*?</{0}\s*>"
+_SPAN = r"{0}(?:[\s/][^>]*)?>.*?(?:</{0}\s*>|\z)"
 
 
 def _hidden(elements: tuple[str, ...]) -> str:
-    """Comments and the given elements with their content, whichever opens first."""
+    """Comments and the given elements with their content, whichever opens first; left open they run to the end."""
     spans = "|".join(_SPAN.format(e) for e in elements)
-    return f"(?is)<(?:!--.*?-->|{spans})"
+    return f"(?is)<(?:!--.*?(?:-->|\\z)|{spans})"
 
 
 HIDDEN = _hidden(DROPPED_ELEMENTS)

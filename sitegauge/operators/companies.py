@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import BAD_URLS, NO_URL, REVENUE_FLOORS, REVENUE_REST, literal_map, revenue_class
-from ..session import cut_lineage
 from .ranking import keep_first
 
 
@@ -78,10 +77,9 @@ def top_by_revenue(ranking: DataFrame, limit: int = 500) -> DataFrame:
 def encode_labels(rows: DataFrame, labels: DataFrame, column: str, out: str) -> DataFrame:
     """Join the label table; labels it lacks give null.
 
-    The label table is written first, so its true size is known when the join is planned: a
-    small one is broadcast and the rows stay where they are, a large one is shuffled.
+    Adaptive execution knows the size of the label table when it joins, and picks the strategy.
     """
-    ids = cut_lineage(labels.select(F.col("label").alias(column), F.col("id").alias(out)), "labels")
+    ids = labels.select(F.col("label").alias(column), F.col("id").alias(out))
     return rows.join(ids, column, "left")
 
 

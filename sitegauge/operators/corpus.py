@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import FAILED_CATEGORY
 from ..functions.text import fixed_chunks, strip
-from .ranking import BLOCK_ROWS, first_k, keep_first, running_offset
+from .ranking import BLOCK_ROWS, first_k, keep_first, null_safe_join, running_offset
 
 CHUNK_CHARS = 400
 MIN_CHUNK_CHARS = 50
@@ -74,7 +74,7 @@ def category_order_concat(
     grid = records.select(company).distinct().withColumn("_no", F.explode(F.sequence(F.lit(0), F.lit(len(categories) - 1))))
     # One row per company and category: a window over a handful of rows.
     ahead = W.partitionBy(company).orderBy("_no").rowsBetween(W.unboundedPreceding, -1)
-    starts = grid.join(used, [company, "_no"], "left").select(
+    starts = null_safe_join(grid, used, [company, "_no"], "left").select(
         company,
         "_no",
         F.coalesce(F.sum(F.coalesce("_chars", F.lit(0)) + 1).over(ahead), F.lit(0)).alias("_start"),
@@ -82,7 +82,7 @@ def category_order_concat(
     spaces = starts.filter(F.col("_no") > 0).select(
         company, (F.col("_start") - 1).alias("_at"), F.lit(" ").alias("_piece")
     )
-    moved = pieces.join(starts, [company, "_no"]).select(
+    moved = null_safe_join(pieces, starts, [company, "_no"]).select(
         company, (F.col("_at") + F.col("_start")).alias("_at"), "_piece"
     )
     return _cut_and_join(moved.unionByName(spaces), [company], part_chars)

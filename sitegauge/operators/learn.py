@@ -16,7 +16,7 @@ from ..functions import arrays as A
 from ..functions.rules import FEATURE_GROUPS
 from ..session import cut_lineage
 from .companies import present_columns
-from .metrics import calinski_harabasz, fold_summary, silhouette
+from .metrics import calinski_harabasz, company_predictions, fold_summary, silhouette
 from .neighbours import knn_predictions, trustworthiness
 from .splits import stratified_folds
 
@@ -127,8 +127,8 @@ def group_study(rows: DataFrame, key: str, label: str, groups: dict[str, tuple[s
 
 # ------------------------------------------------------------------ classifier
 def balanced_weights(rows: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """``n / (classes * n_class)`` per row; the class table is written, so its size is known."""
-    sizes = cut_lineage(rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n")), "classes")
+    """``n / (classes * n_class)`` per row."""
+    sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     totals = sizes.agg(F.struct(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("k")).alias("t")).scalar()
     weighted = sizes.select(label, (totals["n"] / (totals["k"] * F.col("_n"))).alias(out))
     return rows.join(weighted, label)
@@ -153,16 +153,24 @@ def as_features(rows: DataFrame, vector: str) -> DataFrame:
     return rows.withColumn("_x", array_to_vector(A.doubles(F.col(vector))))
 
 
-def fit_best(train: DataFrame, validation: DataFrame, vector: str, estimators: list) -> tuple[PipelineModel, float]:
-    """The candidate with the best validation accuracy; the first one wins ties."""
+def fit_best(
+    train: DataFrame, validation: DataFrame, vector: str, estimators: list, company: str | None = None
+) -> tuple[PipelineModel, float]:
+    """The candidate with the best validation accuracy; the first one wins ties.
+
+    With ``company`` given a company counts once, with the mean of its pages' probabilities.
+    """
     ready = as_features(balanced_weights(train, "label"), vector).persist()
     held = as_features(validation, vector).persist()
     best: tuple[PipelineModel, float] | None = None
     try:
         for estimator in estimators:
             model = Pipeline(stages=[estimator]).fit(ready)
+            judged = model.transform(held)
+            if company:
+                judged = company_predictions(judged.withColumn("_p", vector_to_array("probability")), company, "label", "_p")
             hit = (F.col("pred") == F.col("label")).cast("int")
-            score = model.transform(held).agg(F.avg(hit)).first()[0] or 0.0
+            score = judged.agg(F.avg(hit)).first()[0] or 0.0
             if best is None or score > best[1]:
                 best = (model, score)
     finally:

@@ -13,6 +13,9 @@ from ..functions import arrays as A
 from .vectors import mean_vector
 
 
+LEAST_PROBABILITY = 1e-15
+
+
 # ------------------------------------------------------------------ classification
 def accuracy(rows: DataFrame, label: str, predicted: str) -> DataFrame:
     hit = (F.col(label) == F.col(predicted)).cast("int")
@@ -20,11 +23,25 @@ def accuracy(rows: DataFrame, label: str, predicted: str) -> DataFrame:
 
 
 def cross_entropy(rows: DataFrame, probs: str, label: str) -> DataFrame:
-    """Mean of ``-ln p[label]``."""
-    p = F.get(F.col(probs), F.col(label).cast("int"))
+    """Mean of ``-ln p[label]``; a probability below ``LEAST_PROBABILITY`` counts as that, so no page is left out."""
+    p = F.greatest(F.get(F.col(probs), F.col(label).cast("int")).cast("double"), F.lit(LEAST_PROBABILITY))
     return rows.agg(F.avg(-F.log(p)).alias("cross_entropy"))
 
 
+def company_predictions(pages: DataFrame, company: str, label: str, probs: str) -> DataFrame:
+    """``company, label, pred, probs``: mean probabilities of a company's pages, and the class of the largest.
+
+    The label is that of any of its pages, the smallest if they differ.
+    """
+    means = pages.groupBy(company).agg(F.min(label).alias("label"), mean_vector(A.doubles(F.col(probs))).alias("probs"))
+    return means.select(company, "label", A.argmax(F.col("probs")).alias("pred"), "probs")
+
+
+def company_accuracy(pages: DataFrame, company: str, label: str, probs: str) -> DataFrame:
+    """Share of companies whose mean probabilities are largest for their label."""
+    return accuracy(company_predictions(pages, company, label, probs), "label", "pred")
+
+
 def confusion_counts(rows: DataFrame, label: str, predicted: str, by: list[str] | None = None) -> DataFrame:
     """Long confusion matrix ``true, pred, n``."""
     keys = by or []
@@ -145,6 +162,14 @@ def density_by_class(
 
 
 # ------------------------------------------------------------------ clusters
+def centred(rows: DataFrame, vector: str) -> DataFrame:
+    """Vectors less their overall mean: distances stay, and sums of squares keep their digits however far off zero they lie."""
+    v = A.doubles(F.col(vector))
+    middle = rows.agg(mean_vector(v).alias("m")).scalar()
+    moved = F.zip_with(v, F.col("_middle"), lambda x, m: x - m)
+    return rows.withColumn("_middle", middle).withColumn(vector, moved).drop("_middle")
+
+
 def cluster_moments(rows: DataFrame, label: str, vector: str) -> DataFrame:
     """Size, mean and summed squared length per cluster: enough for squared-distance metrics."""
     v = A.doubles(F.col(vector))
@@ -156,9 +181,10 @@ def cluster_moments(rows: DataFrame, label: str, vector: str) -> DataFrame:
 def calinski_harabasz(rows: DataFrame, label: str, vector: str) -> DataFrame:
     """Between-cluster over within-cluster variance; one pass over the rows.
 
-    Rows are reduced to one line per cluster, whose number the label domain bounds.
+    Rows are reduced to one line per cluster, whose number the label domain bounds. Null with a
+    single cluster, or where no cluster has any width.
     """
-    moments = cluster_moments(rows, label, vector)
+    moments = cluster_moments(centred(rows, vector), label, vector)
     packed = moments.agg(
         F.collect_list(F.struct("size", "mean", "squares")).alias("m"),
         F.sum("size").alias("n"),
@@ -166,10 +192,11 @@ def calinski_harabasz(rows: DataFrame, label: str, vector: str) -> DataFrame:
     )
     scaled = F.transform("m", lambda c: F.transform(c["mean"], lambda x: x * c["size"]))
     total = F.aggregate(F.slice(scaled, F.lit(2), F.size(scaled)), F.get(scaled, 0), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
-    centred = packed.withColumn("centre", F.transform(total, lambda x: x / F.col("n")))
+    placed = packed.withColumn("centre", F.transform(total, lambda x: x / F.col("n")))
     between = A.array_sum(F.transform("m", lambda c: c["size"] * A.squared_distance(c["mean"], F.col("centre"))))
     within = A.array_sum(F.transform("m", lambda c: c["squares"] - c["size"] * A.dot(c["mean"], c["mean"])))
-    return centred.select((between / (F.col("k") - 1) / (within / (F.col("n") - F.col("k")))).alias("calinski_harabasz"), "n", "k")
+    spread = F.try_divide(F.try_divide(between, F.col("k") - 1), F.try_divide(within, F.col("n") - F.col("k")))
+    return placed.select(spread.alias("calinski_harabasz"), "n", "k")
 
 
 def silhouette(rows: DataFrame, label: str, vector: str) -> DataFrame:
@@ -179,6 +206,7 @@ def silhouette(rows: DataFrame, label: str, vector: str) -> DataFrame:
     summed squares, so no pair of points is ever formed. Clusters travel as one small array
     (label domain), in a scalar subquery.
     """
+    rows = centred(rows, vector)
     v = A.doubles(F.col(vector))
     packed = cluster_moments(rows, label, vector).agg(
         F.collect_list(F.struct(F.col(label).alias("label"), "size", "mean", "squares"))

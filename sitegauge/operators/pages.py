@@ -46,19 +46,16 @@ def categorise_links(links: DataFrame, rules: tuple[LinkRule, ...] = LINK_RULES)
 
 
 def startup_links(
-    list_pages: DataFrame, base_url: str, prefix: str = "/startups/", limit: int = 100
+    list_pages: DataFrame, base_url: str, prefix: str = "/startups/", limit: int | None = None
 ) -> DataFrame:
-    """Detail-page addresses of a list page, first occurrence kept, first ``limit`` of them."""
+    """Detail-page addresses of a list page, first occurrence kept; the first ``limit`` of them if one is given."""
     anchors = list_pages.select(
         "page_id", F.posexplode(H.anchors(F.col("html"))).alias("link_no", "anchor")
     ).select("page_id", "link_no", H.anchor_href(F.col("anchor")).alias("href"))
     wanted = anchors.filter(F.col("href").startswith(prefix) & F.col("href").endswith(".html"))
     once = wanted.groupBy("href").agg(F.min(F.struct("page_id", "link_no")).alias("_at"))
-    return (
-        once.orderBy("_at")
-        .limit(limit)
-        .select(F.concat(F.lit(base_url), F.col("href")).alias("detail_url"))
-    )
+    chosen = once if limit is None else once.orderBy("_at").limit(limit)
+    return chosen.select(F.concat(F.lit(base_url), F.col("href")).alias("detail_url"))
 
 
 def startup_details(

@@ -27,7 +27,8 @@ def running_offset(
     """Sum of ``value`` over the preceding rows of the group (exclusive prefix sum).
 
     ``block`` must be non-decreasing along ``order``. Rows are shuffled once, on keys and
-    block; the window over a whole group sees one row per block.
+    block; the window over a whole group sees one row per block. A null key is a group like any
+    other, rows with a null order come first.
     """
     valued = df.withColumn("_value", value)
     totals = valued.groupBy(*keys, block).agg(F.sum("_value").alias("_block_sum"))
@@ -37,12 +38,19 @@ def running_offset(
     )
     inside = W.partitionBy(*keys, block).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     return (
-        valued.join(base, [*keys, block])
+        null_safe_join(valued, base, [*keys, block])
         .withColumn(out, F.col("_base") + F.coalesce(F.sum("_value").over(inside), F.lit(0)))
         .drop("_value", "_base")
     )
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join by name where null equals null; the columns of ``left``, then the others of ``right``."""
+    there = right.select(*[F.col(c).alias(f"_right_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = reduce(lambda a, b: a & b, [left[c].eqNullSafe(there[f"_right_{c}"]) for c in keys], F.lit(True))
+    return left.join(there, same, how).drop(*[f"_right_{c}" for c in keys])
+
+
 def group_rank(
     df: DataFrame, keys: list[str], order: str, out: str, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:

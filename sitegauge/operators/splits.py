@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from .ranking import hash_rank, keep_first
+from .ranking import hash_rank, keep_first, null_safe_join
 
 
 def company_labels(rows: DataFrame, company: str, label: str, order: str) -> DataFrame:
@@ -25,9 +24,8 @@ def split_companies(
     keys = [by] if by else []
     ranked = hash_rank(companies, company, keys, seed, "_rank")
     if by:
-        # Written, so that its known size lets the planner broadcast it.
-        sizes = cut_lineage(companies.groupBy(by).agg(F.count(F.lit(1)).alias("_n")), "sizes")
-        ranked = ranked.join(sizes, by)
+        sizes = companies.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+        ranked = null_safe_join(ranked, sizes, [by])
         n = F.col("_n")
     else:
         n = companies.agg(F.count(F.lit(1)).alias("n")).scalar()

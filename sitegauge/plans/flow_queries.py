@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from .. import schemas
 from ..functions import arrays as A
 from ..functions.rules import FAILED_CATEGORY, REVENUE_IDS
+from ..functions.text import fixed_chunks
 from ..functions.urls import url_netloc
 from ..operators import corpus, crawl, pages, ranking
 from ..session import cut_lineage, scratch_path
@@ -295,9 +296,13 @@ def stream_score(spark, sf_dir):
         FROM chunks GROUP BY doc_id""",
 )
 def incremental_features(spark, sf_dir):
-    """Chunk counts per document, built by a stream that is started twice; the second start finds
-    nothing new."""
-    out, marks = scratch_path(spark, "stream-features"), scratch_path(spark, "marks")
+    """Chunk counts per document from parts of documents that come in different batches, a file each;
+    the second start finds nothing new."""
+    out, marks, parts = (scratch_path(spark, n) for n in ("stream-features", "marks", "stream-parts"))
+    docs = table(spark, sf_dir, "documents")
+    # Ten chunks to a part, so that chunks of parts are chunks of the document.
+    split = docs.select("doc_id", F.posexplode(fixed_chunks(F.col("text"), 10 * corpus.CHUNK_CHARS)).alias("part", "text"))
+    split.repartition(4, "part", "doc_id").write.parquet(parts)
 
     def build(docs):
         chunks = corpus.chunk_records(docs, "text", ["doc_id"], min_chars=1)
@@ -306,9 +311,9 @@ def incremental_features(spark, sf_dir):
         )
 
     for _ in range(2):
-        stream = jobs.file_stream(spark, f"{sf_dir}/documents.parque[t]", schemas.DOCUMENTS)
+        stream = jobs.file_stream(spark, parts, split.schema, files_per_batch=1)
         jobs.start_features(stream, "doc_id", build, out, marks).awaitTermination()
-    return jobs.read_batches(spark, out)
+    return jobs.read_features(spark, out, "doc_id")
 
 
 @query(
@@ -316,13 +321,12 @@ def incremental_features(spark, sf_dir):
     "SELECT event_type, count(DISTINCT event_id) AS events FROM events GROUP BY event_type",
 )
 def stream_dedup(spark, sf_dir):
-    """Repeated records with an event time are dropped inside the watermark."""
-    schema = table(spark, sf_dir, "events").schema
-    stream = jobs.file_stream(spark, f"{sf_dir}/events.parque[t]", schema)
-    timed = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    twice = timed.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
-    out, marks = scratch_path(spark, "events"), scratch_path(spark, "marks")
-    jobs.start_features(
-        twice, "event_id", lambda b: b.select("event_id", "event_type"), out, marks, event_time="ts"
-    ).awaitTermination()
-    return jobs.read_batches(spark, out).groupBy("event_type").agg(F.count(F.lit(1)).alias("events"))
+    """Repeated records count once, however far apart they come."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type")
+    out, marks, parts = (scratch_path(spark, n) for n in ("events", "marks", "event-parts"))
+    twice = events.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    twice.repartition(4, "copy", "event_id").write.parquet(parts)
+    stream = jobs.file_stream(spark, parts, twice.schema, files_per_batch=1)
+    build = lambda b: b.select("event_id", "event_type")
+    jobs.start_features(stream, "event_id", build, out, marks, distinct=True).awaitTermination()
+    return jobs.read_features(spark, out, "event_id").groupBy("event_type").agg(F.count(F.lit(1)).alias("events"))

@@ -314,10 +314,14 @@ def confusion_matrix(spark, sf_dir):
 
 @query(
     "company_accuracy",
-    f"WITH {PRED_SQL} SELECT round(avg(CASE WHEN label = pred THEN 1 ELSE 0 END), 6) AS accuracy, count(*) AS n FROM predicted",
+    f"""WITH {PROBS_SQL},
+        c AS (SELECT company, min(label) % 5 AS label, [avg(p[1]), avg(p[2]), avg(p[3]), avg(p[4]), avg(p[5])] AS p FROM probs GROUP BY company)
+        SELECT round(avg(CASE WHEN label = list_position(p, list_max(p)) - 1 THEN 1 ELSE 0 END), 6) AS accuracy, count(*) AS n FROM c""",
 )
 def company_accuracy(spark, sf_dir):
-    return M.rounded(M.accuracy(_predicted(spark, sf_dir), "label", "pred"), 6, "accuracy")
+    """A company's estimate is the largest of its pages' mean probabilities."""
+    companies = M.company_predictions(_page_probs(spark, sf_dir), "company", "label", "probs")
+    return M.rounded(M.accuracy(companies.withColumn("label", F.col("label") % 5), "label", "pred"), 6, "accuracy")
 
 
 @query(

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.companies import not_done
+from ..operators.ranking import null_safe_join
+
+BUCKETS = 64
+BUCKETED = [T.StructField("batch", T.LongType()), T.StructField("_bucket", T.IntegerType())]
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", files_per_batch: int = 1000) -> DataFrame:
@@ -55,38 +58,37 @@ def start_features(
     build: Callable[[DataFrame], DataFrame],
     out: str,
     checkpoint: str,
-    event_time: str | None = None,
-    delay: str = "1 day",
+    distinct: bool = False,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Features of new keys only; a restart continues where the checkpoint stands.
+    """Features per key that do not depend on how the records fall into batches.
 
-    With ``event_time`` given, repeated records are dropped inside the watermark before they
-    reach a batch. Keys already in the output, from earlier batches, are skipped.
+    Every batch adds its records to the stored ones and builds the features of the keys it touches
+    from all their records, so a late record updates its key. With ``distinct`` one record of each
+    key counts, however late the others come. Stored records lie in buckets by key, of which a batch
+    reads those of its own keys.
     """
-    if event_time:
-        records = records.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
 
     def save(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        features = build(batch)
-        earlier = _earlier(spark, out, batch_id, features.schema)
-        fresh = features if earlier is None else build(not_done(batch, earlier, key))
-        fresh.write.mode("overwrite").parquet(_batch_folder(out, batch_id))
+        stored, wide = f"{out}/records", T.StructType([*batch.schema.fields, *BUCKETED])
+        bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+        batch.withColumn("_bucket", bucket).write.mode("overwrite").partitionBy("_bucket").parquet(_batch_folder(stored, batch_id))
+        known = spark.read.schema(wide).option("basePath", stored).option("ignoreMissingFiles", True).parquet(stored)
+        new = known.filter(F.col("batch") == batch_id).select("_bucket", key).distinct()
+        touched = [r[0] for r in new.select("_bucket").distinct().collect()]
+        own = known.filter((F.col("batch") <= batch_id) & F.col("_bucket").isin(touched)).alias("own")
+        same = F.col(f"own.{key}").eqNullSafe(F.col(f"new.{key}"))
+        all_of = own.join(new.alias("new"), same, "left_semi").select(*batch.columns)
+        features = build(all_of.dropDuplicates([key]) if distinct else all_of)
+        features.write.mode("overwrite").parquet(_batch_folder(f"{out}/features", batch_id))
 
     writer = records.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def _earlier(spark: SparkSession, out: str, batch_id: int, schema: T.StructType) -> DataFrame | None:
-    """Rows of the batches before this one; batch 0 has none."""
-    if batch_id == 0:
-        return None
-    wide = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-    rows = spark.read.schema(wide).option("basePath", out).option("ignoreMissingFiles", True).parquet(out)
-    return rows.filter(F.col("batch") < batch_id)
-
-
-def read_batches(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.option("basePath", out).parquet(f"{out}/batch=*").drop("batch")
-
+def read_features(spark: SparkSession, out: str, key: str) -> DataFrame:
+    """The newest features of every key."""
+    rows = spark.read.option("basePath", f"{out}/features").parquet(f"{out}/features/batch=*")
+    newest = rows.groupBy(key).agg(F.max("batch").alias("batch"))
+    return null_safe_join(rows, newest, [key, "batch"]).drop("batch")

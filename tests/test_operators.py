@@ -292,19 +292,19 @@ def test_streams(spark, tmp_path):
     assert run() == {"a": (2, [0.4, 0.6]), "b": (1, [1.0, 0.0]), "c": (1, [0.5, 0.5])}
 
 
-def test_incremental_features_skip_known_keys(spark, tmp_path):
+def test_incremental_features_take_late_records(spark, tmp_path):
     src, out, marks = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "marks")
     schema = "id long, t string"
 
     def step(*rows):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
         stream = jobs.file_stream(spark, src, spark.createDataFrame([], schema).schema)
-        build = lambda b: b.select("id", F.length("t").alias("n"))
+        build = lambda b: b.groupBy("id").agg(F.sum(F.length("t")).alias("n"))
         jobs.start_features(stream, "id", build, out, marks).awaitTermination()
-        return sorted(tuple(r) for r in jobs.read_batches(spark, out).collect())
+        return sorted(tuple(r) for r in jobs.read_features(spark, out, "id").collect())
 
     assert step((1, "a"), (2, "bb")) == [(1, 1), (2, 2)]
-    assert step((2, "changed"), (3, "ccc")) == [(1, 1), (2, 2), (3, 3)]
+    assert step((2, "more"), (3, "ccc")) == [(1, 1), (2, 6), (3, 3)]
 
 
 def test_gate_pad_and_softmax(spark):
