@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitegauge.llm.common import extended, word_chunks
+from sitegauge.llm.common import extended, materialised, word_chunks
 
 SAMPLE = 12_000
 SEEN = 3
@@ -178,14 +178,38 @@ def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: s
     texts = docs.select(F.col(f"`{id_col}`").alias("rated"), F.col(f"`{text_col}`").cast("binary").alias("raw"))
     rated = texts.join(F.broadcast(graded), "rated").select("raw", "grade")
 
-    def run(batches):
+    def read(batches):
         for batch in batches:
-            found = [np.array(sorted(features(x.as_py() or b"")), dtype="<u4").tobytes() for x in batch["raw"]]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch["grade"]], ["found", "grade"])
+            found = [np.fromiter(features(x.as_py() or b""), dtype=np.int64) for x in batch["raw"]]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64())), batch["grade"]], ["found", "grade"])
+
+    drawn = materialised(rated.mapInArrow(read, "found array<bigint>, grade int"), "rated-features")
+    hashes = np.array(sorted(r.feature for r in _telling_in(drawn, SEEN, LIFT).collect()), dtype=np.int64)
 
-    rows = rated.mapInArrow(run, "found binary, grade int").collect()
-    pairs = sorted((bytes(r["found"]), r["grade"]) for r in rows)  # the order of tasks must not change the sums
-    return fit_rows([(np.frombuffer(f, dtype="<u4").astype(np.int64), g) for f, g in pairs])
+    def reduce(batches):
+        for batch in batches:
+            found = [x[np.isin(x, hashes)] for x in (np.array(f.as_py(), dtype=np.int64) for f in batch["found"])]
+            sorted_ = pa.array([np.sort(f) for f in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([sorted_, batch["grade"]], ["found", "grade"])
+
+    rows = drawn.mapInArrow(reduce, "found array<bigint>, grade int").collect()
+    pairs = sorted((r["found"], r["grade"]) for r in rows)  # the order of tasks must not change the sums
+    return fit_rows([(np.array(f, dtype=np.int64), g) for f, g in pairs])
+
+
+def _telling_in(drawn: DataFrame, seen: int, lift: float) -> DataFrame:
+    """(feature): the choice of ``telling``, made where the features are; only those chosen reach the driver."""
+    numbers = {r["grade"]: r["count"] for r in drawn.groupBy("grade").count().collect()}
+    total = sum(numbers.values())
+    each = drawn.select(F.explode("found").alias("feature"), "grade")
+    lower = sorted(numbers)[:-1]
+    own = [F.count(F.when(F.col("grade") == g, 1)).alias(f"n{g}") for g in lower]
+    counts = each.groupBy("feature").agg(F.count("*").alias("n"), *own).where(F.col("n") >= seen)
+    tells = F.lit(False)
+    for g in lower:
+        share = numbers[g] / total
+        tells |= F.col(f"n{g}") - F.col("n") * share > lift * F.sqrt(F.col("n") * (share * (1 - share)))
+    return counts.where(tells).select("feature")
 
 
 def score(docs: DataFrame, model: Ordinal | None, text_col: str = "text") -> DataFrame:
