@@ -8,7 +8,6 @@ that get a tree of their own. Text is cut only where the pretokenizer cuts, so t
 
 from __future__ import annotations
 
-import gc
 import json
 
 import numpy as np
@@ -16,7 +15,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from sitegauge.llm.common import extended, worker_cache
+from sitegauge.llm.common import extended, without_collector, worker_cache
 
 PATTERN = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -282,7 +281,6 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame
     docs = docs.drop("token_ids", "n_tokens")
 
     def run(batches):
-        gc.disable()  # nothing here makes cycles, and the caches hold many objects
         own = codec(tokenizer)
         for batch in batches:
             for at, texts in text_batches(batch, text_col):
@@ -292,7 +290,7 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame
                     names=[*batch.schema.names, "token_ids", "n_tokens"],
                 )
 
-    return docs.mapInArrow(run, extended(docs, "token_ids binary, n_tokens long"))
+    return docs.mapInArrow(without_collector(run), extended(docs, "token_ids binary, n_tokens long"))
 
 
 def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "token_ids", to: str = "decoded") -> DataFrame:

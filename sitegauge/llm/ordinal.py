@@ -8,7 +8,6 @@ of a text repeats.
 
 from __future__ import annotations
 
-import gc
 import zlib
 from dataclasses import dataclass
 
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitegauge.llm.common import extended, materialised, word_chunks
+from sitegauge.llm.common import extended, materialised, without_collector, word_chunks
 
 SAMPLE = 12_000
 SEEN = 3
@@ -224,7 +223,6 @@ def score(docs: DataFrame, model: Ordinal | None, text_col: str = "text") -> Dat
     weights, thresholds = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds)), model.thresholds
 
     def run(batches):
-        gc.disable()
         of = weights.value[0]
         known: dict[bytes, tuple[int, ...]] = {}
         for batch in batches:
@@ -246,7 +244,7 @@ def score(docs: DataFrame, model: Ordinal | None, text_col: str = "text") -> Dat
                 names=[*batch.schema.names, "expected_grade", "tail_probability"],
             )
 
-    return docs.mapInArrow(run, extended(docs, "expected_grade double, tail_probability double"))
+    return docs.mapInArrow(without_collector(run), extended(docs, "expected_grade double, tail_probability double"))
 
 
 def accepted(scored: DataFrame, least: float = 0.5):

@@ -7,13 +7,14 @@ pack blocks of bounded size by themselves: packing needs no shuffle, and only th
 
 from __future__ import annotations
 
-import gc
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitegauge.llm.common import without_collector
+
 BLOCK_TOKENS = 4 << 20
 PACKED = (
     "block long, row int, doc_ids array<{id}>, piece_starts array<long>, cu_seqlens array<int>, n_tokens int, "
@@ -104,7 +105,6 @@ def packed(encoded: DataFrame, size: int, pad: int, id_col: str = "doc_id", ids_
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
     def run(batches):
-        gc.disable()
         docs, texts, total, number, schema = [], [], 0, None, None
         for batch in batches:
             if schema is None:
@@ -123,7 +123,7 @@ def packed(encoded: DataFrame, size: int, pad: int, id_col: str = "doc_id", ids_
         if docs:
             yield matrix(number, docs, texts, schema)
 
-    return rows.mapInArrow(run, PACKED.format(id=id_type))
+    return rows.mapInArrow(without_collector(run), PACKED.format(id=id_type))
 
 
 def write_packed(rows: DataFrame, path: str) -> None:
