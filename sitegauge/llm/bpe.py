@@ -9,6 +9,7 @@ that get a tree of their own. Text is cut only where the pretokenizer cuts, so t
 from __future__ import annotations
 
 import json
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -206,7 +207,7 @@ class Codec:
             self.words.clear()
         single = {u for u in units if u[1:].isalpha() and (u[0] == " " or u[0].isalpha())}
         cut = {u: PATTERN.findall(u) for u in units - single}
-        fresh = {w for ws in cut.values() for w in ws}
+        fresh = set(chain.from_iterable(cut.values()))
         fresh |= single
         fresh -= self.words.keys()
         by_size: dict[int, list[str]] = {}
@@ -227,10 +228,9 @@ class Codec:
                     self.words[w] = ids[begin:end]
                     begin = end
         get = self.words.__getitem__
-        for u in single:
-            self.units[u] = get(u)
+        self.units.update(zip(single, map(get, single), strict=True))
         for u, ws in cut.items():
-            self.units[u] = b"".join(map(get, ws))
+            self.units[u] = b"".join(map(get, ws)) if len(ws) > 1 else get(ws[0])
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
@@ -241,7 +241,8 @@ class Codec:
                 split.append([p if p in special else self._units(p) for p in self.cut.split(text) if p])
             else:
                 split.append([self._units(text)] if text else [])
-        met = {u for parts in split for p in parts if isinstance(p, list) for u in p}
+        met: set[str] = set()
+        met.update(*[p for parts in split for p in parts if isinstance(p, list)])
         fresh = met - self.units.keys()
         if len(self.units) + len(fresh) > CACHED:
             self.units.clear()
