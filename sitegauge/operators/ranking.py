@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 BLOCK_ROWS = 10_000
 
 
@@ -44,6 +46,36 @@ def running_offset(
     )
 
 
+def row_positions(
+    df: DataFrame, keys: list[str], order: list[str], out: str, total: str | None = None
+) -> DataFrame:
+    """Zero-based position of each row in its group, whatever the values of ``order`` are.
+
+    Rows are dealt out by ranges of (keys, order) and written in that order; a row's position
+    is then its place in its part plus the rows of the group in earlier parts, which a table
+    with one row per part and group tells. A hot group spans many parts, and so do rows that
+    are equal in keys and order (those get positions in any order). Null keys are a group,
+    null orders come first. ``total`` names a column for the rows of the group. No rows give none.
+    """
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    by = [F.col(f"`{c}`") for c in [*keys, *order, "_tie"]]
+    placed = tied.repartitionByRange(*by).sortWithinPartitions(*by).drop("_tie")
+    placed = cut_lineage(placed.withColumn("_at", F.monotonically_increasing_id()), "placed")
+    placed = placed.withColumn("_part", F.shiftright("_at", 33))
+    parts = placed.groupBy(*[f"`{k}`" for k in keys], "_part").agg(
+        F.min("_at").alias("_first"), F.count("*").alias("_rows")
+    )
+    whole = W.partitionBy(*[f"`{k}`" for k in keys])
+    ahead = whole.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.withColumn("_base", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)))
+    parts = parts.withColumn("_total", F.sum("_rows").over(whole)).drop("_rows")
+    found = null_safe_join(placed, parts, [*keys, "_part"])
+    found = found.withColumn(out, F.col("_base") + F.col("_at") - F.col("_first"))
+    if total:
+        found = found.withColumn(total, F.col("_total"))
+    return found.drop("_at", "_part", "_first", "_base", "_total")
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join by name where null equals null; the columns of ``left``, then the others of ``right``."""
     there = right.select(*[F.col(c).alias(f"_right_{c}") if c in keys else F.col(c) for c in right.columns])
