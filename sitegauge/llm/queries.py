@@ -6,8 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegauge.llm import bpe, exact, hosts, ordinal, packing, pagediff, prefixes, secrets, simhash, suffixes
-from sitegauge.llm.common import table
+from sitegauge.llm import (
+    alignment,
+    bpe,
+    exact,
+    hosts,
+    merkle,
+    mixing,
+    ordinal,
+    packing,
+    pagediff,
+    prefixes,
+    secrets,
+    simhash,
+    suffixes,
+)
+from sitegauge.llm.common import materialised, table
 
 LEAST_TAIL = 0.5
 TOKEN_LIMIT = 2048
@@ -135,6 +149,88 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+
+def op11_merkle_witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    values = ["doc_id", "source", "lang", "n_chars", "text"]
+    lowered = {"text": F.translate("text", hosts.UPPER, hosts.LOWER)}
+    touched = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    rows = docs.select(
+        "doc_id",
+        "lang",
+        merkle.leaf(*[F.col(c) for c in values]).alias("leaf"),
+        F.when(touched, merkle.leaf(*[lowered.get(c, F.col(c)) for c in values])).alias("tampered"),
+    )
+    sealed = merkle.manifest(materialised(rows, "merkle-leaves"), "lang", "doc_id")
+    seen = merkle.with_folded_root(sealed.withColumn("seen", F.coalesce("tampered", "leaf")), "seen")
+    as_text = [F.lower(F.hex(c)).alias(c) for c in ("leaf", "subroot", "root", "folded_root")]
+    proof = F.sha2(F.lower(F.hex("witness")), 256).alias("proof_sha256")
+    return seen.select("doc_id", *as_text, proof, (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def merkle_sql(levels: int = 8, top_levels: int = 4) -> str:
+    """The trees level by level, for up to 8 ** levels rows in a group and 8 ** top_levels groups."""
+
+    def framed(text: str) -> str:
+        values = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+        return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
+
+    def climb(name: str, rows: str, many: int) -> list[str]:
+        """``rows`` (k, g, i, n, d, seen): the digests, then for each row what its proof and folded root are so far."""
+        steps = [f"{name}n0 AS (SELECT g, i, n, d FROM {rows})", f"{name}p0 AS (SELECT k, g, i, n, seen, '' AS proof FROM {rows})"]
+        for at in range(many):
+            steps.append(f"{name}r{at} AS MATERIALIZED (SELECT g, i // 8 AS r, any_value(n) AS n, list(d ORDER BY i) AS ds FROM {name}n{at} WHERE n > 1 GROUP BY ALL)")
+            steps.append(
+                f"{name}n{at + 1} AS MATERIALIZED (SELECT g, r AS i, (n + 7) // 8 AS n, sha256(array_to_string(ds, '')) AS d FROM {name}r{at} "
+                f"UNION ALL SELECT g, i, n, d FROM {name}n{at} WHERE n = 1)"
+            )
+            steps.append(
+                f"{name}p{at + 1} AS MATERIALIZED (SELECT k, p.g, r AS i, (p.n + 7) // 8 AS n, "
+                "sha256(array_to_string(ds[1:i % 8], '') || seen || array_to_string(ds[i % 8 + 2:], '')) AS seen, "
+                f"proof || array_to_string(ds[1:i % 8], '') || array_to_string(ds[i % 8 + 2:], '') AS proof FROM {name}p{at} p "
+                f"JOIN {name}r{at} q ON p.g IS NOT DISTINCT FROM q.g AND p.i // 8 = q.r UNION ALL SELECT k, g, i, n, seen, proof FROM {name}p{at} WHERE n = 1)"
+            )
+        return steps
+
+    lowered = f"translate(text, '{hosts.UPPER}', '{hosts.LOWER}')"
+    byte = "list_reduce([xor(c, d), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))"
+    codes = "[CAST(ascii(d) AS BIGINT) for d in string_split(CAST(doc_id AS VARCHAR), '')]"
+    crc = f"xor(list_reduce({codes}, lambda c, d: {byte}, CAST(4294967295 AS BIGINT)), 4294967295)"
+    return f"""
+WITH l AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, lang AS g, {framed("text")} AS d, {framed(lowered)} AS other, {crc} AS crc FROM documents),
+rows AS MATERIALIZED (SELECT k, doc_id, g, d, CASE WHEN crc % 3 = 0 THEN other ELSE d END AS seen,
+  row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, d) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM l),
+{", ".join(climb("a", "rows", levels))},
+subs AS (SELECT g, d FROM an{levels}),
+groups AS MATERIALIZED (SELECT p.k, 0 AS g, s.i, s.n, s.d, p.seen, p.proof AS lower FROM ap{levels} p
+  JOIN (SELECT g, d, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM subs) s ON p.g IS NOT DISTINCT FROM s.g),
+tops AS (SELECT DISTINCT g, i, n, d FROM groups),
+{", ".join(climb("b", "groups", top_levels)).replace("bn0 AS (SELECT g, i, n, d FROM groups)", "bn0 AS (SELECT g, i, n, d FROM tops)")}
+SELECT rows.doc_id, rows.d AS leaf, subs.d AS subroot, bn{top_levels}.d AS root, sha256(groups.lower || bp{top_levels}.proof) AS proof_sha256,
+       bp{top_levels}.seen AS folded_root, bp{top_levels}.seen = bn{top_levels}.d AS verified
+FROM rows JOIN groups USING (k) JOIN bp{top_levels} USING (k) JOIN subs ON rows.g IS NOT DISTINCT FROM subs.g, bn{top_levels}
+"""
+
+
+def op12_pointer_jumping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    rows = alignment.aligned(table(spark, sf_dir, "documents").select("doc_id", "text"), a, b)
+    shown = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    rows = materialised(rows.select(*[c for c in rows.columns if c not in ("text", "groups")], shown), "aligned")
+    held = materialised(alignment.chunk_pairs(rows), "aligned-pairs")
+    counts = alignment.pair_counts(held, alignment.pieces(b))
+    weighed = alignment.weighed(rows, held, counts)
+    return weighed.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+SOURCE_WEIGHTS = [5, 2, 1]
+
+
+def op13_splitting_tree_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.assigned(table(spark, sf_dir, "documents"), SOURCE_WEIGHTS)
+    return mix.select("doc_id", "size", "source_size", "target", "taken", "shards")
+
+
 # Name to query and SQL, which is None where SQL can't express the operator.
 QUERIES = {
     "op1_simhash_vp_trees": (op1_simhash_vp_trees, None),
@@ -147,4 +243,7 @@ QUERIES = {
     "op8_packed_rows": (op8_packed_rows, None),
     "op9_exact_dedup": (op9_exact_dedup, EXACT_SQL),
     "op10_suffix_arrays": (op10_suffix_arrays, MATCH_SQL),
+    "op11_merkle_witnesses": (op11_merkle_witnesses, merkle_sql()),
+    "op12_pointer_jumping": (op12_pointer_jumping, None),
+    "op13_splitting_tree_mix": (op13_splitting_tree_mix, None),
 }
