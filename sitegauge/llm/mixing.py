@@ -62,60 +62,38 @@ def source_targets(sized: DataFrame, weights: list[float], most: int = MOST) ->
     return ranked.withColumn("level", level).select("source", "nr", "source_size", F.coalesce(target, F.col("cap")).alias("target"))
 
 
-def log_factorial(n: Column) -> Column:
-    """ln n!, by Stirling's series where the product is too large."""
-    x = n.cast("double") + 1
-    series = (x - 0.5) * F.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
-    return F.when(n <= 20, F.log(F.factorial(F.least(n, F.lit(20)).cast("int")).cast("double"))).otherwise(series)
-
-
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` worked out once, inside expressions over arrays too."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
-def hypergeometric(good: Column, bad: Column, draws: Column, u: Column) -> Column:
-    """How many of ``draws`` from an urn are good, as the quantile of ``u`` when outcomes are ordered by their distance from the mode."""
-
-    def from_mode(mode: Column) -> Column:
-        log_choose = lambda n, k: log_factorial(n) - log_factorial(k) - log_factorial(n - k)
-        at_mode = F.exp(log_choose(good, mode) + log_choose(bad, draws - mode) - log_choose(good + bad, draws))
-        spread = F.sqrt(draws.cast("double") * good * bad / F.greatest(good + bad, F.lit(1)) / F.greatest(good + bad, F.lit(1)))
-        span = F.greatest(F.least(good, draws) - mode, mode - F.greatest(draws - bad, F.lit(0)))
-        steps = F.least(span, F.ceil(9 * spread) + 40)
-
-        def step(at: Column, i: Column) -> Column:
-            up, down = mode + i, mode - i
-            more = at["more"] * (good - up + 1) * (draws - up + 1) / (up.cast("double") * (bad - draws + up))
-            fewer = at["fewer"] * (down + 1) * (bad - draws + down + 1) / ((good - down).cast("double") * (draws - down))
-            return _let(
-                F.struct(more.alias("more"), fewer.alias("fewer")),
-                lambda p: F.struct(
-                    (at["left"] - p["more"] - p["fewer"]).alias("left"),
-                    p["more"].alias("more"),
-                    p["fewer"].alias("fewer"),
-                    F.when((at["got"] >= 0) | (at["left"] < 0), at["got"])
-                    .when(at["left"] < p["more"], up)
-                    .when(at["left"] < p["more"] + p["fewer"], down)
-                    .otherwise(F.lit(-1).cast("long"))
-                    .alias("got"),
-                ),
-            )
-
-        start = _let(
-            at_mode,
-            lambda p: F.struct(
-                (u - p).alias("left"), p.alias("more"), p.alias("fewer"), F.when(u < p, mode).otherwise(F.lit(-1).cast("long")).alias("got")
-            ),
-        )
-        walk = F.when(steps > 0, F.sequence(F.lit(1).cast("long"), steps)).otherwise(F.array().cast("array<long>"))
-        found = F.aggregate(walk, start, step, lambda at: at["got"])
-        return _let(found, lambda got: F.when(got < 0, mode).otherwise(got))
-
-    total = (good + bad + 2).cast("double")
-    peak = F.floor((draws + 1).cast("double") * (good + 1) / total)
-    low, high = F.greatest(draws - bad, F.lit(0)), F.least(good, draws)
-    return _let(F.least(F.greatest(peak, low), high).cast("long"), from_mode)
+def log_factorial(n: str) -> str:
+    """SQL for ln n!, by Stirling's series where the product is too large."""
+    x = f"({n} + 1D)"
+    series = f"({x} - 0.5D) * ln({x}) - {x} + 0.9189385332046727D + 1 / (12 * {x}) - 1 / (360 * pow({x}, 3)) + 1 / (1260 * pow({x}, 5))"
+    return f"if({n} <= 20, ln(CAST(factorial(CAST(least({n}, 20) AS INT)) AS DOUBLE)), {series})"
+
+
+def _let(name: str, value: str, use: str) -> str:
+    """SQL for ``use`` with ``name`` for a value that is worked out once, inside expressions over arrays too."""
+    return f"transform(array({value}), {name} -> {use})[0]"
+
+
+def hypergeometric(good: str, bad: str, draws: str, u: str) -> str:
+    """SQL for how many of ``draws`` from an urn are good: the quantile of ``u`` when outcomes are ordered by their distance from
+    the mode.
+
+    The likelihoods follow from the mode's, step by step both ways, for as long as they can be told from none.
+    """
+    choose = lambda n, k: f"{log_factorial(n)} - {log_factorial(k)} - {log_factorial(f'({n} - {k})')}"
+    total, low, high = f"({good} + {bad})", f"greatest({draws} - {bad}, 0)", f"least({good}, {draws})"
+    peak = f"CAST(floor(({draws} + 1D) * ({good} + 1) / ({total} + 2)) AS BIGINT)"
+    at_mode = f"exp({choose(good, 'mode')} + {choose(bad, f'({draws} - mode)')} - ({choose(total, draws)}))"
+    deviation = f"sqrt(1D * {draws} * {good} * {bad}) / greatest({total}, 1)"
+    steps = f"least(greatest({high} - mode, mode - {low}), CAST(ceil(9 * {deviation}) AS BIGINT) + 40)"
+    more = f"s.more * ({good} - mode - i + 1) * ({draws} - mode - i + 1) / (1D * (mode + i) * ({bad} - {draws} + mode + i))"
+    fewer = f"s.fewer * (mode - i + 1) * ({bad} - {draws} + mode - i + 1) / (1D * ({good} - mode + i) * ({draws} - mode + i))"
+    got = "CASE WHEN s.got >= 0 THEN s.got WHEN s.left < p.more THEN mode + i WHEN s.left < p.more + p.fewer THEN mode - i ELSE -1L END"
+    step = _let("p", f"struct({more} AS more, {fewer} AS fewer)", f"struct(s.left - p.more - p.fewer AS left, p.more AS more, p.fewer AS fewer, {got} AS got)")
+    start = _let("p", at_mode, f"struct({u} - p AS left, p AS more, p AS fewer, if({u} < p, mode, -1L) AS got)")
+    walk = f"if({steps} > 0, sequence(1L, {steps}), CAST(array() AS ARRAY<BIGINT>))"
+    found = f"aggregate({walk}, {start}, (s, i) -> {step}, s -> if(s.got < 0, mode, s.got))"
+    return _let("mode", f"least(greatest({peak}, {low}), {high})", found)
 
 
 def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
@@ -132,22 +110,17 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
         F.transform("all", lambda s: F.lit(0).cast("long")).alias("first"),
         F.aggregate("all", F.lit(0).cast("long"), lambda n, s: n + s["quota"]).alias("total"),
     )
-    half = F.floor((F.col("lo") + F.col("hi")) / 2)
-    room = lambda shard: F.floor(F.col("total") * shard / shards)
-    inside = F.aggregate("quota", F.lit(0).cast("long"), lambda n, q: n + q)
-
-    def draw(at: Column, both: Column) -> Column:
-        u = uniform(F.lit(seed), F.col("lo"), F.col("hi"), both["nr"])
-        rest = at["rest"] - both["quota"]
-        return _let(
-            hypergeometric(both["quota"], rest, at["draws"], u),
-            lambda k: F.struct(rest.alias("rest"), (at["draws"] - k).alias("draws"), F.concat(at["left"], F.array(k)).alias("left")),
-        )
-
-    numbered = F.transform("quota", lambda q, i: F.struct(q.alias("quota"), i.alias("nr")))
-    start = F.struct(inside.alias("rest"), (room(half) - room(F.col("lo"))).alias("draws"), F.array().cast("array<long>").alias("left"))
-    left = F.aggregate(numbered, start, draw, lambda at: at["left"])
-    drawn = {"mid": half.cast("long"), "left": F.when(F.col("hi") - F.col("lo") > 1, left)}
+    half = "CAST(floor((lo + hi) / 2) AS BIGINT)"
+    room = lambda shard: f"CAST(floor(total * {shard} / {shards}) AS BIGINT)"
+    u = f"(pmod(xxhash64({seed}, lo, hi, q.nr), {1 << 52}) + 0.5D) / {float(1 << 52)!r}D"
+    rest = "(at.rest - q.quota)"
+    drawn_one = _let(
+        "k", hypergeometric("q.quota", rest, "at.draws", u), f"struct({rest} AS rest, at.draws - k AS draws, concat(at.left, array(k)) AS left)"
+    )
+    left = f"""aggregate(transform(quota, (x, nr) -> struct(x AS quota, nr AS nr)),
+        struct(aggregate(quota, 0L, (n, x) -> n + x) AS rest, {room(half)} - {room("lo")} AS draws, CAST(array() AS ARRAY<BIGINT>) AS left),
+        (at, q) -> {drawn_one}, at -> at.left)"""
+    drawn = {"mid": F.expr(half), "left": F.when(F.col("hi") - F.col("lo") > 1, F.expr(left))}
     pair = F.array(
         F.struct("lo", F.col("mid").alias("hi"), F.col("left").alias("quota"), F.col("first")),
         F.struct(

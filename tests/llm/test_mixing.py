@@ -106,7 +106,7 @@ def test_hypergeometric_is_exact(spark):
     for good, bad, draws in cases:
         n = 4000
         grid = spark.range(n).select(
-            mixing.hypergeometric(*[F.lit(v).cast("long") for v in (good, bad, draws)], (F.col("id") + 0.5) / n).alias("k")
+            F.expr(mixing.hypergeometric(f"{good}L", f"{bad}L", f"{draws}L", f"((id + 0.5D) / {n})")).alias("k")
         )
         got = {r.k: r["count"] / n for r in grid.groupBy("k").count().collect()}
         want = {k: comb(good, k) * comb(bad, draws - k) / comb(good + bad, draws) for k in range(max(0, draws - bad), min(good, draws) + 1)}
@@ -115,7 +115,7 @@ def test_hypergeometric_is_exact(spark):
 
 
 def test_hypergeometric_of_many(spark):
-    drawn = spark.range(400).select(mixing.hypergeometric(*[F.lit(v).cast("long") for v in (10**8, 2 * 10**8, 10**8)], mixing.uniform(F.col("id"))).alias("k"))
+    drawn = spark.range(400).withColumn("u", mixing.uniform(F.col("id"))).select(F.expr(mixing.hypergeometric("100000000L", "200000000L", "100000000L", "u")).alias("k"))
     mean, std = drawn.agg(F.avg("k"), F.stddev("k")).first()
     p, n = 1 / 3, 10**8
     want = (n * p * (1 - p) * (2 / 3)) ** 0.5
