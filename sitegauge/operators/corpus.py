@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import FAILED_CATEGORY
 from ..functions.text import fixed_chunks, strip
-from .ranking import BLOCK_ROWS, first_k, keep_first, null_safe_join, running_offset
+from .ranking import BLOCK_ROWS, counted_blocks, first_k, keep_first, null_safe_join, running_offset
 
 CHUNK_CHARS = 400
 MIN_CHUNK_CHARS = 50
@@ -42,8 +42,8 @@ def ordered_concat(
     """Texts of a group joined by one space in ``order``, cut into parts of ``part_chars``.
 
     ``keys, part_no, part_text``: the parts in order are the joined text exactly, and no part
-    exceeds ``part_chars``, so a group of any size never meets in one task. ``order`` is a
-    unique integer.
+    exceeds ``part_chars``, so a group of any size never meets in one task. ``order`` is unique in
+    its group, of any type and with any gaps; blocks are counted, not cut by its values.
     """
     pieces = _placed_pieces(records, keys, order, text, block_rows)
     return _cut_and_join(pieces, keys, part_chars)
@@ -89,12 +89,15 @@ def category_order_concat(
 
 
 def _placed_pieces(records: DataFrame, keys: list[str], order: str, text: str, block_rows: int) -> DataFrame:
-    """Each record's share of the joined text, ``_piece``, and where it starts, ``_at``."""
+    """Each record's share of the joined text, ``_piece``, and where it starts, ``_at``.
+
+    Starts are worked out on lengths alone; the texts meet them in one join.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = records.select(*keys, order, body.alias("_text")).withColumn(
-        "_block", F.floor(F.col(order) / block_rows)
-    )
-    placed = running_offset(rows, keys, "_block", [order], F.length("_text") + 1, "_start")
+    rows = records.select(*keys, order, body.alias("_text"))
+    sizes = counted_blocks(rows.select(*keys, order, F.length("_text").alias("_chars")), keys, order, "_block", block_rows)
+    starts = running_offset(sizes, keys, "_block", [order], F.col("_chars") + 1, "_start").select(*keys, order, "_start")
+    placed = null_safe_join(rows, starts, [*keys, order])
     # Every record but the first brings the separator in front of it.
     piece = F.when(F.col("_start") == 0, F.col("_text")).otherwise(F.concat(F.lit(" "), F.col("_text")))
     start = F.when(F.col("_start") == 0, F.lit(0)).otherwise(F.col("_start") - 1)

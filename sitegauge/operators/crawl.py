@@ -52,9 +52,24 @@ def crawl_summary(
     budget: int = BUDGET_CHARS,
     min_chars: int = MIN_PAGE_CHARS,
 ) -> DataFrame:
-    """Pages seen, categories with text and total gathered length per company."""
+    """Pages seen, categories with text and total gathered length per company.
+
+    Of a page at most ``budget`` characters can count; those are written once, so that texts are
+    extracted once for both the pages seen and the texts gathered.
+    """
+    stored = stored_texts(pages, [company, category], order, text, budget)
+    texts = budget_texts(stored, [company, category], order, text, budget, min_chars)
+    return summary_of(stored, texts, company, category)
+
+
+def stored_texts(pages: DataFrame, keys: list[str], order: list[str], text: str, budget: int = BUDGET_CHARS) -> DataFrame:
+    """The columns that gathering needs, written once below the shared folder; texts cut to what can count."""
+    return cut_lineage(pages.select(*keys, *order, F.substring(F.col(text), 1, budget).alias(text)), "page-texts")
+
+
+def summary_of(pages: DataFrame, texts: DataFrame, company: str, category: str) -> DataFrame:
+    """``crawl_summary`` from all pages and the texts gathered of them."""
     seen = pages.groupBy(company).agg(F.count(F.lit(1)).alias("pages_crawled"))
-    texts = budget_texts(pages, [company, category], order, text, budget, min_chars)
     found = texts.groupBy(company).agg(
         F.sort_array(F.collect_set(category)).alias("found_categories"),
         F.sum(F.length("text")).alias("text_length_total"),

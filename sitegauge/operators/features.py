@@ -25,6 +25,7 @@ from ..functions.rules import (
 )
 from ..functions.text import number_or
 from ..functions.once import computed_once
+from .ranking import counted_blocks, null_safe_join
 
 BLOCK_ROWS = 1_000
 _ANY_DISTANCE = 1 << 40
@@ -203,8 +204,8 @@ def structural_features(
 ) -> DataFrame:
     """One row per company with every rule-based feature; the text column is read once.
 
-    ``seq`` is a unique integer giving the record order. Records of other categories count for
-    nothing, but their company still gets a row.
+    ``seq`` is a unique integer giving the record order, with any gaps: blocks of records are
+    counted. Records of other categories count for nothing, but their company still gets a row.
     """
     _check_additive(count_rules)
     _check_additive(unique_rules)
@@ -235,7 +236,7 @@ def structural_features(
     columns = [
         "_company",
         "_cat",
-        F.floor(F.col("_at") / block_rows).alias("_block"),
+        "_at",
         F.length(t).cast("long").alias("_chars"),
         *counts,
         "_terms",
@@ -246,7 +247,9 @@ def structural_features(
         )
         piece = F.struct(F.col("_cat").alias("cat"), F.col("_at").alias("at"), numbers.alias("numbers"))
         columns.append(F.when(t.isNotNull(), piece).alias("_piece"))
-    rows = scanned.select(*columns)
+    order = ["_company", "_cat", "_at"]
+    blocked = counted_blocks(known.select(*order), order[:2], "_at", "_block", block_rows)
+    rows = null_safe_join(scanned.select(*columns), blocked, order)
 
     sums = [F.sum(k).alias(k) for k in counts]
     fold = [_fold(F.sort_array(F.collect_list("_piece"))).alias("_piece")] if number_rules else []

@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import PCA, PCAModel
+from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
+from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import arrays as A
 from ..functions.rules import FEATURE_GROUPS
 from ..session import cut_lineage
 from .companies import present_columns
-from .metrics import calinski_harabasz, company_predictions, fold_summary, silhouette
+from .metrics import calinski_harabasz, company_accuracy, company_predictions, fold_summary, silhouette
 from .neighbours import knn_predictions, trustworthiness
 from .splits import stratified_folds
 
@@ -56,24 +60,100 @@ def vectorised(rows: DataFrame, columns: list[str], out: str) -> DataFrame:
     return rows.withColumn(out, F.array(*values))
 
 
-def fit_pca(rows: DataFrame, vector: str, k: int = 50) -> tuple[Scaler, PCAModel]:
-    """Centring and principal components; ``k`` is cut to the vector length."""
-    scaler = fit_scaler(rows, vector)
-    centring = Scaler(scaler.means, tuple(1.0 for _ in scaler.means))
-    ready = centring.transform(rows, vector, "_v").select(array_to_vector("_v").alias("_v"))
-    model = PCA(k=min(k, len(scaler.means)), inputCol="_v", outputCol="_p").fit(ready)
-    return centring, model
+@dataclass(frozen=True)
+class Components:
+    """Principal components: means, directions (a column each, largest first), population variances along them, and the
+    largest remainder ``|C v - variance v|`` as a share of the first variance."""
+
+    means: np.ndarray
+    directions: np.ndarray
+    variances: np.ndarray
+    residual: float
+
+
+def _matrix(vectors: pa.Array, size: int) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+
+
+def covariance_product(rows: DataFrame, vector: str, means: np.ndarray, basis: np.ndarray, n: int) -> np.ndarray:
+    """``C · basis`` for the population covariance ``C``, without forming ``C``: each task adds up ``X' (X basis)``."""
+    size, width = basis.shape
 
+    def partial(batches):
+        total = np.zeros((size, width))
+        for batch in batches:
+            x = _matrix(batch["v"].drop_null(), size) - means
+            total += x.T @ (x @ basis)
+        columns = [pa.array(range(size), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["dim", "g"])
 
-def project(rows: DataFrame, vector: str, fitted: tuple[Scaler, PCAModel], out: str) -> DataFrame:
-    """Component scores; each component's largest loading is made positive, so signs are stable."""
-    centring, model = fitted
-    pc = model.pc.toArray()
-    flips = [1.0 if column[abs(column).argmax()] >= 0 else -1.0 for column in pc.T]
-    ready = centring.transform(rows, vector, "_v").withColumn("_v", array_to_vector("_v"))
-    signs = F.array(*[F.lit(s) for s in flips])
-    scores = F.zip_with(vector_to_array("_p"), signs, lambda x, s: x * s)
-    return model.transform(ready).withColumn(out, scores).drop("_v", "_p")
+    parts = rows.select(A.doubles(F.col(vector)).alias("v")).mapInArrow(partial, "dim int, g array<double>")
+    sums = parts.groupBy("dim").agg(F.array(*[F.sum(F.get("g", F.lit(i))) for i in range(width)]).alias("g")).collect()
+    out = np.zeros((size, width))
+    for r in sums:
+        out[r["dim"]] = r["g"]
+    return out / n
+
+
+def fit_pca(
+    rows: DataFrame, vector: str, k: int = 50, extra: int = 10, tolerance: float = 1e-9, most_passes: int = 60, seed: int = 42
+) -> Components:
+    """The ``k`` largest principal components (``k`` is cut to the vector length), by randomised subspace iteration.
+
+    Every pass multiplies the covariance with a block of ``k + extra`` directions in one distributed product; the
+    products so far span the space in which the components are sought (block Krylov), until their remainder is below
+    ``tolerance``. The driver holds matrices of vector length times at most eight blocks, never the covariance. The
+    largest loading of each direction is positive. Rows without a vector are left out.
+    """
+    rows = rows.filter(F.col(vector).isNotNull())
+    scaler = fit_scaler(rows, vector)
+    means, n = np.array(scaler.means), rows.count()
+    size = len(means)
+    k, width = min(k, size), min(k + extra, size)
+    block = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, width)))[0]
+    basis, images = np.zeros((size, 0)), np.zeros((size, 0))
+    for _ in range(most_passes):
+        image = covariance_product(rows, vector, means, block, n)
+        basis, images = np.hstack([basis, block]), np.hstack([images, image])
+        small = basis.T @ images
+        values, inner = np.linalg.eigh((small + small.T) / 2)
+        order = np.argsort(-values)
+        values, inner = values[order], inner[:, order]
+        found, moved = basis @ inner[:, :k], images @ inner[:, :k]
+        top = max(values[0], np.finfo(float).tiny)
+        rest = moved - found * values[:k]
+        residual = float(np.linalg.norm(rest, axis=0).max() / top)
+        if residual <= tolerance or basis.shape[1] == size:
+            break
+        if basis.shape[1] + width > 8 * width:  # start anew from the best directions so far
+            keep = inner[:, :width]
+            basis, images = basis @ keep, images @ keep
+            image = images - basis @ (basis.T @ images)
+        for _ in range(2):
+            image = image - basis @ (basis.T @ image)
+        left, strength, _ = np.linalg.svd(image, full_matrices=False)
+        block = left[:, strength > 1e-13 * top][:, : size - basis.shape[1]]
+        if not block.shape[1]:
+            break
+    signs = np.sign(found[np.abs(found).argmax(axis=0), np.arange(k)])
+    return Components(means, found * np.where(signs == 0, 1.0, signs), np.maximum(values[:k], 0.0), residual)
+
+
+def project(rows: DataFrame, vector: str, fitted: Components, out: str) -> DataFrame:
+    """Component scores, in Arrow batches; null where there is no vector."""
+    size = len(fitted.means)
+    rows = rows.drop(out)
+    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
+
+    def scores(batches):
+        for batch in batches:
+            there = batch["_v"].is_valid()
+            values = pa.array(((_matrix(batch["_v"].drop_null(), size) - fitted.means) @ fitted.directions).tolist(), pa.list_(pa.float64()))
+            places = np.where(there, np.cumsum(there) - 1, 0)
+            column = values.take(pa.array(places, mask=~np.asarray(there))) if len(values) else pa.nulls(batch.num_rows, values.type)
+            yield pa.RecordBatch.from_arrays([*batch.drop_columns(["_v"]).columns, column], names=schema.names)
+
+    return rows.withColumn("_v", A.doubles(F.col(vector))).mapInArrow(scores, schema)
 
 
 def map_2d(rows: DataFrame, vector: str, components: int = 50, seed: int = 42, out: str = "map") -> DataFrame:
@@ -179,6 +259,66 @@ def fit_best(
     return best
 
 
+class CompanyAccuracy(Evaluator):
+    """Share of companies whose pages' mean probabilities are largest for the company's label."""
+
+    def __init__(self, company: str, label: str = "label", probability: str = "probability"):
+        super().__init__()
+        self.company, self.label, self.probability = company, label, probability
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        pages = dataset.withColumn("_p", vector_to_array(self.probability))
+        return company_accuracy(pages, self.company, self.label, "_p").first()["accuracy"] or 0.0
+
+    def isLargerBetter(self) -> bool:
+        return True
+
+
+@dataclass(frozen=True)
+class Selection:
+    """The chosen model fitted on all rows, what each candidate reached, and the probabilities that show it.
+
+    ``candidates``: candidate, reg_param, accuracy (mean over folds). ``held_out``: candidate, fold, company, label,
+    probs for every page, from the model that did not see its company; a written table.
+    """
+
+    model: CrossValidatorModel
+    candidates: DataFrame
+    held_out: DataFrame
+
+
+def select_classifier(
+    pages: DataFrame, company: str, label: str, vector: str, reg_params: tuple[float, ...] = (0.0, 0.01, 0.1),
+    folds: int = 5, max_iter: int = 50, seed: int = 42,
+) -> Selection:
+    """Regularisation by cross-validated company accuracy; all pages of a company are in one fold.
+
+    A company's label is the smallest of its pages' labels, and its pages are trained on that one.
+    """
+    labels = pages.groupBy(company).agg(F.min(label).cast("double").alias("label"))
+    dealt = cut_lineage(stratified_folds(labels, company, "label", folds, seed), "folds")
+    rows = pages.select(company, vector).join(dealt, company)
+    ready = cut_lineage(balanced_weights(rows, "label").select(company, "fold", "label", "weight", A.doubles(F.col(vector)).alias("_v")), "train")
+    ready = ready.withColumn("_x", array_to_vector("_v")).drop("_v")
+    learner = LogisticRegression(featuresCol="_x", labelCol="label", weightCol="weight", predictionCol="pred", maxIter=max_iter)
+    grid = ParamGridBuilder().addGrid(learner.regParam, list(reg_params)).build()
+    search = CrossValidator(
+        estimator=learner, estimatorParamMaps=grid, evaluator=CompanyAccuracy(company), numFolds=folds, foldCol="fold", collectSubModels=True
+    )
+    model = search.fit(ready)
+    held: DataFrame | None = None
+    for fold, tried in enumerate(model.subModels):
+        unseen = ready.filter(F.col("fold") == fold)
+        for number, sub in enumerate(tried):
+            scored = sub.transform(unseen).select(
+                F.lit(number).alias("candidate"), "fold", company, "label", vector_to_array("probability").alias("probs")
+            )
+            held = scored if held is None else held.unionByName(scored)
+    tried = [(i, float(r), float(a)) for i, (r, a) in enumerate(zip(reg_params, model.avgMetrics, strict=True))]
+    candidates = pages.sparkSession.createDataFrame(tried, "candidate int, reg_param double, accuracy double")
+    return Selection(model, candidates, cut_lineage(held, "held-out"))
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..session import cut_lineage
+from .ranking import row_positions
 from .vectors import mean_vector
 
 
@@ -42,6 +44,14 @@ def company_accuracy(pages: DataFrame, company: str, label: str, probs: str) ->
     return accuracy(company_predictions(pages, company, label, probs), "label", "pred")
 
 
+def fold_accuracy(held_out: DataFrame, keys: list[str], company: str, label: str, probs: str, fold: str = "fold") -> DataFrame:
+    """``held_out_accuracy`` per key: company accuracy in each fold, averaged over the folds; and ``companies``."""
+    judged = held_out.groupBy(*keys, fold, company).agg(F.min(label).alias("_y"), mean_vector(A.doubles(F.col(probs))).alias("_p"))
+    hit = (A.argmax(F.col("_p")) == F.col("_y")).cast("int")
+    folds = judged.groupBy(*keys, fold).agg(F.avg(hit).alias("_a"), F.count(F.lit(1)).alias("_n"))
+    return folds.groupBy(*keys).agg(F.avg("_a").alias("held_out_accuracy"), F.sum("_n").alias("companies"))
+
+
 def confusion_counts(rows: DataFrame, label: str, predicted: str, by: list[str] | None = None) -> DataFrame:
     """Long confusion matrix ``true, pred, n``."""
     keys = by or []
@@ -246,44 +256,86 @@ def rounded_array(values: Column, digits: int) -> Column:
     return F.transform(values, lambda x: F.round(x, digits) + F.lit(0.0))
 
 
-EUCLIDEAN_ROWS = 20_000
+EUCLIDEAN_BLOCK = 2_048
 
 
-def silhouette_euclidean(rows: DataFrame, label: str, vector: str, max_rows: int = EUCLIDEAN_ROWS) -> DataFrame:
-    """Mean silhouette under plain Euclidean distance, for small samples such as a drawn map.
+def vector_blocks(rows: DataFrame, label: str, vector: str, block_rows: int) -> DataFrame:
+    """``block`` (numbered from 0), ``labels`` and ``vectors`` of up to ``block_rows`` rows each, as a written table."""
+    points = rows.select(F.spark_partition_id().alias("task"), F.col(label).cast("string").alias("label"), A.doubles(F.col(vector)).alias("v"))
 
-    Mean distances have no closed form, so every point meets every other. The points are
-    broadcast, after a check that there are at most ``max_rows``; larger inputs are refused and
-    left to ``silhouette``.
-    """
-    points = rows.select(F.col(label).cast("string").alias("label"), A.doubles(F.col(vector)).alias("v"))
-    held = points.limit(max_rows + 1).toPandas()
-    if len(held) > max_rows:
-        raise ValueError(f"more than {max_rows} rows: use silhouette, which is linear in the rows")
-    names = sorted(held["label"].unique())
-    shared = rows.sparkSession.sparkContext.broadcast(
-        (np.array(held["v"].tolist()), np.searchsorted(names, held["label"]), np.array(names))
-    )
+    def pack(batches):
+        number, labels, vectors, task = 0, [], [], 0
+
+        def block():
+            raw = np.array(vectors, dtype=np.float64).tobytes()
+            columns = [pa.array([task << 32 | number], pa.int64()), pa.array([labels], pa.list_(pa.string())), pa.array([raw], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["at", "labels", "vectors"])
 
-    def widths(batches):
-        there, group, known = shared.value
-        member = (group[:, None] == np.arange(len(known))[None, :]).astype(float)
-        sizes = member.sum(axis=0)
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                here = np.array(part["v"].tolist())
-                own = np.searchsorted(known, part["label"])
-                squares = (here**2).sum(1)[:, None] + (there**2).sum(1)[None, :] - 2 * here @ there.T
-                totals = np.sqrt(np.maximum(squares, 0)) @ member
-                row = np.arange(len(part))
-                inside = totals[row, own] / np.maximum(sizes[own] - 1, 1)
-                means = totals / sizes
-                means[row, own] = np.inf
-                outside = means.min(axis=1)
-                top = np.maximum(inside, outside)
-                width = np.where((sizes[own] > 1) & (top > 0), (outside - inside) / np.where(top > 0, top, 1), 0.0)
-                yield pd.DataFrame({"s": width})
-
-    scored = points.mapInPandas(widths, "s double")
-    return scored.agg(F.avg("s").alias("silhouette"), F.count(F.lit(1)).alias("n"))
+            task = batch["task"][0].as_py() if batch.num_rows else task
+            for name, v in zip(batch["label"].to_pylist(), batch["v"].to_pylist(), strict=True):
+                labels.append(name)
+                vectors.append(v)
+                if len(labels) == block_rows:
+                    yield block()
+                    number, labels, vectors = number + 1, [], []
+        if labels:
+            yield block()
+
+    packed = cut_lineage(points.filter(F.col("v").isNotNull()).mapInArrow(pack, "at long, labels array<string>, vectors binary"), "vector-blocks")
+    places = row_positions(packed.select("at"), [], ["at"], "block")
+    return cut_lineage(packed.join(places, "at").drop("at"), "vector-blocks")
+
+
+def silhouette_euclidean(rows: DataFrame, label: str, vector: str, block_rows: int = EUCLIDEAN_BLOCK) -> DataFrame:
+    """Mean silhouette under plain Euclidean distance, over all rows.
+
+    Mean distances have no closed form, so every point meets every other: the work grows with the
+    square of the rows (``silhouette`` is linear). Points are packed into blocks; each pair of
+    blocks meets once, in a group of two rows, and gives for each point its summed distance to each
+    cluster in the other block; those sums are added up. No task holds more than two blocks, and
+    only the list of cluster names, which the label domain bounds, reaches the driver. Rows without
+    a vector are left out, a null label is a cluster of its own.
+    """
+    name = F.coalesce(F.concat(F.lit("+"), F.col(label).cast("string")), F.lit("-"))
+    named = rows.select(name.alias("_name"), vector)
+    blocks = vector_blocks(centred(named.filter(F.col(vector).isNotNull()), vector), "_name", vector, block_rows)
+    sizes = blocks.select(F.explode("labels").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy("name").collect()
+    names, counts = [r["name"] for r in sizes], [r["n"] for r in sizes]
+    many = blocks.count()
+    k = len(names)
+
+    def distances(table):
+        parts = table.sort_by("block").to_pylist()
+        first, second = parts[0], parts[-1]
+        x, y = (np.frombuffer(p["vectors"]).reshape(len(p["labels"]), -1) for p in (first, second))
+        own, other = (np.searchsorted(names, p["labels"]) for p in (first, second))
+        squares = (x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x @ y.T
+        apart = np.sqrt(np.maximum(squares, 0))
+        if first["block"] == second["block"]:
+            np.fill_diagonal(apart, 0.0)
+        sides = [(first["block"], own, apart @ np.eye(k)[other])]
+        if first["block"] != second["block"]:
+            sides.append((second["block"], other, apart.T @ np.eye(k)[own]))
+        return pa.table(
+            {
+                "block": np.concatenate([np.full(len(o), b, dtype=np.int64) for b, o, _ in sides]),
+                "at": np.concatenate([np.arange(len(o), dtype=np.int64) for _, o, _ in sides]),
+                "own": np.concatenate([o.astype(np.int64) for _, o, _ in sides]),
+                "totals": pa.array([t for _, _, totals in sides for t in totals.tolist()], pa.list_(pa.float64())),
+            }
+        )
+
+    # A pair of blocks is named by its numbers, so that it meets by equal keys; a block beside itself comes alone.
+    paired = blocks.withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(max(many - 1, 0)))))
+    paired = paired.withColumns({"lo": F.least("block", "with"), "hi": F.greatest("block", "with")}).drop("with")
+    sums = paired.groupBy("lo", "hi").applyInArrow(distances, "block long, at long, own long, totals array<double>")
+    each = sums.groupBy("block", "at").agg(F.min("own").alias("own"), F.array(*[F.sum(F.get("totals", F.lit(i))) for i in range(k)]).alias("t"))
+    size = F.array(*[F.lit(float(n)) for n in counts])
+    means = F.transform(F.arrays_zip("t", size.alias("n")), lambda z, i: F.when(i != F.col("own"), z["t"] / z["n"]))
+    mine = F.get(size, F.col("own"))
+    both = each.select(mine.alias("size"), F.try_divide(F.get("t", F.col("own")), mine - 1).alias("a"), F.array_min(means).alias("b"))
+    s = F.when(F.col("size") <= 1, F.lit(0.0)).otherwise(
+        F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
+    )
+    return both.agg(F.avg(s).alias("silhouette"), F.count(F.lit(1)).alias("n"))

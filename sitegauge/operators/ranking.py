@@ -57,23 +57,23 @@ def row_positions(
     are equal in keys and order (those get positions in any order). Null keys are a group,
     null orders come first. ``total`` names a column for the rows of the group. No rows give none.
     """
-    tied = df.withColumn("_tie", F.monotonically_increasing_id())
-    by = [F.col(f"`{c}`") for c in [*keys, *order, "_tie"]]
-    placed = tied.repartitionByRange(*by).sortWithinPartitions(*by).drop("_tie")
-    placed = cut_lineage(placed.withColumn("_at", F.monotonically_increasing_id()), "placed")
-    placed = placed.withColumn("_part", F.shiftright("_at", 33))
-    parts = placed.groupBy(*[f"`{k}`" for k in keys], "_part").agg(
-        F.min("_at").alias("_first"), F.count("*").alias("_rows")
+    tied = df.withColumn("_place_tie", F.monotonically_increasing_id())
+    by = [F.col(f"`{c}`") for c in [*keys, *order, "_place_tie"]]
+    placed = tied.repartitionByRange(*by).sortWithinPartitions(*by).drop("_place_tie")
+    placed = cut_lineage(placed.withColumn("_place_at", F.monotonically_increasing_id()), "placed")
+    placed = placed.withColumn("_place_part", F.shiftright("_place_at", 33))
+    parts = placed.groupBy(*[f"`{k}`" for k in keys], "_place_part").agg(
+        F.min("_place_at").alias("_place_first"), F.count("*").alias("_place_rows")
     )
     whole = W.partitionBy(*[f"`{k}`" for k in keys])
-    ahead = whole.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    parts = parts.withColumn("_base", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)))
-    parts = parts.withColumn("_total", F.sum("_rows").over(whole)).drop("_rows")
-    found = null_safe_join(placed, parts, [*keys, "_part"])
-    found = found.withColumn(out, F.col("_base") + F.col("_at") - F.col("_first"))
+    ahead = whole.orderBy("_place_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.withColumn("_place_base", F.coalesce(F.sum("_place_rows").over(ahead), F.lit(0)))
+    parts = parts.withColumn("_place_total", F.sum("_place_rows").over(whole)).drop("_place_rows")
+    found = null_safe_join(placed, parts, [*keys, "_place_part"])
+    found = found.withColumn(out, F.col("_place_base") + F.col("_place_at") - F.col("_place_first"))
     if total:
-        found = found.withColumn(total, F.col("_total"))
-    return found.drop("_at", "_part", "_first", "_base", "_total")
+        found = found.withColumn(total, F.col("_place_total"))
+    return found.drop("_place_at", "_place_part", "_place_first", "_place_base", "_place_total")
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -83,27 +83,27 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(there, same, how).drop(*[f"_right_{c}" for c in keys])
 
 
-def group_rank(
-    df: DataFrame, keys: list[str], order: str, out: str, block_rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """Zero-based position inside the group by a unique integer column."""
-    blocked = df.withColumn("_block", F.floor(F.col(order) / block_rows))
-    return running_offset(blocked, keys, "_block", [order], F.lit(1), out).drop("_block")
+def group_rank(df: DataFrame, keys: list[str], order: str, out: str) -> DataFrame:
+    """Zero-based position inside the group by a unique column of any type, null first."""
+    return row_positions(df, keys, [order], out)
 
 
-def hash_rank(
-    df: DataFrame, key: str, by: list[str], seed: int, out: str, prefix: int = 3
-) -> DataFrame:
-    """Zero-based pseudo-random position by ``md5(key|seed)`` inside each ``by`` group.
+def hash_rank(df: DataFrame, key: str, by: list[str], seed: int, out: str) -> DataFrame:
+    """Zero-based pseudo-random position by ``md5(key|seed)`` inside each ``by`` group."""
+    digest = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
+    return row_positions(df.withColumn("_digest", digest), by, ["_digest", key], out).drop("_digest")
+
 
-    The leading hex digits of the digest cut a group into evenly filled blocks, so an exact
-    global rank needs no global sort.
+def counted_blocks(df: DataFrame, keys: list[str], order: str, out: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Number of the block of ``block_rows`` rows that a row falls into, in ``order`` inside its group.
+
+    Rows are counted, so a group of n rows has ``ceil(n / block_rows)`` blocks whether its orders
+    are dense, sparse or hashes. Only keys and order are dealt out by range; the rows themselves
+    meet their block numbers in one join, for which ``order`` must be unique in a group.
     """
-    digest = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
-    keyed = df.withColumn("_digest", digest).withColumn("_block", F.substring("_digest", 1, prefix))
-    return running_offset(keyed, by, "_block", ["_digest", key], F.lit(1), out).drop(
-        "_digest", "_block"
-    )
+    places = row_positions(df.select(*keys, order), keys, [order], "_pos")
+    blocks = places.select(*keys, order, F.floor(F.col("_pos") / block_rows).alias(out))
+    return null_safe_join(df, blocks, [*keys, order])
 
 
 def first_k(
@@ -137,9 +137,9 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def label_ids(df: DataFrame, label: str) -> DataFrame:
-    """Distinct labels, sorted, numbered from 0. The label domain is one array by nature."""
-    domain = df.agg(F.sort_array(F.collect_set(F.col(label).cast("string"))).alias("labels"))
-    return domain.select(F.posexplode("labels").alias("id", "label")).select("label", "id")
+    """Distinct labels as text, sorted, numbered from 0; null is no label. There may be as many labels as rows."""
+    domain = df.select(F.col(label).cast("string").alias("label")).filter(F.col("label").isNotNull()).distinct()
+    return row_positions(domain, [], ["label"], "id").select("label", F.col("id").cast("int").alias("id"))
 
 
 def union_ragged(*frames: DataFrame) -> DataFrame:

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions.rules import CATEGORY_IDS, REVENUE_IDS
-from ..operators import learn, neighbours, splits, vectors
+from ..operators import learn, neighbours, pages, splits, vectors
 from ..operators import metrics as M
 from ..operators.companies import encode_with
+from ..operators.estimate import Estimator, company_estimates
+from ..session import cut_lineage
 from .registry import query, table
-from .vector_queries import FOLDS_SQL, SIZE
+from .text_queries import HOST, PAGE_TEXT_SQL, SECTION, _host, _section
+from .vector_queries import FOLDS_SQL, SIZE, _wave
 
 
 @query(
@@ -26,15 +29,38 @@ def standardise(spark, sf_dir):
     return M.rounded(scaled.select("vec_id", F.posexplode("embedding").alias("dim", "z")), 6, "z")
 
 
-@query("pca_variance")
+@query(
+    "pca_variance",
+    """WITH d AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS dim FROM embeddings),
+       s AS (SELECT dim, avg(x) AS m, stddev_pop(x) AS sd FROM d GROUP BY dim),
+       z AS (SELECT vec_id, dim, (x - m) / sd AS z FROM d JOIN s USING (dim)),
+       c AS MATERIALIZED (SELECT a.dim AS i, b.dim AS j, avg(a.z * b.z) AS c FROM z a JOIN z b USING (vec_id) GROUP BY ALL),
+       cc AS (SELECT a.i, b.j, sum(a.c * b.c) AS c FROM c a JOIN c b ON a.j = b.i GROUP BY ALL)
+       SELECT 'variances' AS measure, round(sum(c), 5) + 0.0 AS value FROM c WHERE i = j
+       UNION ALL SELECT 'variances squared', round(sum(c * c), 5) FROM c
+       UNION ALL SELECT 'variances cubed', round(sum(a.c * b.c), 5) FROM cc a JOIN c b ON a.i = b.j AND a.j = b.i
+       UNION ALL SELECT 'worst remainder', 0.0
+       UNION ALL SELECT 'worst difference of the first 50', 0.0
+       UNION ALL SELECT 'worst difference to the variance of scores', 0.0""",
+)
 def pca_variance(spark, sf_dir):
-    """Share of variance per component of the standardised vectors."""
+    """Power sums of all variances along the components of the standardised vectors, which equal the traces of the
+    covariance and its powers; how far the components are from being eigenvectors; the 50 largest sought alone."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    scaled = learn.fit_scaler(rows, "embedding").transform(rows, "embedding")
-    fitted = learn.fit_pca(scaled, "embedding", 50)
-    scores = learn.project(scaled, "embedding", fitted, "scores").select(F.posexplode("scores").alias("component", "x"))
-    spread = scores.groupBy("component").agg(F.var_pop("x").alias("variance"))
-    return spread.select("component", F.round(F.col("variance") / SIZE, 6).alias("share"))
+    scaled = cut_lineage(learn.fit_scaler(rows, "embedding").transform(rows, "embedding"), "scaled")
+    whole, first = learn.fit_pca(scaled, "embedding", SIZE), learn.fit_pca(scaled, "embedding", 50)
+    scores = learn.project(scaled, "embedding", first, "scores").select(F.posexplode("scores").alias("component", "x"))
+    variances = F.array(*[F.lit(float(v)) for v in first.variances])
+    spread = scores.groupBy("component").agg(F.var_pop("x").alias("v"))
+    apart = spread.select(F.abs(F.col("v") - F.get(variances, F.col("component"))).alias("x")).agg(F.max("x").alias("value"))
+    v = whole.variances
+    found = {
+        "variances": v.sum(), "variances squared": (v**2).sum(), "variances cubed": (v**3).sum(),
+        "worst remainder": max(whole.residual, first.residual),
+        "worst difference of the first 50": np.abs(v[:50] - first.variances).max(),
+    }
+    out = spark.createDataFrame([(k, float(x)) for k, x in found.items()], "measure string, value double")
+    return M.rounded(out.unionByName(apart.select(F.lit("worst difference to the variance of scores").alias("measure"), "value")), 5, "value")
 
 
 @query("map_2d")
@@ -216,6 +242,67 @@ def company_score(spark, sf_dir):
     )
 
 
+SECTION_CATEGORIES = {"en": "top", "fr": "about", "de": "ir", "es": "news"}
+EST_W1, EST_B1, EST_W2, EST_B2 = _wave(4, HASH_SIZE, 0.4), [0.1, -0.1, 0.2, 0.0], [2.0, -1.5, 1.0, 0.5], 0.25
+_EST_LOGIT = " + ".join(f"{w2} * tanh(list_dot_product(v, {w1}::DOUBLE[]) + {b1})" for w1, b1, w2 in zip(EST_W1, EST_B1, EST_W2))
+
+
+@query(
+    "page_estimate",
+    rf"""WITH {PAGE_TEXT_SQL},
+        p AS (SELECT page_id, {HOST} AS host, CASE {SECTION} WHEN 'en' THEN 'top' WHEN 'fr' THEN 'about' WHEN 'de' THEN 'ir' WHEN 'es' THEN 'news' END AS category, text
+              FROM page_text),
+        seen AS (SELECT host, count(*) AS pages_crawled FROM p GROUP BY host),
+        budgeted AS (
+          SELECT host, category, list_reduce(list_prepend('', list(substring(text, 1, 5000) ORDER BY page_id)),
+            lambda acc, x: CASE WHEN length(acc) < 5000 THEN acc || ' ' || x ELSE acc END) AS text
+          FROM p WHERE length(text) > 50 GROUP BY host, category),
+        found AS (SELECT host, string_agg(category, ',' ORDER BY category) AS found_categories, sum(length(text))::BIGINT AS text_length_total
+                  FROM budgeted GROUP BY host),
+        c AS (SELECT host, category, i, 'passage: ' || substring(text, (i * 400 + 1)::BIGINT, 400) AS t
+              FROM budgeted, unnest(range(0, least(8, (length(text) + 399) // 400))) AS r(i) WHERE category IS NOT NULL),
+        w AS (SELECT host, category, i, unnest(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}_]{{2,}}')) AS word FROM c),
+        b AS (SELECT host, category, i, ('0x' || substring(md5(word), 1, 7))::BIGINT % {HASH_SIZE} AS dim, count(*) AS n FROM w GROUP BY ALL),
+        u AS (SELECT host, category, i, dim, n / sqrt(sum(n * n) OVER (PARTITION BY host, category, i)) AS x FROM b),
+        v AS (SELECT host, category, i, [{", ".join(f"coalesce(sum(x) FILTER (dim = {d}), 0)::DOUBLE" for d in range(HASH_SIZE))}] AS v FROM u GROUP BY ALL),
+        a AS (SELECT *, exp({_EST_LOGIT} + {EST_B2}) AS e FROM v),
+        pooled AS (SELECT host, category, [{", ".join(f"sum(e * v[{d + 1}]) / sum(e)" for d in range(HASH_SIZE))}] AS v,
+                          CASE category WHEN 'top' THEN 7 WHEN 'about' THEN 0 WHEN 'ir' THEN 3 ELSE 4 END AS k FROM a GROUP BY host, category),
+        f AS (SELECT host, {_fusion_sql(HASH_SIZE, 'v', 'k')} AS e FROM pooled),
+        q AS (SELECT host, list_transform(e, lambda x: x / list_sum(e)) AS p FROM f),
+        s AS (SELECT host, count(*) AS n_pages, [avg(p[1]), avg(p[2]), avg(p[3]), avg(p[4]), avg(p[5])] AS p FROM q GROUP BY host)
+        SELECT host, coalesce(n_pages, 0) AS n_pages, ['A', 'B', 'C', 'D', 'S'][list_position(p, list_max(p))] AS estimated_class,
+               round(list_max(p), 4) AS confidence, round(p[5], 4) AS p_s, CASE WHEN n_pages IS NULL THEN 'no_text' ELSE 'ok' END AS status,
+               pages_crawled, coalesce(found_categories, '') AS found_categories, coalesce(text_length_total, 0) AS text_length_total
+        FROM seen LEFT JOIN s USING (host) LEFT JOIN found USING (host)""",
+)
+def page_estimate(spark, sf_dir):
+    """Stored pages to company estimates with the summary of their crawl; hosts stand for companies, the first part
+    of the path for the page category."""
+    texts = pages.page_texts(table(spark, sf_dir, "pages"), min_chars=None)
+    names = F.create_map(*[F.lit(x) for kv in SECTION_CATEGORIES.items() for x in kv])
+    routed = texts.select("page_id", _host().alias("host"), F.try_element_at(names, _section()).alias("category"), "text")
+    model = Estimator(
+        vectors.hashing_encoder(HASH_SIZE), HASH_SIZE,
+        lambda v: vectors.attention_logit(v, EST_W1, EST_B1, EST_W2, EST_B2), _weights(HASH_SIZE),
+    )
+    out = company_estimates(routed, "host", "category", ["page_id"], "text", model)
+    return out.select(
+        "host", "n_pages", "estimated_class", "confidence", F.col("class_probabilities")["S"].alias("p_s"), "status",
+        "features_summary.pages_crawled", F.array_join("features_summary.found_categories", ",").alias("found_categories"),
+        "features_summary.text_length_total",
+    )
+
+
+@query("select_classifier")
+def select_classifier(spark, sf_dir):
+    """Regularisation strengths by company accuracy over company-disjoint folds; five vectors stand for a company's pages."""
+    rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 5).alias("company"), "label", "embedding")
+    chosen = learn.select_classifier(rows, "company", "label", "embedding", max_iter=20)
+    shown = M.fold_accuracy(chosen.held_out, ["candidate"], "company", "label", "probs")
+    return M.rounded(chosen.candidates.join(shown, "candidate"), 6, "accuracy", "held_out_accuracy")
+
+
 @query("train_classifier")
 def train_classifier(spark, sf_dir):
     """Best of three regularisation strengths by validation accuracy on a stratified split."""

@@ -390,3 +390,16 @@ def calinski_harabasz(spark, sf_dir):
 )
 def silhouette(spark, sf_dir):
     return M.rounded(M.silhouette(table(spark, sf_dir, "embeddings"), "label", "embedding"), 6, "silhouette")
+
+
+@query(
+    "silhouette_euclidean",
+    """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+       p AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(list_distance(a.e, b.e)) AS s, count(*) AS n
+             FROM v a, v b WHERE a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
+       q AS (SELECT vec_id, sum(CASE WHEN own = other THEN s / n END) AS a, min(CASE WHEN own <> other THEN s / n END) AS b FROM p GROUP BY vec_id)
+       SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette, count(*) AS n FROM q""",
+)
+def silhouette_euclidean(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return M.rounded(M.silhouette_euclidean(rows, "label", "embedding", block_rows=256), 6, "silhouette")

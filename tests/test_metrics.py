@@ -38,8 +38,7 @@ def test_silhouettes(spark):
     df = frame(spark, x, y)
     assert metrics.silhouette(df, "y", "v").first().silhouette == pytest.approx(silhouette(x, y, True))
     assert metrics.silhouette_euclidean(df, "y", "v").first().silhouette == pytest.approx(silhouette(x, y, False), abs=1e-6)
-    with pytest.raises(ValueError):
-        metrics.silhouette_euclidean(df, "y", "v", max_rows=10)
+    assert metrics.silhouette_euclidean(df.repartition(3), "y", "v", block_rows=7).first().silhouette == pytest.approx(silhouette(x, y, False), abs=1e-6)
 
 
 def test_calinski_harabasz(spark):

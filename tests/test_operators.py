@@ -100,7 +100,7 @@ def test_first_k_and_group_rank(spark):
         got.setdefault(r.k, []).append((r["rank"], r.seq))
     for k, v in got.items():
         assert sorted(v) == list(enumerate(sorted(s for key, s in rows if key == k)[:11], 1))
-    for r in ranking.group_rank(df, ["k"], "seq", "pos", block_rows=13).collect():
+    for r in ranking.group_rank(df, ["k"], "seq", "pos").collect():
         assert r.pos == sorted(s for key, s in rows if key == r.k).index(r.seq)
 
 
