@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.rules import BAD_URLS, NO_URL, REVENUE_FLOORS, REVENUE_REST, literal_map, revenue_class
 from .ranking import keep_first
@@ -115,3 +116,14 @@ def present_columns(rows: DataFrame, wanted) -> list[str]:
     """The wanted columns that exist, in the wanted order."""
     have = set(rows.columns)
     return [c for c in wanted if c in have]
+
+
+def page_vector(rows: DataFrame, page: str) -> Column | None:
+    """The vector of a page type as one array, chosen by the table's schema: a numeric array column ``{page}_vec``, else
+    the columns ``{page}_vec_0``, ``{page}_vec_1``, … by number. None where there are neither; missing values are 0."""
+    kind = next((f.dataType for f in rows.schema.fields if f.name == f"{page}_vec"), None)
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
+        return F.transform(F.col(f"{page}_vec").cast("array<double>"), lambda x: F.coalesce(x, F.lit(0.0)))
+    flat = [c for c in vector_columns(rows, page) if c.removeprefix(f"{page}_vec_").isdigit()]
+    flat = [c for c in sorted(flat, key=lambda c: int(c.rpartition("_")[2])) if c in numeric_columns(rows)]
+    return F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in flat]) if flat else None

@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import arrays as A
-from ..functions.rules import FEATURE_GROUPS
+from ..functions.rules import FEATURE_CATEGORIES, FEATURE_GROUPS
 from ..session import cut_lineage
-from .companies import present_columns
+from .companies import page_vector, present_columns
 from .metrics import calinski_harabasz, company_accuracy, company_predictions, fold_summary, silhouette
 from .neighbours import knn_predictions, trustworthiness
 from .splits import stratified_folds
@@ -205,6 +205,38 @@ def group_study(rows: DataFrame, key: str, label: str, groups: dict[str, tuple[s
     return out
 
 
+def page_type_study(rows: DataFrame, key: str, label: str, page_types: tuple[str, ...] = FEATURE_CATEGORIES, maps: bool = True) -> DataFrame:
+    """``page_type, metric, value`` for every page type whose vectors the table has, missing vectors as zeros.
+
+    How many companies there are and have a page, the cluster metrics of the vectors and, with ``maps``, of their
+    two-dimensional map.
+    """
+    chosen = {page: vector for page in page_types if (vector := page_vector(rows, page)) is not None}
+    if not chosen:
+        raise ValueError("no page type has vectors in the table")
+    table = cut_lineage(rows.select(key, label, *[v.alias(f"{p}_vec") for p, v in chosen.items()]), "page-vectors")
+    out: DataFrame | None = None
+    for page in chosen:
+        own = table.select(key, label, F.col(f"{page}_vec").alias("high"))
+        size = own.agg(F.max(F.size("high"))).first()[0] or 1
+        own = own.withColumn("high", F.coalesce("high", A.zeros(size)))
+        there = F.when(A.dot(F.col("high"), F.col("high")) > 0, 1)
+        counts = own.agg(F.count(F.lit(1)).cast("double").alias("companies"), F.count(there).cast("double").alias("with_page"))
+        parts = [
+            counts.select(F.lit("companies").alias("metric"), F.col("companies").alias("value")),
+            counts.select(F.lit("with_page").alias("metric"), F.col("with_page").alias("value")),
+            silhouette(own, label, "high").select(F.lit("silhouette").alias("metric"), F.col("silhouette").alias("value")),
+            calinski_harabasz(own, label, "high").select(F.lit("calinski_harabasz").alias("metric"), F.col("calinski_harabasz").alias("value")),
+        ]
+        if maps:
+            mapped = study(map_2d(own, "high", out="low"), key, label, "high", "low")
+            parts.append(mapped.select(F.concat(F.lit("map_"), "metric").alias("metric"), "value"))
+        for part in parts:
+            named = part.select(F.lit(page).alias("page_type"), "metric", "value")
+            out = named if out is None else out.unionByName(named)
+    return out
+
+
 # ------------------------------------------------------------------ classifier
 def balanced_weights(rows: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """``n / (classes * n_class)`` per row."""

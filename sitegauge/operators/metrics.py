@@ -6,12 +6,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..session import cut_lineage
-from .ranking import row_positions
+from .ranking import null_safe_join, row_positions
 from .vectors import mean_vector
 
 
@@ -136,19 +138,23 @@ def class_distribution(rows: DataFrame, label: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ distributions
+DENSITY_BINS = 64
+
+
 def density_by_class(
-    rows: DataFrame, label: str, value: str, points: int = 200, cut: float = 3.0
+    rows: DataFrame, label: str, value: str, points: int = 200, cut: float = 3.0, bins: int = DENSITY_BINS
 ) -> DataFrame:
     """Gaussian density estimate per class, each normalised alone: ``label, point_no, x, density``.
 
-    Bandwidth by Scott's rule (sample standard deviation times ``n^(-1/5)``); the grid of a class
-    runs ``cut`` bandwidths beyond its range. Equal values are counted first, so the kernel sum
-    runs over distinct values, not over rows.
+    Bandwidth ``h`` by Scott's rule (sample standard deviation times ``n^(-1/5)``); the grid of a
+    class runs ``cut`` bandwidths beyond its range. Values are first shared linearly between the two
+    nearest of ``bins`` grid lines a bandwidth, so what is summed over the points is bins, however
+    many values there are. An estimate is off by at most ``0.4 / (8 * bins^2 * h)``, the error of
+    interpolating the kernel between two lines. Classes of equal values have no density.
     """
-    seen = rows.filter(F.col(value).isNotNull()).select(label, F.col(value).cast("double").alias("_v"))
-    counts = seen.groupBy(label, "_v").agg(F.count(F.lit(1)).alias("_times"))
+    seen = rows.filter(F.col(value).isNotNull()).select(F.col(label).alias("_l"), F.col(value).cast("double").alias("_v"))
     widths = (
-        seen.groupBy(label)
+        seen.groupBy("_l")
         .agg(
             F.count("_v").alias("_n"),
             F.stddev_samp("_v").alias("_sd"),
@@ -158,17 +164,28 @@ def density_by_class(
         .filter((F.col("_n") > 1) & (F.col("_sd") > 0))
         .withColumn("_h", F.col("_sd") * F.pow(F.col("_n"), F.lit(-0.2)))
     )
-    near = counts.join(widths, label)
+    place = (F.col("_v") - F.col("_lo")) / (F.col("_h") / bins)
+    near = null_safe_join(seen, widths.drop("_sd", "_n", "_hi"), ["_l"]).withColumn("_place", place).withColumn("_line", F.floor("_place"))
+    right = F.col("_place") - F.col("_line")
+    lines = near.groupBy("_l", "_line").agg(F.sum(1 - right).alias("_a"), F.sum(right).alias("_b"))
     start = F.col("_lo") - cut * F.col("_h")
-    width = F.col("_hi") - F.col("_lo") + 2 * cut * F.col("_h")
-    grid = near.withColumn("point_no", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn(
-        "_x", start + width * F.col("point_no") / (points - 1)
+    step = (F.col("_hi") - F.col("_lo") + 2 * cut * F.col("_h")) / (points - 1)
+
+    def kernel(i: Column, line: Column) -> Column:
+        u = (start + step * i - F.col("_lo")) / F.col("_h") - line / bins
+        return F.exp(-u * u / 2)
+
+    share = F.transform(
+        F.sequence(F.lit(0), F.lit(points - 1)),
+        lambda i: F.col("_a") * kernel(i, F.col("_line")) + F.col("_b") * kernel(i, F.col("_line") + 1),
     )
-    u = (F.col("_x") - F.col("_v")) / F.col("_h")
-    scale = F.col("_n") * F.col("_h") * F.lit((2 * math.pi) ** 0.5)
-    return grid.groupBy(label, "point_no").agg(
-        F.min("_x").alias("x"), F.sum(F.col("_times") * F.exp(-u * u / 2) / scale).alias("density")
+    held = null_safe_join(lines, widths.drop("_sd"), ["_l"])
+    summed = held.groupBy("_l").agg(
+        vector_to_array(Summarizer.sum(array_to_vector(share))).alias("_d"), *[F.first(c).alias(c) for c in ("_n", "_lo", "_hi", "_h")]
     )
+    scale = F.col("_n") * F.col("_h") * F.lit((2 * math.pi) ** 0.5)
+    each = summed.select("*", F.posexplode("_d").alias("point_no", "_e"))
+    return each.select(F.col("_l").alias(label), "point_no", (start + step * F.col("point_no")).alias("x"), (F.col("_e") / scale).alias("density"))
 
 
 # ------------------------------------------------------------------ clusters

@@ -46,16 +46,19 @@ def categorise_links(links: DataFrame, rules: tuple[LinkRule, ...] = LINK_RULES)
 
 
 def startup_links(
-    list_pages: DataFrame, base_url: str, prefix: str = "/startups/", limit: int | None = None
+    list_pages: DataFrame, base_url: str, prefix: str = "/startups/", limit: int | None = None, ending: str = ".html"
 ) -> DataFrame:
-    """Detail-page addresses of a list page, first occurrence kept; the first ``limit`` of them if one is given."""
+    """Detail-page addresses of list pages, ``detail_url`` and where each first occurs, ``at`` (page_id, link_no).
+
+    With ``limit`` the first ones by that place, which sorts as a top-k without moving the others.
+    """
     anchors = list_pages.select(
         "page_id", F.posexplode(H.anchors(F.col("html"))).alias("link_no", "anchor")
     ).select("page_id", "link_no", H.anchor_href(F.col("anchor")).alias("href"))
-    wanted = anchors.filter(F.col("href").startswith(prefix) & F.col("href").endswith(".html"))
+    wanted = anchors.filter(F.col("href").startswith(prefix) & F.col("href").endswith(ending))
     once = wanted.groupBy("href").agg(F.min(F.struct("page_id", "link_no")).alias("_at"))
     chosen = once if limit is None else once.orderBy("_at").limit(limit)
-    return chosen.select(F.concat(F.lit(base_url), F.col("href")).alias("detail_url"))
+    return chosen.select(F.concat(F.lit(base_url), F.col("href")).alias("detail_url"), F.col("_at").alias("at"))
 
 
 def startup_details(

@@ -119,6 +119,37 @@ def ranking_unwrap(spark, sf_dir):
     return readers.unwrap_ranking(docs)
 
 
+@query(
+    "ranking_files",
+    "SELECT c_name AS name, c_acctbal AS revenue FROM customer UNION ALL SELECT s_name, s_acctbal FROM supplier",
+)
+def ranking_files(spark, sf_dir):
+    """Ranking documents of up to a hundred companies, a file each: customers in an envelope, suppliers as bare lists."""
+    path = scratch_path(spark, "rankings")
+
+    def documents(rows, key, name, value):
+        item = F.struct(F.col(name).alias("name"), F.col(value).alias("value"))
+        return rows.groupBy(F.floor(F.col(key) / 100)).agg(F.collect_list(item).alias("data"))
+
+    wrapped = documents(table(spark, sf_dir, "customer"), "c_custkey", "c_name", "c_acctbal").select(F.to_json(F.struct("data")).alias("value"))
+    bare = documents(table(spark, sf_dir, "supplier"), "s_suppkey", "s_name", "s_acctbal").select(F.to_json("data").alias("value"))
+    wrapped.unionByName(bare).write.option("maxRecordsPerFile", 1).text(path)
+    return readers.read_ranking(spark, path)
+
+
+@query(
+    "parquet_overwrite",
+    "SELECT doc_id, source, length(text) AS chars FROM documents WHERE lang = 'en'",
+)
+def parquet_overwrite(spark, sf_dir):
+    """A feature table written over an older one."""
+    path = scratch_path(spark, "overwritten")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.length("text").cast("long").alias("chars"))
+    writers.write_parquet(docs, path)
+    writers.write_parquet(docs.filter(F.col("lang") == "en").drop("lang"), path)
+    return readers.read_parquet(spark, path)
+
+
 @query(
     "label_map_roundtrip",
     """SELECT 'category2id' AS kind, label, (row_number() OVER (ORDER BY label) - 1)::INT AS id FROM (SELECT DISTINCT lang AS label FROM documents)

@@ -14,7 +14,7 @@ from ..operators.estimate import Estimator, company_estimates
 from ..session import cut_lineage
 from .registry import query, table
 from .text_queries import HOST, PAGE_TEXT_SQL, SECTION, _host, _section
-from .vector_queries import FOLDS_SQL, SIZE, _wave
+from .vector_queries import FOLDS_SQL, POOL_CATEGORIES, SIZE, _pages_of_vectors, _wave
 
 
 @query(
@@ -148,6 +148,35 @@ def group_study(spark, sf_dir):
     return M.rounded(learn.group_study(rows, "doc_id", "quality", groups), 6, "value")
 
 
+@query(
+    "page_type_study",
+    """WITH v AS (SELECT vec_id // 5 AS company, (['about', 'ir', 'news', 'top', 'recruit'])[(vec_id * vec_id) % 5 + 1] AS page_type, label, embedding FROM embeddings),
+       y AS (SELECT company, min(label) AS label FROM v GROUP BY company),
+       d AS (SELECT company, page_type, dim, avg(x) AS x FROM (SELECT company, page_type, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS dim FROM v) GROUP BY ALL),
+       g AS (SELECT company, label, page_type, dim, coalesce(x, 0.0) AS x FROM y CROSS JOIN (SELECT unnest(['about', 'ir', 'news', 'top']) AS page_type)
+             CROSS JOIN (SELECT unnest(range(64)) AS dim) LEFT JOIN d USING (company, page_type, dim)),
+       e AS MATERIALIZED (SELECT company, label, page_type, list(x ORDER BY dim) AS e FROM g GROUP BY ALL),
+       p AS (SELECT a.page_type, a.company, a.label AS own, b.label AS other, sum(list_distance(a.e, b.e) ** 2) AS s, count(*) AS n
+             FROM e a JOIN e b USING (page_type) WHERE a.company <> b.company GROUP BY ALL),
+       q AS (SELECT page_type, company, coalesce(sum(CASE WHEN own = other THEN s / n END), -1) AS a, min(CASE WHEN own <> other THEN s / n END) AS b FROM p GROUP BY ALL),
+       mu AS (SELECT page_type, label, dim, avg(x) AS m, count(*) AS n FROM g GROUP BY ALL),
+       mid AS (SELECT page_type, dim, avg(x) AS m FROM g GROUP BY ALL),
+       bt AS (SELECT page_type, sum(mu.n * (mu.m - mid.m) ** 2) AS b FROM mu JOIN mid USING (page_type, dim) GROUP BY page_type),
+       wt AS (SELECT page_type, sum((x - m) ** 2) AS w FROM g JOIN mu USING (page_type, label, dim) GROUP BY page_type),
+       c AS (SELECT count(*) AS n, count(DISTINCT label) AS k FROM y)
+       SELECT page_type, 'companies' AS metric, count(*)::DOUBLE AS value FROM e GROUP BY page_type
+       UNION ALL SELECT page_type, 'with_page', count(*) FILTER (list_dot_product(e, e) > 0)::DOUBLE FROM e GROUP BY page_type
+       UNION ALL SELECT page_type, 'silhouette', round(avg(CASE WHEN a < 0 OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) + 0.0 FROM q GROUP BY page_type
+       UNION ALL SELECT page_type, 'calinski_harabasz', round((b / (k - 1)) / (w / (n - k)), 6) + 0.0 FROM bt JOIN wt USING (page_type), c""",
+)
+def page_type_study(spark, sf_dir):
+    """Cluster metrics of the vectors of each page type; five vectors make a company, and some lack a type."""
+    rows = _pages_of_vectors(spark, sf_dir)
+    wide = vectors.category_vectors(rows, "company", "category", "vector", POOL_CATEGORIES, SIZE)
+    labels = rows.groupBy("company").agg(F.min("label").alias("label"))
+    return M.rounded(learn.page_type_study(wide.join(labels, "company"), "company", "label", maps=False), 6, "value")
+
+
 # ------------------------------------------------------------------ encoding, training, scoring
 HASH_SIZE = 16
 

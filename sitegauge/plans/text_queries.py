@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import html as H
@@ -16,7 +17,7 @@ from ..functions.rules import (
 )
 from ..functions.text import SPACE_CHARS, WORD_CHARS
 from ..functions.urls import url_netloc
-from ..operators import corpus, crawl, features, pages, ranking
+from ..operators import corpus, crawl, features, pages
 from .registry import query, table
 
 # Page text in SQL: the same steps, with the character references the fixture contains.
@@ -168,10 +169,38 @@ def same_domain_links(spark, sf_dir):
 )
 def startup_links(spark, sf_dir):
     """Every detail link of every list page; the prefix and ending stand in for the site's own."""
-    found = pages.page_links(table(spark, sf_dir, "pages"))
-    wanted = found.filter(F.col("href").startswith("/t") & F.col("href").endswith("e"))
-    once = ranking.keep_first(wanted.select("href", "page_id", "link_no"), ["href"], ["page_id", "link_no"])
-    return once.select(F.concat(F.lit("https://example.com"), F.col("href")).alias("detail_url"))
+    return pages.startup_links(table(spark, sf_dir, "pages"), "https://example.com", "/t", ending="e").select("detail_url")
+
+
+@query(
+    "startup_first_links",
+    f"""WITH {LINKS_SQL}, wanted AS (
+          SELECT href, min((page_id, link_no)) AS first_at FROM parsed
+          WHERE starts_with(href, '/t') AND ends_with(href, 'e') GROUP BY href)
+        SELECT 'https://example.com' || href AS detail_url, row_number() OVER (ORDER BY first_at)::INT AS place
+        FROM wanted ORDER BY first_at LIMIT 100""",
+)
+def startup_first_links(spark, sf_dir):
+    """The first hundred detail links by where they first occur."""
+    first = pages.startup_links(table(spark, sf_dir, "pages"), "https://example.com", "/t", limit=100, ending="e")
+    return first.select("detail_url", F.row_number().over(W.orderBy("at")).alias("place"))
+
+
+@query(
+    "html_nested",
+    f"""WITH {PAGE_TEXT_SQL} SELECT page_id, trim(text || ' ' || '…≂̸∳ &zzz; ' || page_id) AS text FROM page_text""",
+)
+def html_nested(spark, sf_dir):
+    """Every navigation and footer block holds further ones, and a page ends with named references of HTML5:
+    the text is that of the plain page, and the characters they stand for."""
+    html = F.col("html")
+    for name in ("nav", "footer"):
+        inner = f"<{name}>one<aside>two</{name}> three <{name.upper()} class='x'><{name}>four</{name}></{name}></aside>"
+        html = F.replace(html, F.lit(f"<{name}>"), F.lit(f"<{name}>{inner}"))
+    end = F.concat(F.lit(" &hellip;&NotEqualTilde;&CounterClockwiseContourIntegral; &zzz; </iframe>"), F.col("page_id").cast("string"))
+    body = F.regexp_replace(html, r"(?is)</body>.*\z", "")
+    texts = pages.page_texts(table(spark, sf_dir, "pages").withColumn("html", F.concat(body, end)), min_chars=None)
+    return texts.select("page_id", "text")
 
 
 @query(
@@ -458,3 +487,26 @@ def structural_features_japanese(spark, sf_dir):
     for old, new in SYLLABLES:
         text = F.replace(text, F.lit(old), F.lit(new))
     return _features(_routed(spark, sf_dir).withColumn("text", text), *DEFAULT_RULES)
+
+
+def _stated(doc_id: str, size: str) -> tuple[str, ...]:
+    """Parts of a company profile whose numbers and words depend on the document; SQL that both engines read."""
+    return (
+        "' 海外売上高は約'", f"CAST({size} % 83 AS STRING)", "'.5% 海外拠点 '", f"CAST({doc_id} * 7 % 61 AS STRING)", "'ヶ所 創業は'",
+        f"CAST(1850 + {size} % 150 AS STRING)", "'年 提携先：'", f"CAST({size} * 3 % 97 AS STRING)", "'社 '",
+        f"repeat('昭和', CAST({size} % 4 AS INT))", f"repeat(' 兆円', CAST({doc_id} % 3 AS INT))", f"repeat(' 福利厚生 DX', CAST({size} % 5 AS INT))", f"repeat(' コンプライアンス', CAST({doc_id} % 4 AS INT))",
+    )
+
+
+_PROFILE_SQL = f"""SELECT source, {_LANG_SQL}, doc_id, {_japanese_sql().split(", doc_id, ")[1].removesuffix(" AS text FROM documents")}
+                   || {" || ".join(_stated("doc_id", "n_chars"))} AS text FROM documents"""
+
+
+@query("structural_features_profile", _features_sql(*DEFAULT_RULES, _PROFILE_SQL))
+def structural_features_profile(spark, sf_dir):
+    """The built-in rules over documents that state sales, bases, founding, partners, eras, sums and welfare."""
+    text = F.col("text")
+    for old, new in SYLLABLES:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    parts = [F.expr(part) for part in _stated("doc_id", "n_chars")]
+    return _features(_routed(spark, sf_dir).withColumn("text", F.concat(text, *parts)), *DEFAULT_RULES)

@@ -355,9 +355,11 @@ def fold_summary(spark, sf_dir):
     "kde_by_class",
     """WITH v AS (SELECT lang, ln(1 + n_chars) AS x FROM documents),
        s AS (SELECT lang, count(*) AS n, min(x) AS lo, max(x) AS hi, stddev_samp(x) * pow(count(*), -0.2) AS h FROM v GROUP BY lang),
-       g AS (SELECT lang, i AS point_no, n, h, lo - 3 * h + (hi - lo + 6 * h) * i / 49 AS gx FROM s, (SELECT unnest(range(50)) AS i)),
-       k AS (SELECT g.lang, point_no, gx, sum(exp(-(((gx - x) / h) ** 2) / 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi())) AS d
-             FROM g JOIN v USING (lang) GROUP BY g.lang, point_no, gx)
+       b AS (SELECT lang, j, sum(1 - f) AS a, sum(f) AS b FROM (
+               SELECT lang, floor((x - lo) / (h / 64)) AS j, (x - lo) / (h / 64) - floor((x - lo) / (h / 64)) AS f FROM v JOIN s USING (lang)) GROUP BY ALL),
+       g AS (SELECT lang, i AS point_no, n, h, lo, lo - 3 * h + (hi - lo + 6 * h) * i / 49 AS gx FROM s, (SELECT unnest(range(50)) AS i)),
+       k AS (SELECT lang, point_no, gx, sum(a * exp(-(((gx - lo) / h - j / 64) ** 2) / 2) + b * exp(-(((gx - lo) / h - (j + 1) / 64) ** 2) / 2))
+                    / (any_value(n) * any_value(h) * sqrt(2 * pi())) AS d FROM g JOIN b USING (lang) GROUP BY lang, point_no, gx)
        SELECT lang, point_no::INT AS point_no, round(gx, 6) AS x, round(d, 6) + 0.0 AS density FROM k""",
 )
 def kde_by_class(spark, sf_dir):

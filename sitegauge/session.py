@@ -59,6 +59,22 @@ def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _folder(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of whatever store Spark reads; none if it does not exist."""
+    files, where = _folder(spark, path)
+    return sorted(s.getPath().getName() for s in files.listStatus(where)) if files.exists(where) else []
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    files, where = _folder(spark, path)
+    files.delete(where, True)
+
+
 # More parts than this bring nothing to an input that fits a few splits.
 MOST_SPREAD = 200
 

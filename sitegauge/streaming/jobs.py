@@ -9,10 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.ranking import null_safe_join
-
-BUCKETS = 64
-BUCKETED = [T.StructField("batch", T.LongType()), T.StructField("_bucket", T.IntegerType())]
+from ..session import folder_names
+from .buckets import BUCKET_ROWS, BucketedTable
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", files_per_batch: int = 1000) -> DataFrame:
@@ -20,17 +18,24 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(fmt).load(path)
 
 
-def _batch_folder(path: str, batch_id: int) -> str:
-    return f"{path}/batch={batch_id}"
+def _others(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """The rows of ``old`` whose key ``new`` does not have; null is a key."""
+    keys = new.select(F.col(key).alias("_key")).distinct()
+    return old.join(keys, F.col(key).eqNullSafe(F.col("_key")), "left_anti")
+
+
+def _upsert(key: str) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    return lambda old, new: _others(old, new, key).unionByName(new)
 
 
 def start_scores(
-    pages: DataFrame, company: str, probs: str, n_classes: int, out: str, checkpoint: str, trigger: dict | None = None
-) -> StreamingQuery:
-    """Running mean probabilities per company, written as changed rows of every batch.
+    pages: DataFrame, company: str, probs: str, n_classes: int, out: str, checkpoint: str,
+    trigger: dict | None = None, bucket_rows: int = BUCKET_ROWS,
+) -> StreamingQuery:
+    """Running mean probabilities per company, kept as one current row per company below ``out``.
 
-    The state holds one sum and count per class and company. A batch is written by overwriting
-    its own folder, so a repeated batch leaves no duplicates.
+    The state holds one sum and count per class and company; the changed rows of a batch replace
+    those of their companies. A repeated batch gives the same table.
     """
     running = pages.groupBy(company).agg(
         F.count(F.lit(1)).alias("n_pages"),
@@ -38,18 +43,25 @@ def start_scores(
     )
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(_batch_folder(out, batch_id))
+        rows = batch.persist()
+        try:
+            BucketedTable(batch.sparkSession, out, company, batch.schema, bucket_rows).merge(batch_id, rows, _upsert(company))
+        finally:
+            rows.unpersist()
 
     writer = running.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def _stored(spark: SparkSession, path: str, key: str) -> DataFrame:
+    newest = max(folder_names(spark, f"{path}/rows"), key=lambda n: int(n.split("=")[1]))
+    schema = spark.read.parquet(f"{path}/rows/{newest}").drop("bucket").schema
+    return BucketedTable(spark, path, key, schema).current()
+
+
 def latest_scores(spark: SparkSession, out: str, company: str) -> DataFrame:
-    """The newest row per company of all batches."""
-    rows = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
-    rest = [c for c in rows.columns if c not in (company, "batch")]
-    newest = rows.groupBy(company).agg(F.max_by(F.struct(*rest), "batch").alias("r"))
-    return newest.select(company, *[F.col(f"r.{c}").alias(c) for c in rest])
+    """One row per company, as of the last batch."""
+    return _stored(spark, out, company)
 
 
 def start_features(
@@ -60,28 +72,34 @@ def start_features(
     checkpoint: str,
     distinct: bool = False,
     trigger: dict | None = None,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> StreamingQuery:
     """Features per key that do not depend on how the records fall into batches.
 
     Every batch adds its records to the stored ones and builds the features of the keys it touches
     from all their records, so a late record updates its key. With ``distinct`` one record of each
-    key counts, however late the others come. Stored records lie in buckets by key, of which a batch
-    reads those of its own keys.
+    key counts, however late the others come. Records and features are kept by key in buckets, of
+    which a batch reads and rewrites those of its own keys.
     """
 
+    def add(old: DataFrame, new: DataFrame) -> DataFrame:
+        both = old.unionByName(new)
+        return both.dropDuplicates([key]) if distinct else both
+
     def save(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        stored, wide = f"{out}/records", T.StructType([*batch.schema.fields, *BUCKETED])
-        bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
-        batch.withColumn("_bucket", bucket).write.mode("overwrite").partitionBy("_bucket").parquet(_batch_folder(stored, batch_id))
-        known = spark.read.schema(wide).option("basePath", stored).option("ignoreMissingFiles", True).parquet(stored)
-        new = known.filter(F.col("batch") == batch_id).select("_bucket", key).distinct()
-        touched = [r[0] for r in new.select("_bucket").distinct().collect()]
-        own = known.filter((F.col("batch") <= batch_id) & F.col("_bucket").isin(touched)).alias("own")
-        same = F.col(f"own.{key}").eqNullSafe(F.col(f"new.{key}"))
-        all_of = own.join(new.alias("new"), same, "left_semi").select(*batch.columns)
-        features = build(all_of.dropDuplicates([key]) if distinct else all_of)
-        features.write.mode("overwrite").parquet(_batch_folder(f"{out}/features", batch_id))
+        spark, rows = batch.sparkSession, batch.persist()
+        try:
+            kept = BucketedTable(spark, f"{out}/records", key, batch.schema, bucket_rows)
+            touched = kept.merge(batch_id, rows, add)
+            keys = rows.select(F.col(key).alias("_key")).distinct()
+            stored = kept.current(touched, batch_id)
+            features = build(stored.join(keys, F.col(key).eqNullSafe(F.col("_key")), "left_semi")).persist()
+            try:
+                BucketedTable(spark, f"{out}/features", key, features.schema, bucket_rows).merge(batch_id, features, _upsert(key))
+            finally:
+                features.unpersist()
+        finally:
+            rows.unpersist()
 
     writer = records.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
@@ -89,6 +107,4 @@ def start_features(
 
 def read_features(spark: SparkSession, out: str, key: str) -> DataFrame:
     """The newest features of every key."""
-    rows = spark.read.option("basePath", f"{out}/features").parquet(f"{out}/features/batch=*")
-    newest = rows.groupBy(key).agg(F.max("batch").alias("batch"))
-    return null_safe_join(rows, newest, [key, "batch"]).drop("batch")
+    return _stored(spark, f"{out}/features", key)
