@@ -27,9 +27,11 @@ def accuracy(rows: DataFrame, label: str, predicted: str) -> DataFrame:
 
 
 def cross_entropy(rows: DataFrame, probs: str, label: str) -> DataFrame:
-    """Mean of ``-ln p[label]``; a probability below ``LEAST_PROBABILITY`` counts as that, so no page is left out."""
-    p = F.greatest(F.get(F.col(probs), F.col(label).cast("int")).cast("double"), F.lit(LEAST_PROBABILITY))
-    return rows.agg(F.avg(-F.log(p)).alias("cross_entropy"))
+    """Mean of ``-ln p[label]``; a probability below ``LEAST_PROBABILITY`` counts as that, so an impossible page is not
+    left out. A page without a label or without a probability for it has no loss and does not count."""
+    given = F.get(F.col(probs), F.col(label).cast("int")).cast("double")
+    loss = F.when(given.isNotNull() & ~F.isnan(given), -F.log(F.greatest(given, F.lit(LEAST_PROBABILITY))))
+    return rows.agg(F.avg(loss).alias("cross_entropy"))
 
 
 def company_predictions(pages: DataFrame, company: str, label: str, probs: str) -> DataFrame:

@@ -30,6 +30,7 @@ def hashing_encoder(size: int) -> Callable[[], Callable]:
         import hashlib
         import re
         from functools import lru_cache
+        from itertools import chain
 
         import numpy as np
 
@@ -40,10 +41,10 @@ def hashing_encoder(size: int) -> Callable[[], Callable]:
         word = re.compile(r"[^\W]{2,}")
 
         def predict(texts):
-            out = np.zeros((len(texts), size), dtype=np.float64)
-            for i, t in enumerate(texts):
-                words = word.findall(t.lower())
-                np.add.at(out[i], [bucket(w) for w in words], 1.0)
+            found = [word.findall(t.lower()) for t in texts]
+            rows = np.repeat(np.arange(len(texts)), [len(words) for words in found])
+            places = np.fromiter(map(bucket, chain.from_iterable(found)), dtype=np.int64, count=len(rows))
+            out = np.bincount(rows * size + places, minlength=len(texts) * size).reshape(len(texts), size).astype(np.float64)
             norms = np.linalg.norm(out, axis=1, keepdims=True)
             return out / np.where(norms > 0, norms, 1.0)
 

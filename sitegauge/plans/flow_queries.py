@@ -99,7 +99,7 @@ def csv_append(spark, sf_dir):
     path = scratch_path(spark, "companies")
     writers.write_csv(listed, path)
     writers.append_csv(startups, path)
-    return readers.read_csv_strings(spark, path)
+    return readers.read_csv_strings(spark, path, multi_line=False)
 
 
 @query(

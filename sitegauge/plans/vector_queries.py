@@ -10,6 +10,7 @@ from ..functions import arrays as A
 from ..functions.rules import REVENUE_IDS
 from ..operators import metrics as M
 from ..operators import splits, tfidf, vectors
+from ..session import scratch_path
 from .registry import query, table
 
 SIZE = 64
@@ -65,6 +66,40 @@ def tfidf_by_company(spark, sf_dir):
     return weights.select("source", "term", F.round("weight", 6).alias("weight"))
 
 
+@query(
+    "tfidf_saved_vocabulary",
+    f"WITH {_tfidf_sql('source')} SELECT source, term, round(w / norm, 6) AS weight FROM w JOIN norms USING (source)",
+)
+def tfidf_saved_vocabulary(spark, sf_dir):
+    """Weights from a vocabulary that was written and read back."""
+    counts, vocabulary = _tfidf(spark, sf_dir, "source")
+    path = scratch_path(spark, "vocabulary")
+    tfidf.save_vocabulary(vocabulary, path)
+    weights = tfidf.tfidf_weights(counts, tfidf.load_vocabulary(spark, path), "source")
+    return weights.select("source", "term", F.round("weight", 6).alias("weight"))
+
+
+def _long_words():
+    """A user's tokenizer: words of at least five letters, digits apart."""
+    import re
+
+    word = re.compile(r"[^\W\d_]{5,}")
+    return word.findall
+
+
+@query(
+    "tokenizer_terms",
+    r"""WITH t AS (SELECT source, i, substring(lower(text), (i * 5000 + 1)::BIGINT, 5000) AS t
+                   FROM documents, unnest(range(0, (length(text) + 4999) // 5000)) AS r(i)),
+        w AS (SELECT source, unnest(regexp_extract_all(t, '[\p{L}]{5,}')) AS term FROM t)
+        SELECT source, term, count(*) AS tf FROM w GROUP BY source, term""",
+)
+def tokenizer_terms(spark, sf_dir):
+    """Term counts by a tokenizer of the user's, which sees windows of 5,000 characters."""
+    docs = table(spark, sf_dir, "documents").select("source", "text")
+    return tfidf.term_counts(docs, "source", "text", tfidf.tokenizer_udf(_long_words)(F.col("text")))
+
+
 # ------------------------------------------------------------------ pooling
 POOL_CATEGORIES = ("about", "ir", "news", "top")
 NAMES_SQL = "['about', 'ir', 'news', 'top', 'recruit']"

@@ -41,20 +41,26 @@ def read_jsonl_strict(spark: SparkSession, path: str, schema: T.StructType = sch
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def read_csv_strings(spark: SparkSession, path: str, schema: T.StructType = schemas.COMPANY) -> DataFrame:
-    """Header CSV with all columns as strings; an empty field is ``""``."""
-    rows = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+def read_csv_strings(spark: SparkSession, path: str, schema: T.StructType = schemas.COMPANY, multi_line: bool = True) -> DataFrame:
+    """Header CSV with all columns as strings; an empty field is ``""``.
+
+    ``multi_line=False`` is for files whose fields hold no line breaks: large files are then split over tasks.
+    """
+    rows = spark.read.schema(schema).option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
     return rows.na.fill("")
 
 
-def read_chunks_csv(spark: SparkSession, path: str, schema: T.StructType = schemas.CHUNK) -> DataFrame:
-    """The chunk table: all fields quoted, backslash escapes, line breaks inside fields."""
+def read_chunks_csv(spark: SparkSession, path: str, schema: T.StructType = schemas.CHUNK, multi_line: bool = True) -> DataFrame:
+    """The chunk table: all fields quoted, backslash escapes, line breaks inside fields.
+
+    ``multi_line=False`` is for tables without line breaks, whose files can be split.
+    """
     return (
         spark.read.schema(schema)
         .option("header", True)
         .option("quote", '"')
         .option("escape", "\\")
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .csv(path)
     )
 

@@ -29,6 +29,12 @@ def test_cross_entropy_counts_impossible_pages(spark):
     assert metrics.cross_entropy(rows, "p", "y").first().cross_entropy == pytest.approx(want)
 
 
+def test_cross_entropy_leaves_out_pages_without_label_or_probability(spark):
+    rows = spark.createDataFrame([([0.5, 0.5], 0), (None, 1), ([0.9, 0.1], None), ([0.9], 1)], "p array<double>, y int")
+    assert metrics.cross_entropy(rows, "p", "y").first().cross_entropy == pytest.approx(-math.log(0.5))
+    assert metrics.cross_entropy(rows.where("p is null"), "p", "y").first().cross_entropy is None
+
+
 @pytest.mark.parametrize("offset", [0.0, 1e6, 1e8])
 def test_cluster_metrics_far_from_zero(spark, offset):
     points = [(0, [0.0, 1.0]), (0, [1.0, 0.0]), (0, [0.5, 0.25]), (1, [8.0, 9.0]), (1, [9.0, 8.5]), (1, [8.5, 8.0])]
