@@ -94,9 +94,9 @@ def op7_page_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    rows = packing.packed(ids.select("doc_id", "token_ids"), ROW_TOKENS, pad=50256)
+    ranks, vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
+    ids = packing.encoded(table(spark, sf_dir, "documents"), ranks, vocabulary, public_tokenizers.PATTERN)
+    rows = packing.packed(ids, ROW_TOKENS, pad=50256)
     return rows.select(
         "block", "row", "doc_ids", "piece_starts", "cu_seqlens", "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"),

@@ -106,3 +106,32 @@ def test_packed_rows_give_the_ids_back(make_docs, spark, tmp_path):
             assert places[a:b].tolist() == list(range(b - a))
     assert {d: [x for _, ids in sorted(p) for x in ids] for d, p in got.items()} == want
     assert packing.packed(bpe.encode(make_docs([]), BYTES), 32, pad=0).collect() == []
+
+
+def test_counts_over_all_planes(own_counter):
+    """Code points that are unassigned or new in some Unicode version included."""
+    counter, library = own_counter
+    rng, new = random.Random(3), prefixes.doubtful()
+    plane = lambda: chr(rng.choice([rng.randrange(0x20, 0xD800), rng.randrange(0xE000, 0x110000)]))
+    some = ["".join(rng.choice((plane(), rng.choice(new), rng.choice("aB1 -'é東İ"))) for _ in range(rng.randint(1, 8))) for _ in range(8000)]
+    some += ["İ\U0003ec50", "İ\U00018e63", "Ɤ", "aꟜb"]
+    want = [len(e.ids) for e in library.encode_batch(some, add_special_tokens=False)]
+    assert [counter.count(t) for t in some] == want
+
+
+@pytest.fixture(scope="module")
+def rank_encoder():
+    return packing.Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), BYTES, public_tokenizers.PATTERN)
+
+
+@given(st.lists(st.one_of(texts, st.text(max_size=40)), max_size=4))
+@settings(max_examples=300, deadline=None)
+def test_rank_encoder_gives_the_librarys_ids(rank_encoder, own_codec, some):
+    library = own_codec[1]
+    got = [np.frombuffer(ids, dtype="<u4").tolist() for ids in rank_encoder.encode_many(some)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in some]
+
+
+def test_rank_encoder_on_long_texts(rank_encoder, own_codec):
+    some = ["x" * 300_000, " " * 20_000, "\n" * 20_000, "QUJD" * 20_000, "東" * 20_000, "word " * 50_000, "a" * 4095 + " " + "b" * 5000, ""]
+    assert rank_encoder.encode_many(some) == own_codec[0].encode_many(some)
