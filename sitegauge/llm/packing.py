@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import base64
 import json
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +16,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitegauge.llm.bpe import LOOSE, UNITS, Codec, text_batches
+from sitegauge.llm.bpe import text_batches
 from sitegauge.llm.common import extended, without_collector, worker_cache
 
 BLOCK_TOKENS = 4 << 20
@@ -84,55 +83,18 @@ def pack(lengths: list[int], size: int) -> list[list[tuple[int, int, int]]]:
     return rows
 
 
-KEPT = 200_000
-KEPT_BYTES = 64
-LONG = 4096
-
-
-class Encoder:
-    """Ids by a table of ranks; parts of text between spaces that were met lately are looked up."""
-
-    def __init__(self, ranks: str, vocabulary: str, pattern: str):
-        with open(ranks, "rb") as f:
-            table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        self.path, self.whole = vocabulary, None
-        with open(vocabulary, encoding="utf-8") as f:
-            self.special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
-        self.own = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens=self.special)
-        self.lately: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-
-    def _unit(self, unit: str) -> bytes:
-        if len(unit) <= LONG:
-            return np.array(self.own.encode_ordinary(unit), dtype="<u4").tobytes()
-        # An unbroken stretch of text is for the segment trees.
-        self.whole = self.whole or Codec(self.path)
-        return self.whole.encode_many([unit])[0]
-
-    def _units(self, text: str) -> list[str]:
-        if LOOSE.search(text):
-            return [u for u in UNITS.split(text) if u]
-        first, *rest = text.split(" ")
-        return [first, *[f" {r}" for r in rest]] if first else [f" {r}" for r in rest]
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers; special strings within texts are their ids."""
-        whole = {i: np.array(self.own.encode(t, allowed_special="all"), dtype="<u4").tobytes() for i, t in enumerate(texts) if any(s in t for s in self.special)}
-        split = [self._units(t) if t and i not in whole else [] for i, t in enumerate(texts)]
-        if len(self.lately) > KEPT:
-            self.before, self.lately = self.lately, {}
-        known: dict[str, bytes] = {}
-        for unit in set(chain.from_iterable(split)):
-            found = self.lately.get(unit)
-            if found is None:
-                found = self.before.get(unit)
-                if found is None:
-                    found = self._unit(unit)
-                if len(unit) <= KEPT_BYTES:
-                    self.lately[unit] = found
-            known[unit] = found
-        get = known.__getitem__
-        return [whole[i] if i in whole else b"".join(map(get, units)) for i, units in enumerate(split)]
+def rank_encoder(ranks: str, vocabulary: str, pattern: str) -> tiktoken.Encoding:
+    """An encoder from a vocabulary's table of ranks; its special strings are those of the other form of it."""
+    with open(ranks, "rb") as f:
+        table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    with open(vocabulary, encoding="utf-8") as f:
+        special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens=special)
+
+
+def ids_of(own: tiktoken.Encoding, text: str) -> bytes:
+    """The ids of a whole text, as little-endian unsigned 32-bit integers; special strings within it are their ids."""
+    return own.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
 
 
 def encoded(docs: DataFrame, ranks: str, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,11 +106,11 @@ def encoded(docs: DataFrame, ranks: str, vocabulary: str, pattern: str, id_col:
     schema = extended(docs.drop("_text"), "token_ids binary")
 
     def run(batches):
-        own = worker_cache(f"ranks {ranks}", lambda: Encoder(ranks, vocabulary, pattern))
+        own = worker_cache(f"ranks {ranks}", lambda: rank_encoder(ranks, vocabulary, pattern))
         for batch in batches:
             for at, texts in text_batches(batch, "_text"):
                 ids = batch.column(0).slice(at, len(texts))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(own.encode_many(texts), pa.binary())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([ids, pa.array([ids_of(own, t) for t in texts], pa.binary())], names=schema.names)
 
     return docs.mapInArrow(without_collector(run), schema)
 
