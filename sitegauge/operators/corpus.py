@@ -97,7 +97,7 @@ def _placed_pieces(records: DataFrame, keys: list[str], order: str, text: str, b
     rows = records.select(*keys, order, body.alias("_text"))
     sizes = counted_blocks(rows.select(*keys, order, F.length("_text").alias("_chars")), keys, order, "_block", block_rows)
     starts = running_offset(sizes, keys, "_block", [order], F.col("_chars") + 1, "_start").select(*keys, order, "_start")
-    placed = null_safe_join(rows, starts, [*keys, order])
+    placed = null_safe_join(rows.hint("merge"), starts, [*keys, order])
     # Every record but the first brings the separator in front of it.
     piece = F.when(F.col("_start") == 0, F.col("_text")).otherwise(F.concat(F.lit(" "), F.col("_text")))
     start = F.when(F.col("_start") == 0, F.lit(0)).otherwise(F.col("_start") - 1)

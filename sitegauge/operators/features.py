@@ -25,7 +25,7 @@ from ..functions.rules import (
 )
 from ..functions.text import number_or
 from ..functions.once import computed_once
-from .ranking import counted_blocks, null_safe_join
+from .ranking import block_numbers, null_safe_join
 
 BLOCK_ROWS = 1_000
 _ANY_DISTANCE = 1 << 40
@@ -248,8 +248,9 @@ def structural_features(
         piece = F.struct(F.col("_cat").alias("cat"), F.col("_at").alias("at"), numbers.alias("numbers"))
         columns.append(F.when(t.isNotNull(), piece).alias("_piece"))
     order = ["_company", "_cat", "_at"]
-    blocked = counted_blocks(known.select(*order), order[:2], "_at", "_block", block_rows)
-    rows = null_safe_join(scanned.select(*columns), blocked, order)
+    numbers = block_numbers(known, order[:2], "_at", "_block", block_rows)
+    # Both sides have a row per record: neither is for broadcasting.
+    rows = null_safe_join(scanned.select(*columns).hint("merge"), numbers, order)
 
     sums = [F.sum(k).alias(k) for k in counts]
     fold = [_fold(F.sort_array(F.collect_list("_piece"))).alias("_piece")] if number_rules else []

@@ -101,9 +101,13 @@ def counted_blocks(df: DataFrame, keys: list[str], order: str, out: str, block_r
     are dense, sparse or hashes. Only keys and order are dealt out by range; the rows themselves
     meet their block numbers in one join, for which ``order`` must be unique in a group.
     """
+    return null_safe_join(df.hint("merge"), block_numbers(df.select(*keys, order), keys, order, out, block_rows), [*keys, order])
+
+
+def block_numbers(df: DataFrame, keys: list[str], order: str, out: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Keys, order and block number of every row; as many rows as ``df``, so join them by shuffling both."""
     places = row_positions(df.select(*keys, order), keys, [order], "_pos")
-    blocks = places.select(*keys, order, F.floor(F.col("_pos") / block_rows).alias(out))
-    return null_safe_join(df, blocks, [*keys, order])
+    return places.select(*keys, order, F.floor(F.col("_pos") / block_rows).alias(out))
 
 
 def first_k(
