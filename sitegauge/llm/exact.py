@@ -57,6 +57,7 @@ def exact_groups(
 
     Of equal texts the row with the largest id stays; of rows equal in id and text exactly one stays. A null text counts as
     an empty one, a null id is smaller than any other. Other columns are ignored, whatever their names. No rows in, no rows out.
+    ``docs`` is read twice and its rows numbered by place, so it must be a table: write a shuffled frame first.
     """
     keyed = _keyed(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), id_col, text_col, salts, digest)
     groups = _winners(keyed, carry=False)

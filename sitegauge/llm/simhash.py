@@ -214,7 +214,10 @@ def near_groups(
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
-    """The rows with the smallest id of their component, one for each, with all their columns."""
+    """The rows with the smallest id of their component, one for each, with all their columns.
+
+    ``docs`` is read twice and its rows numbered by place, so it must be a table: write a shuffled frame first.
+    """
     key = free_name(docs, "near_row")
     gone = near_groups(docs, id_col, text_col, shingle, distance).where("row <> first_row").select(F.col("row").alias(key))
     return numbered(docs, key).join(gone, key, "left_anti").drop(key)
