@@ -1,9 +1,10 @@
-"""Main text of web pages: declared structure, and differences to the page with the nearest URL.
+"""Main text of web pages by differences to the page with the nearest URL, and what a page declares about itself.
 
-Pages are sorted by host and path over all tasks; of its two neighbours on the same host, a page is paired with the one that
-shares more of the path. The lines (blocks of text) of the pair are aligned by longest common subsequence, and lines that
-both have are template, not content, unless the page itself declares them part of its article. Only digests of lines travel
-to the partner. Lines that a page declares as menu, header, footer, sidebar, notice, advert, form or comments go as well.
+Pages of a host with the same lines (blocks of text) count as one. Sorted by host and path over all tasks, each page is paired
+with the one of its two neighbours on the host that shares more of the path. The lines of the pair are aligned by longest
+common subsequence, and lines that both have are template and go. What a page declares protects and completes this: lines
+of a declared article stay though shared, and lines outside it, or in declared menus, headers, footers, sidebars, notices,
+adverts, forms or comments, go though no neighbour has them. Only digests of lines travel to the partner.
 """
 
 from __future__ import annotations
@@ -31,26 +32,37 @@ INLINE = {
 }
 ASIDE = {"nav", "footer", "aside", "form", "head", "button", "select", "dialog", "svg", "object", "video", "audio", "canvas", "map", "menu"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
-#: Parts of class names and ids that declare something other than the article.
+#: Class names and ids that declare something other than the article, alone or joined with each other or ``LAYOUT``.
 LABELS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "banner", "cookie", "cookies",
     "consent", "gdpr", "notice", "popup", "modal", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs",
     "footer", "masthead", "comment", "comments", "replies", "disqus", "newsletter", "subscribe", "signup", "login", "share", "sharing",
     "social", "related", "recommended", "pagination", "pager", "skip", "toolbar", "widget",
 }
+LAYOUT = {"area", "bar", "block", "bottom", "box", "buttons", "container", "inner", "item", "items", "left", "link", "links", "list", "main", "page", "right", "section", "site", "slot", "thread", "top", "unit", "wrapper"}
 COMMENTS = {"comment", "comments", "replies", "disqus"}
 ARTICLE = {"article", "main"}
+#: Bits of the masks kept while a pair of pages is aligned.
+MASK_BITS = 1 << 28
+SALTS = 8
 END_P = {"p", "div", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "blockquote", "pre", "li", "footer", "nav", "aside", "form"}
 
 
+def _declares(label: str, words: set[str]) -> bool:
+    """Whether a class name or id is one of ``words``, or joins one with nothing but other labels and words of layout."""
+    parts = set(re.split(r"[-_]+", label))
+    return bool(parts & words) and parts <= LABELS | LAYOUT
+
+
 def _zone(name: str, attributes: str, zone: str) -> str:
     """The zone within an element: ``article``, ``plain``, ``aside`` or ``comments``."""
-    labels = {w for found in NAMES.findall(attributes) for w in re.split(r"[^a-z0-9]+", "".join(found).lower())} if "=" in attributes else set()
-    if labels & COMMENTS or zone == "comments":
+    labels = {w for found in NAMES.findall(attributes) for w in "".join(found).lower().split()} if "=" in attributes else set()
+    if zone == "comments" or any(_declares(w, COMMENTS) for w in labels):
         return "comments"
-    if name in ARTICLE or "main" in labels & {"main"} and "role" in attributes.lower():
-        return "aside" if labels & LABELS else "article"
-    if name in ASIDE or labels & LABELS or labels & ROLES or (name == "header" and zone != "article"):
+    labelled = any(_declares(w, LABELS) for w in labels)
+    if name in ARTICLE or ("main" in labels and "role" in attributes.lower()):
+        return "aside" if labelled else "article"
+    if name in ASIDE or labelled or labels & ROLES or (name == "header" and zone != "article"):
         return "aside"
     return "aside" if HIDDEN.search(attributes) else zone
 
@@ -101,8 +113,36 @@ def blocks(page: str) -> list[tuple[str, str]]:
     return out
 
 
+def _prefix_lengths(a: list, b: list) -> np.ndarray:
+    """For every prefix of ``b`` the length of its longest common subsequence with ``a``, a bit of one number per element of ``b``."""
+    n = len(b)
+    full = v = (1 << n) - 1
+    places: dict = {}
+    for j, c in enumerate(b):
+        places.setdefault(c, []).append(j)
+    masks: dict = {}
+    for c in a:
+        if c not in places:
+            continue
+        mask = masks.get(c)
+        if mask is None:
+            bits = np.zeros(n, dtype=np.uint8)
+            bits[places[c]] = 1
+            mask = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+            if len(masks) * n > MASK_BITS:
+                masks.clear()
+            masks[c] = mask
+        u = v & mask
+        v = ((v + u) | (v - u)) & full
+    kept = np.unpackbits(np.frombuffer(v.to_bytes((n + 7) // 8, "little"), dtype=np.uint8), bitorder="little")[:n]
+    return np.concatenate([[0], np.cumsum(1 - kept.astype(np.int64))])
+
+
 def common_lines(own: list, other: list) -> set[int]:
-    """Positions in ``own`` of a longest common subsequence with ``other``."""
+    """Positions in ``own`` of a longest common subsequence with ``other``, in space that grows as the lines do.
+
+    ``own`` is halved, ``other`` cut where both halves together have most in common, and each pair of halves is treated alike.
+    """
     low = 0
     while low < min(len(own), len(other)) and own[low] == other[low]:
         low += 1
@@ -113,24 +153,21 @@ def common_lines(own: list, other: list) -> set[int]:
     # What only one side has can't be in the subsequence.
     both = set(own[low:a]) & set(other[low:b])
     x = [i for i in range(low, a) if own[i] in both]
-    y = [j for j in range(low, b) if other[j] in both]
-    numbers = {v: k for k, v in enumerate(both)}
-    left, right = np.array([numbers[own[i]] for i in x], dtype=np.int64), np.array([numbers[other[j]] for j in y], dtype=np.int64)
-    if not len(x) or not len(y):
-        return found
-    lengths = np.zeros((len(x) + 1, len(y) + 1), dtype=np.int32)
-    for i in range(len(x) - 1, -1, -1):
-        lengths[i, :-1] = np.maximum(lengths[i + 1, :-1], np.where(right == left[i], lengths[i + 1, 1:] + 1, 0))
-        lengths[i] = np.maximum.accumulate(lengths[i][::-1])[::-1]
-    i = j = 0
-    while i < len(x) and j < len(y):
-        if left[i] == right[j]:
-            found.add(x[i])
-            i, j = i + 1, j + 1
-        elif lengths[i + 1, j] >= lengths[i, j + 1]:
-            i += 1
-        else:
-            j += 1
+    left, right = [own[i] for i in x], [c for c in other[low:b] if c in both]
+    todo = [(0, len(left), 0, len(right))]
+    while todo:
+        start, end, first, last = todo.pop()
+        if start == end or first == last:
+            continue
+        if end - start == 1:
+            if left[start] in right[first:last]:
+                found.add(x[start])
+            continue
+        middle = (start + end) // 2
+        ahead = _prefix_lengths(left[start:middle], right[first:last])
+        behind = _prefix_lengths(left[middle:end][::-1], right[first:last][::-1])[::-1]
+        cut = first + int(np.argmax(ahead + behind))
+        todo += [(start, middle, first, cut), (middle, end, cut, last)]
     return found
 
 
@@ -147,13 +184,15 @@ def _shared(one: str, other: str) -> int:
     return n
 
 
-def nearest_pages(pages: DataFrame, row_col: str) -> DataFrame:
+def nearest_pages(pages: DataFrame, row_col: str, *ties: str) -> DataFrame:
     """(row, mate): for each row of (row, host, path) the neighbour on its host, in the order of paths, that shares most of the path.
 
+    Equal paths are ordered by the columns ``ties``; of two equally near neighbours the one before is taken.
+
     The order is made by ranges over all tasks; what meets at their borders is joined by two rows a task. Pages alone on
     their host have no mate; rows without a host are left out.
     """
-    ordered = pages.where("host <> ''").repartitionByRange("host", "path", row_col).sortWithinPartitions("host", "path", row_col)
+    ordered = pages.where("host <> ''").repartitionByRange("host", "path", *ties, row_col).sortWithinPartitions("host", "path", *ties, row_col)
     ordered = ordered.select(F.spark_partition_id().alias("part"), F.col(row_col).alias("row"), "host", "path")
 
     def run(batches):
@@ -196,60 +235,73 @@ def nearest_pages(pages: DataFrame, row_col: str) -> DataFrame:
 
 
 def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", text_to: str = "text") -> DataFrame:
-    """Every row of ``pages`` with ``text`` and ``n_chars``, its html and other columns as they were.
-
-    The text is that of the article if the page declares one, else all lines outside declared asides that the page with the
-    nearest URL does not share. Blocks are joined by one space. Null or empty html, and pages of nothing but template, give
-    an empty text; such pages, and pages without a host, are compared with none. Columns named like the new ones are replaced.
+    """Every row of ``pages`` with ``text``, ``n_chars`` and ``n_template``, its html and other columns as they were.
+
+    The text are the lines of the article if the page declares one, else the lines outside declared asides, without those that
+    the page with the nearest URL has too (lines of a declared article stay); ``n_template`` is how many lines of the page went
+    for being shared. Blocks are joined by one space. Pages of a host with the same lines count as one, under the first of
+    their paths, so repeated rows and mirrored pages get one result and never empty each other; of equally near pages the one
+    before in the order of paths is compared, and pages under one path are ordered by a digest of their lines. Null or empty
+    html gives an empty text. Such pages, pages without a host (null url), and those alone on their host are compared with none.
+    Pages are matched by content, not by place, so the input may be any frame. Columns named like the new ones are replaced.
     """
-    pages = pages.drop(text_to, "n_chars")
-    row, lines_to = free_name(pages, "page_row"), free_name(pages, "page_lines")
-    rows = numbered(pages, row)
+    pages = pages.drop(text_to, "n_chars", "n_template")
     url = F.col(f"`{url_col}`")
-    keyed = rows.select(F.col(row).alias("row"), host_of(url).alias("host"), path_of(url).alias("path"), F.col(f"`{html_col}`").alias("html"))
+    keyed = pages.select(host_of(url).alias("host"), path_of(url).alias("path"), F.col(f"`{html_col}`").alias("html"))
+
+    def key(digests: list[bytes]) -> bytes:
+        return hashlib.blake2b(b"".join(digests), digest_size=16).digest()
 
     def lines(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [blocks(x.as_py() or "") for x in batch["html"]]
-        digests, declared = [[_digest(t) for _, t in f] for f in found], [any(z == "article" for z, _ in f) for f in found]
+        digests = [[_digest(t) for _, t in blocks(x.as_py() or "")] for x in batch["html"]]
         return pa.RecordBatch.from_arrays(
-            [batch["row"], batch["host"], batch["path"], pa.array(digests, pa.list_(pa.binary())), pa.array(declared, pa.bool_())],
-            ["row", "host", "path", "lines", "declared"],
+            [batch["host"], batch["path"], pa.array(map(key, digests), pa.binary()), pa.array(digests, pa.list_(pa.binary()))],
+            ["host", "path", "content", "lines"],
         )
 
-    own = materialised(map_batches(keyed, "row long, host string, path string, lines array<binary>, declared boolean", lines), "page-lines")
-    mates = nearest_pages(own.where(F.size("lines") > 0).select("row", "host", "path"), "row")
-    other = own.select(F.col("row").alias("mate"), F.col("lines").alias("other"))
-    # A declared article needs no comparison; any page can be the one to compare with.
-    undeclared = own.where("not declared").select("row", "lines")
-    pairs = mates.join(undeclared, "row").join(other, "mate").select("row", "lines", "other")
+    own = map_batches(keyed.where("host <> ''"), "host string, path string, content binary, lines array<binary>", lines)
+    distinct = own.where(F.size("lines") > 0).groupBy("host", "content").agg(F.min("path").alias("path"), F.first("lines").alias("lines"))
+    distinct = materialised(numbered(distinct, "row"), "page-lines")
+    mates = nearest_pages(distinct.select("row", "host", "path", "content"), "row", "content")
+    other = distinct.select(F.col("row").alias("mate"), F.col("lines").alias("other"))
+    pairs = mates.join(distinct.drop("path"), "row").join(other, "mate").select("host", "content", "lines", "other")
 
     def differ(batch: pa.RecordBatch) -> pa.RecordBatch:
-        shared = [sorted(common_lines(a, b)) for a, b in zip(batch["lines"].to_pylist(), batch["other"].to_pylist(), strict=True)]
-        return pa.RecordBatch.from_arrays([batch["row"], pa.array(shared, pa.list_(pa.int32()))], ["row", "shared"])
-
-    shared = map_batches(pairs, "row long, shared array<int>", differ)
-
-    def parsed(declared: bool):
-        """Rows with or without a declared article, and their lines that may be content: with an article those, in order."""
-
-        def run(batches):
-            for batch in batches:
-                at, kept = [], []
-                for i, x in enumerate(batch[batch.schema.get_field_index(html_col)]):
-                    found = blocks(x.as_py() or "")
-                    article = [t for z, t in found if z == "article"]
-                    if bool(article) == declared:
-                        at.append(i)
-                        kept.append(article or [t if z == "plain" else None for z, t in found])
-                chosen = batch.take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*chosen.columns, pa.array(kept, pa.list_(pa.string()))], names=[*batch.schema.names, lines_to])
-
-        return rows.mapInArrow(run, extended(rows, f"{lines_to} array<string>"))
-
-    gone = free_name(rows, "shared_lines")
-    compared = parsed(False).join(shared.select(F.col("row").alias(row), F.col("shared").alias(gone)), row, "left")
-    content = F.filter(lines_to, lambda t, i: t.isNotNull() & ~F.coalesce(F.array_contains(gone, i), F.lit(False)))
-    compared = compared.withColumn(lines_to, content)
-    both = parsed(True).unionByName(compared.drop(gone))
-    text = F.array_join(lines_to, " ")
-    return both.select(*[F.col(f"`{c}`") for c in pages.columns], text.alias(text_to), F.length(text).cast("long").alias("n_chars"))
+        shared = []
+        for a, b in zip(batch["lines"].to_pylist(), batch["other"].to_pylist(), strict=True):
+            found = common_lines(a, b)
+            shared.append([i in found for i in range(len(a))])
+        return pa.RecordBatch.from_arrays([batch["host"], batch["content"], pa.array(shared, pa.list_(pa.bool_()))], ["host", "content", "shared"])
+
+    shared = materialised(map_batches(pairs, "host string, content binary, shared array<boolean>", differ), "page-shared")
+
+    host, content, salt, lines_to, article_to, gone = (
+        free_name(pages, f"page_{c}") for c in ("host", "content", "salt", "lines", "article", "shared")
+    )
+    rows = pages.withColumn(host, host_of(url))
+
+    def parsed(batches):
+        """Rows with the digest of their lines, the lines that may be content (else null), and whether an article is declared."""
+        for batch in batches:
+            contents, kept, declared = [], [], []
+            for x in batch[batch.schema.get_field_index(html_col)]:
+                found = blocks(x.as_py() or "")
+                wanted = "article" if any(z == "article" for z, _ in found) else "plain"
+                contents.append(key([_digest(t) for _, t in found]))
+                kept.append([t if z == wanted else None for z, t in found])
+                declared.append(wanted == "article")
+            new = [pa.array(contents, pa.binary()), pa.array(kept, pa.list_(pa.string())), pa.array(declared, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, content, lines_to, article_to])
+
+    read = rows.mapInArrow(parsed, extended(rows, f"{content} binary, {lines_to} array<string>, {article_to} boolean"))
+    # A page with very many copies is spread over the salts; any of the equal rows on the other side serves.
+    read = read.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    salted = shared.select(
+        F.col("host").alias(host), F.col("content").alias(content), F.col("shared").alias(gone), F.explode(F.array(*map(F.lit, range(SALTS)))).alias(salt)
+    )
+    both = read.join(salted, [host, content, salt], "left")
+    template = lambda i: F.coalesce(F.get(F.col(gone), i), F.lit(False))
+    text = F.array_join(F.filter(lines_to, lambda t, i: t.isNotNull() & (F.col(article_to) | ~template(i))), " ")
+    went = F.size(F.filter(lines_to, lambda t, i: template(i) & (t.isNull() | ~F.col(article_to)))).cast("long")
+    both = both.select(*[F.col(f"`{c}`") for c in pages.columns], text.alias(text_to), went.alias("n_template"))
+    return both.withColumn("n_chars", F.length(f"`{text_to}`").cast("long"))

@@ -90,7 +90,7 @@ def op6_host_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_page_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pagediff.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+    return pagediff.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "n_template")
 
 
 def op8_packed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

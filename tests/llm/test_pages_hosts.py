@@ -1,10 +1,15 @@
+import hashlib
+import os
 import random
+import re
+import tracemalloc
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from sitegauge.llm import hosts, pagediff
 
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block")]
 
 
@@ -63,6 +68,82 @@ def test_differences_remove_what_neighbours_share(spark):
     assert pagediff.main_text(pages(spark, [])).collect() == []
 
 
+def brute_main_text(rows):
+    """(text, lines gone) per row by sorting the distinct pages of a host and aligning each with its nearer neighbour."""
+    out, read = [], [(hosts_of(u), pagediff.blocks(h or "")) for u, h in rows]
+    for (host, _), found in read:
+        same = {}
+        for (other, path), lines in read:
+            if other == host and host and lines:
+                k = tuple(t for _, t in lines)
+                same[k] = min(path, same.get(k, path))
+        key = lambda k: (same[k], hashlib.blake2b(b"".join(map(pagediff._digest, k)), digest_size=16).digest())
+        order = sorted(same, key=key)
+        own, shared = tuple(t for _, t in found), set()
+        if own in same and len(order) > 1:
+            at = order.index(own)
+            near = [order[i] for i in (at - 1, at + 1) if 0 <= i < len(order)]
+            mate = max(near, key=lambda k: len(os.path.commonprefix([same[k], same[own]])))
+            shared = pagediff.common_lines(list(own), list(mate))
+        article = any(z == "article" for z, _ in found)
+        kept = [t for i, (z, t) in enumerate(found) if (z == "article" if article else z == "plain" and i not in shared)]
+        out.append((" ".join(kept), sum(not (article and found[i][0] == "article") for i in shared)))
+    return out
+
+
+def hosts_of(url):
+    host, _, path = re.split(r"[?#]", url.split("://", 1)[1])[0].partition("/") if "://" in (url or "") else ("", "", "")
+    return host.lower(), f"/{path}"
+
+
+def test_main_text_against_brute_force(spark):
+    """Shared, repeated and mirrored pages, ties, several pages under one path, in shuffled rows."""
+    rng = random.Random(11)
+    line = lambda: f"<p>{rng.choice('abcdefgh')} {rng.randint(0, 3)}</p>"
+    rows = []
+    for _ in range(400):
+        body = "".join(line() for _ in range(rng.randint(0, 6)))
+        body = rng.choice((f"<div>Site</div>{body}<div>Imprint</div>", body, f"<nav>Menu</nav><article>{body}</article><p>Imprint</p>"))
+        rows.append((f"http://h{rng.randint(0, 2)}.org/{rng.choice('ab')}/{rng.randint(0, 40)}", body))
+    rows += rows[:60] + [(f"http://h0.org/copy/{i}", rows[0][1]) for i in range(30)] + [(None, "<p>x</p>"), ("http://h0.org/a/1", None)]
+    rng.shuffle(rows)
+    frame = pages(spark, [(i, *r) for i, r in enumerate(rows)]).repartition(7)
+    got = {r.page_id: (r.text, r.n_template) for r in pagediff.main_text(frame).collect()}
+    assert got == dict(enumerate(brute_main_text(rows)))
+
+
+def test_repeated_pages_do_not_empty_each_other(spark):
+    page = "<p>One</p><p>Two</p>"
+    rows = [(1, "http://h.org/a/1", page), (2, "http://h.org/a/1", page), (3, "http://h.org/a/2", page), (4, "http://h.org/b", "<p>Two</p><p>Three</p>")]
+    got = {r.page_id: r.text for r in pagediff.main_text(pages(spark, rows)).collect()}
+    assert got == {1: "One", 2: "One", 3: "One", 4: "Three"}
+
+
+def test_class_names_are_read_whole():
+    html = '<article><div class="social-policy"><p>kept</p></div><div class="x cookie-banner">no</div><div id="comment_list">no</div></article>'
+    assert [t for z, t in pagediff.blocks(html) if z == "article"] == ["kept"]
+
+
+def test_very_long_pages_align_in_little_memory():
+    rng = random.Random(5)
+    own = [rng.randrange(40_000) for _ in range(50_000)]
+    other = [c for c in own if rng.random() < 0.9]
+    tracemalloc.start()
+    found = pagediff.common_lines(own, [-1, *other, -2])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == len(other) and peak < 400 << 20
+
+
+def test_comparison_removes_lines_of_the_given_pages(spark):
+    given = spark.read.parquet(f"{SF_DIR}/pages.parquet")
+    out = pagediff.main_text(given).select("page_id", "text", "n_template").collect()
+    rows = given.orderBy("page_id").collect()
+    want = dict(zip((r.page_id for r in rows), brute_main_text([(r.url, r.html) for r in rows]), strict=True))
+    assert {r.page_id: (r.text, r.n_template) for r in out} == want
+    assert sum(r.n_template > 0 for r in out) > 0
+
+
 def test_rules(spark):
     rows = [
         (1, "http://a.COM/x?y", None), (2, "https://example.com/en/1", ""), (3, "https://www.Example.com/en/1#t", ""), (4, "https://m.example.com/en/", ""),
