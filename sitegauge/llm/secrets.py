@@ -1,6 +1,7 @@
 """Secrets in texts: candidates by pattern, false positives removed by a random forest.
 
-Candidates are assigned values after a telling name, tokens of known forms, and long mixed tokens. The forest sees the length
+Candidates are assigned values after a telling name, tokens of known forms (key blocks from their first line to their last),
+and long mixed tokens, each of any length. The forest sees the length
 of a candidate, how its characters follow one another, how much of it a small dictionary covers, the path it was found
 under, and the words around it. It is trained here, on labelled findings: a table of (value, path, before, after, is_secret).
 ``example_findings`` makes such a table of bounded size from the forms that secrets and their look-alikes take; a caller with
@@ -27,12 +28,15 @@ TREES = 40
 DEPTH = 8
 SEED = 42
 
-NAMED = r"(?i:[\w.-]{0,40}(?:passw(?:or)?d|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credential)[\w-]{0,20}[\"']?\s{0,3}(?:=>|:=|[:=])\s{0,3})"
+# No form has an upper length. Runs of name characters are entered at their start only, and just if an assignment ends them,
+# which keeps the search linear in the text.
+NAMED = r"(?i:(?<![\w.-])(?=[\w.-]*+[\"']?\s{0,3}[:=])[\w.-]*?(?:passw(?:or)?d|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credential)[\w-]*+[\"']?\s{0,3}(?:=>|:=|[:=])\s{0,3})"
 CANDIDATE = re.compile(
-    rf"(?:{NAMED}(?:\"(?P<quoted>[^\"\n]{{4,512}})\"|'(?P<single>[^'\n]{{4,512}})'|(?P<bare>[^\s\"'<>,;]{{4,512}})))"
-    r"|(?P<known>\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,255}\b|\bxox[abprs]-[A-Za-z0-9-]{10,255}"
-    r"|\beyJ[\w-]{8,2048}\.[\w-]{8,2048}\.[\w-]{8,2048}|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----)"
-    r"|(?P<mixed>(?<![\w+/@.-])(?=[A-Za-z+/_-]{0,64}[0-9])(?=[0-9+/_.@-]{0,64}[A-Za-z])[\w+/.@=-]{16,256}(?![\w+/]))",
+    rf"(?:{NAMED}(?:\"(?P<quoted>[^\"\n]{{4,}})\"|'(?P<single>[^'\n]{{4,}})'|(?P<bare>[^\s\"'<>,;]{{4,}}+)))"
+    r"|(?P<known>\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}+\b|\bxox[abprs]-[A-Za-z0-9-]{10,}+"
+    r"|(?<![\w-])eyJ[\w-]{8,}+\.[\w-]{8,}+\.[\w-]{8,}+"
+    r"|-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z0-9 ]*PRIVATE KEY-----|(?:\s*+[A-Za-z0-9+/=]{40,}+)*+))"
+    r"|(?P<mixed>(?<![\w+/@.-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_.@-]*+[A-Za-z])[\w+/.@=-]{16,}+)",
     re.A,
 )
 # Words that programs, configurations and their examples are made of.
@@ -109,7 +113,11 @@ def findings(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
-    """doc_id, start, end (code points), kind, value, features: one row per candidate of a whole text; none for null texts."""
+    """doc_id, start, end (code points), kind, value, features: one row per candidate of a whole text; none for null texts.
+
+    Candidates are found from left to right and don't overlap; where two forms start at one place the first of ``CANDIDATE``
+    counts. Repeated rows and ids give their candidates once for each row. Other columns are ignored, whatever their names.
+    """
     path = F.col(f"`{path_col}`").cast("string") if path_col else F.lit(None).cast("string")
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), path.alias("path"))
     id_type = rows.schema["doc_id"].dataType.simpleString()

@@ -1,5 +1,6 @@
 import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -67,3 +68,26 @@ def test_forest_on_held_out_findings(spark, make_docs):
     assert sorted(r.doc_id for r in found if r.is_secret) == [1, 5, 5]
     assert {(r.start, r.end) for r in found if r.doc_id == 5} == {(3, 23)}
     assert secrets.candidates(make_docs([])).collect() == []
+
+
+def test_candidates_of_any_length():
+    rng = random.Random(2)
+    mixed = lambda n: "a1" + "".join(rng.choice("abcdefXYZ0189") for _ in range(n - 2))
+    body = "\n".join(mixed(64) for _ in range(80))
+    block = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    cut = f"-----BEGIN PRIVATE KEY-----\n{body}"
+    for before, value, after, kind in [
+        ('password = "', mixed(5000) + " and more", '" x', "named"), ("pwd: '", "q" * 800, "'", "named"), ("token=", mixed(1200), " x", "named"),
+        ("n" * 300 + "_secret_" + "n" * 300 + " := ", mixed(30), ", x", "named"), ("at ", mixed(320), " x", "mixed"), ("at ", "a" * 4000 + "7", " x", "mixed"),
+        ("", "ghp_" + mixed(5000), " x", "known"), ("a ", f"eyJ{mixed(3000)}.{mixed(5000)}.{mixed(3000)}", " x", "known"), ("xoxb ", "xoxb-" + mixed(900), "", "known"),
+        ("key:\n", block, "\nmore words", "known"), ("", cut, "\nshort words after", "known"),
+    ]:
+        text = before + value + after
+        assert secrets.findings(text) == [(len(before), len(before) + len(value), kind, value)]
+
+
+def test_candidate_search_is_linear():
+    for piece in ("token", "token.", "eyJ-", "eyJ", "a=", "token=", "-----BEGIN PRIVATE KEY-----\n", 'password="', "a1+", "key "):
+        began = time.process_time()
+        secrets.findings(piece * (400_000 // len(piece)))
+        assert time.process_time() - began < 5, piece
