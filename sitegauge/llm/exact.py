@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from sitegauge.llm.common import materialised, text_or_empty
 
 SALTS = 16
+HOT = 1000
 
 
 def _sha(text: Column) -> Column:
@@ -57,30 +58,34 @@ def exact_groups(
 
     Of equal texts the row with the largest id stays; of rows equal in id and text exactly one stays. A null text counts as
     an empty one, a null id is smaller than any other. Other columns are ignored, whatever their names. No rows in, no rows out.
-    ``docs`` is read twice and its rows numbered by place, so it must be a table: write a shuffled frame first.
+    Groups are rejoined by content, and rows are numbered in one written table, so ``docs`` may be any frame.
     """
     keyed = _keyed(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), id_col, text_col, salts, digest)
-    groups = _winners(keyed, carry=False)
-    won = materialised(groups.select("digest", "best", "n"), "exact-winners")
-    # Different texts under one digest: not seen with SHA-256, but never merged either.
-    shared = won.groupBy("digest").count().where("count > 1").select("digest")
-    rows = keyed.select("id", "row", "digest", F.sha2("text", 256).alias("text_sha256"))
+    keyed = keyed.withColumns({"sha": _sha(F.col("text")), "doubt": F.lit("")})
+    won = materialised(_winners(keyed, carry=False).select("digest", "n"), "exact-winners")
+    # Different texts under one digest: not seen with SHA-256, but never merged either; there the text is part of the key.
+    shared = materialised(won.groupBy("digest").count().where("count > 1").select("digest"), "exact-shared")
+    narrow, key = ["id", "row", "digest", "doubt", "sha"], ["digest", "doubt"]
     if shared.isEmpty():
-        found = rows.join(won, "digest")
+        rows, groups = keyed.select(*narrow), won.withColumn("doubt", F.lit(""))
     else:
-        shared = materialised(shared, "exact-shared")
-        by_text = _winners(keyed.join(shared, "digest", "left_semi"), carry=False)
-        found = rows.join(shared, "digest", "left_anti").join(won, "digest").unionByName(
-            keyed.join(shared, "digest", "left_semi")
-            .join(by_text, ["digest", "text"])
-            .select("digest", "id", "row", F.sha2("text", 256).alias("text_sha256"), "best", "n")
-        )
-    return found.select(
+        doubted = keyed.join(shared, "digest", "left_semi").withColumn("doubt", F.col("text"))
+        rows = keyed.join(shared, "digest", "left_anti").select(*narrow).unionByName(doubted.select(*narrow))
+        by_text = _winners(doubted, carry=False).select("digest", F.col("text").alias("doubt"), "n")
+        groups = won.join(shared, "digest", "left_anti").withColumn("doubt", F.lit("")).unionByName(by_text)
+    rows = materialised(rows, "exact-rows")
+    top = rows.groupBy(*key).agg(F.max(F.struct("id", "row")).alias("best"))
+    groups = materialised(groups.join(top, key), "exact-groups")
+    # Fewer than HOT groups can have more than one in HOT of the rows: small enough to go to every task. The rest has no hot key.
+    many = groups.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(groups.where(F.col("n") * HOT > many))
+    usual = rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(groups.where(F.col("n") * HOT <= many), key)
+    return rows.join(hot, key).unionByName(usual).select(
         F.col("id").alias("doc_id"),
         F.col("best.id").alias("keep_id"),
         F.col("n").alias("group_size"),
         (F.col("row") == F.col("best.row")).alias("kept"),
-        "text_sha256",
+        F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
 

@@ -50,9 +50,13 @@ def _ones(hashes: np.ndarray) -> np.ndarray:
     return np.concatenate([np.bincount(parts[:, j], minlength=256) @ BITS for j in range(8)])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """row, doc_id, fp (the 64 bits as a signed long) for each input row; a null or wordless text has fingerprint 0."""
-    rows = numbered(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("raw")), "row")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, row_col: str | None = None) -> DataFrame:
+    """row, doc_id, fp (the 64 bits as a signed long) for each input row; a null or wordless text has fingerprint 0.
+
+    ``row`` is ``row_col``, or else the row's place in this one reading of ``docs``.
+    """
+    row = F.col(f"`{row_col}`") if row_col else F.monotonically_increasing_id()
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("raw"), row.alias("row"))
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         prints = np.array([fingerprint(x.as_py() or b"", shingle) for x in batch["raw"]], dtype=np.uint64).view(np.int64)
@@ -191,7 +195,13 @@ def near_links(prints: DataFrame, distance: int = 2, shard: int = SHARD, sample:
 
 
 def near_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2, shard: int = SHARD
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 3,
+    distance: int = 2,
+    shard: int = SHARD,
+    row_col: str | None = None,
 ) -> DataFrame:
     """row, doc_id, fp, component_id, first_row: one row per input row, copies included.
 
@@ -200,7 +210,7 @@ def near_groups(
     should keep. A null text counts as empty, a null id is no candidate for the smallest unless the component has no other.
     Other columns are ignored. No rows in, no rows out.
     """
-    prints = materialised(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    prints = materialised(fingerprints(docs, id_col, text_col, shingle, row_col), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     distinct = materialised(prints.groupBy("fp").agg(F.min(order).alias("first")), "distinct-fingerprints")
     links = materialised(near_links(distinct, distance, shard), "links")
@@ -216,8 +226,10 @@ def near_groups(
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
     """The rows with the smallest id of their component, one for each, with all their columns.
 
-    ``docs`` is read twice and its rows numbered by place, so it must be a table: write a shuffled frame first.
+    The numbered rows are written once and read twice, so ``docs`` may be any frame.
     """
     key = free_name(docs, "near_row")
-    gone = near_groups(docs, id_col, text_col, shingle, distance).where("row <> first_row").select(F.col("row").alias(key))
-    return numbered(docs, key).join(gone, key, "left_anti").drop(key)
+    docs = materialised(numbered(docs, key), "near-docs")
+    groups = near_groups(docs, id_col, text_col, shingle, distance, row_col=key)
+    gone = groups.where("row <> first_row").select(F.col("row").alias(key))
+    return docs.join(gone, key, "left_anti").drop(key)

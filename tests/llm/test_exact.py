@@ -45,3 +45,13 @@ def test_hot_text_and_empty_table(make_docs):
     assert Counter((r.doc_id, r.keep_id, r.group_size) for r in rows) == brute(pairs)
     assert exact.exact_groups(make_docs([])).collect() == []
     assert exact.keep_one(make_docs([])).collect() == []
+
+
+def test_shuffled_frame(spark):
+    docs = spark.range(0, 20_000, 1, 8).selectExpr("id AS doc_id", "concat('t', least(id % 500, 400)) AS text").repartition(7)
+    rows = exact.exact_groups(docs).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size) for r in rows) == brute([(i, f"t{min(i % 500, 400)}") for i in range(20_000)])
+    assert sum(r.kept for r in rows) == 401 and all(r.doc_id == r.keep_id for r in rows if r.kept)
+    doubled = docs.union(docs).repartition(5)
+    assert sum(r.kept for r in exact.exact_groups(doubled).collect()) == 401
+    assert sum(r.kept for r in exact.exact_groups(doubled, digest=lambda t: F.lit("one").cast("binary")).collect()) == 401

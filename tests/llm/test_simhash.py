@@ -103,3 +103,10 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}, 200: 200, 201: 200}
+
+
+def test_keep_one_of_a_shuffled_frame(spark):
+    docs = spark.range(0, 6000, 1, 8).selectExpr("id AS doc_id", "concat('word', id % 150, ' other', id % 150 * 7, ' third', id % 150) AS text").repartition(7)
+    kept = simhash.keep_one(docs).collect()
+    assert sorted(r.doc_id for r in kept) == sorted({r.component_id for r in simhash.near_groups(docs).collect()})
+    assert len({r.text for r in kept}) == len(kept)
