@@ -2,14 +2,16 @@
 
 Each task takes its documents in shards of bounded length, without a shuffle. A shard's words become numbers (0 for a word
 that no benchmark item has), and a suffix array is built over all suffixes that begin with a benchmark word, sorted to the
-depth of the longest item, beyond which no comparison with an item can reach. Every suffix of every item is then searched
-in it by bisection: the neighbours of its place give the longest verbatim match and where it is; the range of suffixes that
-share its window gives all places of that window. A document is local to a shard, so shards need no merging.
+depth of a window. Every suffix of every item is then searched in it by bisection: the range of suffixes that share its
+window gives all places of that window, and places that follow one another give the longest verbatim match and where it is;
+the neighbours of its place give matches shorter than a window. A document is local to a shard, so shards need no merging.
+Items come in blocks of bounded size: the driver prepares one at a time, a task has one in memory at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from types import SimpleNamespace
 
 import numpy as np
@@ -36,35 +38,51 @@ def words_of(raw: bytes) -> list[bytes]:
 
 
 def prepared(rows: list[tuple[str, bytes]], window: int) -> SimpleNamespace:
-    """A block of items: their vocabulary, and all distinct suffixes as rows of word numbers, 0 beyond the end.
+    """A block of items: their vocabulary and words as numbers, and where each distinct suffix begins in them.
 
-    ``windows`` has the words of the window that begins a suffix (0: it begins none), ``items`` the items with that window.
+    Equal suffixes are found with a suffix array of the block, so memory and time stay nearly linear in its words.
+    ``windows`` has the words of the window that begins a suffix (0: it begins none), ``items`` the items with that window,
+    ``after`` the suffix one word shorter (-1: none).
     """
+    rows = sorted(rows)
     vocabulary: dict[bytes, int] = {}
-    suffixes: dict[tuple[int, ...], set[tuple[str, int]]] = {}
-    for name, raw in rows:
-        numbers = tuple(vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(raw))
-        size = min(window, len(numbers))
-        for at in range(len(numbers)):
-            begins = suffixes.setdefault(numbers[at:], set())
-            if size and at + size <= len(numbers):
-                begins.add((name, size))
-    depth = max(map(len, suffixes), default=0)
-    # An item shorter than the window is one window itself; the suffix of a longer item may read the same.
-    keys = sorted((s, n) for s, of in suffixes.items() for n in ({size for _, size in of} or {0}))
-    table = np.zeros((len(keys), depth), dtype=np.int64)
-    for i, (suffix, _) in enumerate(keys):
-        table[i, : len(suffix)] = suffix
-    names = [sorted(name for name, size in suffixes[s] if size == n) for s, n in keys]
+    numbers = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(raw)] + [0], dtype=np.int64) for _, raw in rows]
+    sizes = np.array([len(n) - 1 for n in numbers], dtype=np.int64)
+    bits, words, depth = *_packing(len(vocabulary)), int(sizes.max(initial=0))
+    flat = np.concatenate([*numbers, np.zeros(depth + 2 * words + 2, dtype=np.int64)])
+    array, _, group = suffix_array(flat, depth, bits, words)
+    first = np.flatnonzero(group == np.arange(len(array)))  # the first place of each distinct suffix
+    own = np.searchsorted(first, group)  # place in the array -> distinct suffix
+    ends = np.cumsum(sizes + 1) - 1
+    item = np.searchsorted(ends, array)
+    left = ends[item] - array
+    # An item shorter than the window is one window itself.
+    begun = np.where(left >= window, window, np.where(left == sizes[item], left, 0))
+    windows = np.zeros(len(first), dtype=np.int64)
+    np.maximum.at(windows, own, begun)
+    suffix_at = np.full(len(flat) + 1, -1, dtype=np.int64)
+    suffix_at[array] = own
+    named = np.flatnonzero(begun)
+    order = named[np.lexsort((item[named], own[named]))]
+    cuts = np.searchsorted(own[order], np.arange(len(first) + 1))
+    names = [sorted({rows[i][0] for i in item[order[a:b]].tolist()}) for a, b in itertools.pairwise(cuts.tolist())]
     return SimpleNamespace(
         vocabulary=vocabulary,
-        suffixes=table,
-        lengths=np.array([len(s) for s, _ in keys], dtype=np.int64),
-        windows=np.array([n for _, n in keys], dtype=np.int64),
+        numbers=flat,
+        at=array[first],
+        lengths=left[first],
+        windows=windows,
+        after=suffix_at[array[first] + 1],
         items=names,
     )
 
 
+def _packing(vocabulary: int) -> tuple[int, int]:
+    """Bits of a word number, and how many words go into one key."""
+    bits = max(1, int(vocabulary).bit_length())
+    return bits, min(62 // bits, 8)
+
+
 def item_blocks(bench: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int = BLOCK_BYTES):
     """The items in blocks of about ``block_bytes``, one after the other; an item without an id has an empty name."""
     named = bench.select(
@@ -91,8 +109,9 @@ def _packed(numbers: np.ndarray, at: np.ndarray, bits: int, words: int) -> np.nd
     return key
 
 
-def suffix_array(numbers: np.ndarray, depth: int, bits: int, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of non-zero words in the order of their suffixes, compared up to ``depth`` words or a zero, and their first keys.
+def suffix_array(numbers: np.ndarray, depth: int, bits: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of non-zero words in the order of their suffixes, compared up to ``depth`` words or a zero, their first keys,
+    and for each the place of the first one that compares equal.
 
     The first round sorts by one packed key; later rounds double the compared length and touch only positions still tied.
     """
@@ -122,7 +141,7 @@ def suffix_array(numbers: np.ndarray, depth: int, bits: int, words: int) -> tupl
         group = np.maximum.accumulate(np.where(fresh, np.arange(len(array)), 0))
         rank[array[tied]] = group[tied] + 1
         done *= 2
-    return array, keys
+    return array, keys, group
 
 
 def _bisect(key_at, low: np.ndarray, high: np.ndarray, wanted: np.ndarray, right: bool) -> np.ndarray:
@@ -142,15 +161,14 @@ def _bisect(key_at, low: np.ndarray, high: np.ndarray, wanted: np.ndarray, right
 def search(numbers: np.ndarray, items: SimpleNamespace) -> tuple[np.ndarray, ...]:
     """Every suffix of every item against the suffix array of a shard.
 
-    Gives (longest match, its position) for each suffix, and (suffix, position) for every place of a window.
+    Gives (suffix, position, words matched) for the nearest neighbours of each suffix, and the same for every place of a window.
+    Neighbours decide matches up to the depth of the array, one window; a longer match is a chain of places of windows.
     """
-    bits = max(1, int(len(items.vocabulary)).bit_length())
-    words = min(62 // bits, 8)
-    depth = items.suffixes.shape[1]
+    bits, words = _packing(len(items.vocabulary))
+    size, depth = len(items.at), int(items.windows.max(initial=0)) or int(items.lengths.max(initial=0))
     padded = np.concatenate([numbers, np.zeros(depth + 2 * words + 2, dtype=np.int64)])
-    array, first_keys = suffix_array(padded, depth, bits, words)
-    count, size = len(array), len(items.lengths)
-    queries = np.concatenate([items.suffixes, np.zeros((size, words), dtype=np.int64)], axis=1)
+    array, first_keys, _ = suffix_array(padded, depth, bits, words)
+    count = len(array)
     longest, place = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
     windows = [[], []]
     live, low, high = np.arange(size), np.zeros(size, dtype=np.int64), np.full(size, count, dtype=np.int64)
@@ -158,13 +176,15 @@ def search(numbers: np.ndarray, items: SimpleNamespace) -> tuple[np.ndarray, ...
         def key_at(i, level=level):
             return first_keys[i] if not level else _packed(padded, array[i] + level, bits, words)
 
-        wanted = _packed_rows(queries[live, level : level + words], bits)
+        asked = items.at[live] + level
+        wanted = _packed(items.numbers, asked, bits, words)
         left = _bisect(key_at, low, high, wanted, False)
         # The neighbours of the place share most words with the suffix.
         for near in (left - 1, left):
             ok = np.flatnonzero((near >= low) & (near < high))
-            same = padded[array[near[ok]][:, None] + level + np.arange(words)] == queries[live[ok], level : level + words]
-            shared = level + np.cumprod(same & (queries[live[ok], level : level + words] > 0), axis=1).sum(axis=1)
+            query = items.numbers[asked[ok][:, None] + np.arange(words)]
+            same = padded[array[near[ok]][:, None] + level + np.arange(words)] == query
+            shared = level + np.cumprod(same & (query > 0), axis=1).sum(axis=1)
             better = shared > longest[live[ok]]
             longest[live[ok[better]]], place[live[ok[better]]] = shared[better], array[near[ok[better]]]
         # Windows that end within this level: all suffixes that share the words up to there.
@@ -184,15 +204,29 @@ def search(numbers: np.ndarray, items: SimpleNamespace) -> tuple[np.ndarray, ...
         live, low, high = live[on], left[on], right[on]
         if not len(live):
             break
+    near = np.flatnonzero(longest)
     none = np.zeros(0, dtype=np.int64)
-    return longest, place, np.concatenate([none, *windows[0]]), np.concatenate([none, *windows[1]])
-
-
-def _packed_rows(rows: np.ndarray, bits: int) -> np.ndarray:
-    key = np.zeros(len(rows), dtype=np.int64)
-    for j in range(rows.shape[1]):
-        key = (key << bits) | rows[:, j]
-    return key
+    suffix, position = np.concatenate([none, *windows[0]]), np.concatenate([none, *windows[1]])
+    return near, place[near], longest[near], suffix, position, _chained(suffix, position, items)
+
+
+def _chained(suffix: np.ndarray, position: np.ndarray, items: SimpleNamespace) -> np.ndarray:
+    """Words matched from each place of a window on: a window, and one more for each window that follows at the next word."""
+    size = len(items.at) + 1
+    code = position * size + suffix
+    order = np.argsort(code)
+    ranked = code[order]
+    after = items.after[suffix[order]]
+    wanted = (position[order] + 1) * size + after
+    follows = np.minimum(np.searchsorted(ranked, wanted), max(len(ranked) - 1, 0))
+    last = len(ranked)
+    jump = np.append(np.where((after >= 0) & (ranked[follows] == wanted), follows, last), last)
+    steps = np.append((jump[:-1] < last).astype(np.int64), 0)
+    while (jump[:-1] < last).any():
+        steps, jump = steps + steps[jump], jump[jump]
+    words = np.empty(last, dtype=np.int64)
+    words[order] = steps[:-1]
+    return words + items.windows[suffix]
 
 
 def scanned(texts: list[bytes], blocks) -> list[dict]:
@@ -209,18 +243,20 @@ def scanned(texts: list[bytes], blocks) -> list[dict]:
         get = items.vocabulary.get
         for words, at in zip(split, starts.tolist(), strict=True):
             numbers[at : at + len(words)] = np.fromiter((get(w, 0) for w in words), dtype=np.int64, count=len(words))
-        if not len(items.lengths):
+        if not len(items.at):
             continue
-        longest, place, suffix, position = search(numbers, items)
+        _, near, shared, suffix, position, matched = search(numbers, items)
         np.add.at(marks, position, 1)
         np.add.at(marks, position + items.windows[suffix], -1)
         doc = np.searchsorted(starts, position, side="right") - 1
         for d, s in np.unique(np.stack([doc, suffix], axis=1), axis=0).tolist():
             found[d].update(items.items[s])
-        for s in np.flatnonzero(longest).tolist():
-            d = int(np.searchsorted(starts, place[s], side="right") - 1)
-            if longest[s] > best[d][0]:
-                best[d] = (int(longest[s]), int(place[s] - starts[d]))
+        places, sizes = np.concatenate([near, position]), np.concatenate([shared, matched])
+        of = np.searchsorted(starts, places, side="right") - 1
+        order = np.lexsort((places, -sizes, of))
+        for i in order[np.unique(of[order], return_index=True)[1]].tolist():
+            if sizes[i] > best[of[i]][0]:
+                best[of[i]] = (int(sizes[i]), int(places[i] - starts[of[i]]))
     hit = np.append(0, np.cumsum(np.cumsum(marks[:-1]) > 0))
     n_hit = hit[starts + lengths] - hit[starts]
     return [
@@ -252,13 +288,19 @@ def benchmark_matches(
     counts the document's words within places of windows, ``items`` names the items with such windows. ``longest_match`` and
     ``longest_at`` give the words and the first word of the longest match that a suffix search placed in this document (a
     match elsewhere may be as long: of equal ones in a shard, one place is given). Null and wordless texts, and all texts
-    if there are no items, match nothing. Items without an id count with an empty name. Fields of ``docs`` that clash with
-    the new ones are replaced.
+    if there are no items, match nothing. Items without an id count with an empty name. Items may be long: one of them must
+    fit a task's memory, about 100 bytes a word. Fields of ``docs`` that clash with the new ones are replaced.
     """
     new = [f.split()[0] for f in FOUND.split(", ")]
     docs = docs.drop(*[c for c in docs.columns if c in new])
     spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(b) for b in item_blocks(bench, item_col, item_text_col, window)]
+    shared = [spark.sparkContext.broadcast(b) for b in item_blocks(bench, item_col, item_text_col, window)]
+
+    def blocks():
+        """A single block is kept by the worker; of several, one is in its memory at a time."""
+        for block in shared:
+            path = block._path if len(shared) > 1 else None
+            yield block.load_from_path(path) if path else block.value
 
     def run(batches):
         for batch in batches:
@@ -271,7 +313,7 @@ def benchmark_matches(
                 while at + len(some) < batch.num_rows and size < 6 * shard_words:
                     some.append((texts[at + len(some)].as_py() or "").encode())
                     size += len(some[-1])
-                rows = scanned(some, (b.value for b in blocks))
+                rows = scanned(some, blocks())
                 items = [r["items"] for r in rows]
                 part = batch.slice(at, len(some))
                 yield pa.RecordBatch.from_arrays(

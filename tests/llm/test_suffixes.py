@@ -49,6 +49,8 @@ def test_against_brute_force(spark, make_docs, window, vocabulary):
     for r in rows:
         if r.doc_id is not None and 0 <= r.doc_id < 50:
             assert r.longest_match <= longest(r.text, items)
+            if r.n_hit and longest(r.text, items) >= window:
+                assert r.longest_match == longest(r.text, items)
 
 
 def test_longest_match_and_place(spark, make_docs):
@@ -57,6 +59,28 @@ def test_longest_match_and_place(spark, make_docs):
     assert (row.longest_match, row.longest_at, row.contaminated) == (6, 2, False)
 
 
+def test_a_very_long_item():
+    rng = random.Random(3)
+    some = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    item = some(100_000)
+    long_run = ["same"] * 3000
+    docs = [some(50) + item[20_000:95_000] + some(9), some(500), item[5:14], item[5:15], some(4) + long_run[:2000]]
+    block = suffixes.prepared([("long", " ".join(item).encode()), ("run", " ".join(long_run).encode())], 10)
+    assert max(a.nbytes for a in vars(block).values() if hasattr(a, "nbytes")) < 3_000_000
+    rows = suffixes.scanned([" ".join(d).encode() for d in docs], [block])
+    assert [r["n_hit"] for r in rows] == [75_000, 0, 0, 10, 2000]
+    assert [r["items"] for r in rows] == [["long"], [], [], ["long"], ["run"]]
+    assert [r["longest"] for r in rows[:1] + rows[3:]] == [(75_000, 50), (10, 0), (2000, 4)]
+
+
+def test_several_blocks_in_a_job(spark, make_docs, monkeypatch):
+    plain = suffixes.item_blocks
+    monkeypatch.setattr(suffixes, "item_blocks", lambda *a: plain(*a, block_bytes=40))
+    bench = spark.createDataFrame([(i, f"k{i} l{i} m{i}") for i in range(12)], "item_id long, text string")
+    rows = suffixes.benchmark_matches(make_docs([(i, f"zero k{i} l{i} m{i} k{i + 1} l{i + 1}") for i in range(12)]), bench).collect()
+    assert sorted((r.doc_id, r.n_hit, r["items"]) for r in rows) == [(i, 3, [str(i)]) for i in range(12)]
+
+
 def test_removal_and_empty_tables(spark, make_docs):
     bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     docs = make_docs([(1, "zero one two three"), (2, "one two"), (3, None)], contaminated="c", n_words="n")
