@@ -4,6 +4,7 @@ import random
 import re
 import tracemalloc
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -166,10 +167,28 @@ def test_trust_and_distrust_spread(spark):
     got = {r.page_id: r.verdict for r in hosts.judged(pages(spark, rows), RULES).collect()}
     # mixed.org links to a distrusted host, but a trusted one links to it.
     assert got == {1: "block", 2: "block", 3: "block", 10: "allow", 11: "allow", 20: "allow", 30: "allow"}
-    seeds = spark.createDataFrame([("a", 1.0)], "host string, score double")
-    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 0.5), ("b", "a", 0.5)], "a string, b string, weight double")
-    score = {"a": 1.0}
-    for _ in range(5):
-        score = {h: (h == "a") + 0.85 * sum(score.get(a, 0) * w for a, b, w in [("a", "b", 1), ("b", "c", 0.5), ("b", "a", 0.5)] if b == h) for h in "abc"}
-    spread = {r.host: r.score for r in hosts.spread(seeds, edges, rounds=5).collect()}
-    assert all(abs(spread[h] - score[h]) < 1e-9 for h in "abc")
+
+
+def test_walks_go_on_until_nothing_can_change(spark):
+    rng = np.random.default_rng(4)
+    n = 40
+    weights = rng.random((n, n)) * (rng.random((n, n)) < 0.1) * (1 - np.eye(n))
+    weights /= np.maximum(weights.sum(axis=1, keepdims=True), 1e-9)  # some hosts have no edge
+    start = {"trust": rng.random(n) * (rng.random(n) < 0.3), "distrust": rng.random(n) * (rng.random(n) < 0.3)}
+    seeds = spark.createDataFrame([(k, f"h{i}", float(x)) for k, of in start.items() for i, x in enumerate(of) if x], "kind string, host string, score double")
+    edges = spark.createDataFrame(
+        [(k, f"h{i}", f"h{j}", float(weights[i, j])) for k in start for i in range(n) for j in range(n) if weights[i, j]],
+        "kind string, a string, b string, weight double",
+    )
+    exact = {k: np.linalg.solve(np.eye(n) - 0.85 * weights.T, x) for k, x in start.items()}
+    full = hosts.spread(seeds, edges, lambda state, left: max(left.values()) <= 1e-6).collect()
+    assert all(abs(r.score - exact[r.kind][int(r.host[1:])]) < 1e-6 for r in full)
+    early = hosts.spread(seeds, edges, hosts.settled).collect()
+    of = lambda rows, kind: np.array([sum(r.score for r in rows if (r.kind, r.host) == (kind, f"h{i}")) for i in range(n)])
+    bad = lambda distrust, trust: ((distrust >= 0.5) & (distrust > trust)).tolist()
+    assert bad(of(early, "distrust"), of(early, "trust")) == bad(exact["distrust"], exact["trust"])
+    # A walk in a circle without end: ten rounds leave a fifth of its weight, and would not reach the threshold.
+    ring = spark.createDataFrame([("distrust", f"r{i}", f"r{(i + 1) % 12}", 1.0) for i in range(12)], "kind string, a string, b string, weight double")
+    one = spark.createDataFrame([("distrust", "r0", 0.45)], "kind string, host string, score double")
+    found = {r.host: r.score for r in hosts.spread(one, ring, hosts.settled).collect()}
+    assert found["r0"] >= 0.5 and found["r1"] < 0.5
