@@ -49,8 +49,13 @@ def op2_forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
-    counted = prefixes.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+    counted = prefixes.unit_prefixes(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    stored = materialised(counted.drop("text"), "unit-tokens")
+    whole = F.element_at("unit_tokens", -1).cast("long")
+    return stored.select(
+        "doc_id", "n_bytes", whole.alias("n_tokens"), (whole > TOKEN_LIMIT).alias("over_limit"),
+        prefixes.units_within(TOKEN_LIMIT).alias("units_within"),
+    )
 
 
 def grades(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -49,6 +50,30 @@ def test_counts_are_the_librarys(own_counter, text):
     assert counter.count(text) == len(library.encode(text, add_special_tokens=False).ids)
 
 
+@given(texts)
+@settings(max_examples=200, deadline=None)
+def test_every_unit(own_counter, text):
+    counter, library = own_counter
+    running, ends, at = np.cumsum(counter.unit_counts(text)), [], 0
+    for i, part in enumerate(counter.cut.split(text)):
+        ends += [at + len(part)] if i % 2 else [at + m.end() for m in regex.finditer(r"[^\s\x1c-\x1f]+", part)]
+        at += len(part)
+    odd = prefixes.ODD_SPACE.search(text)
+    assert odd or running.tolist() == [len(library.encode(text[:e], add_special_tokens=False).ids) for e in ends]
+    assert (running[-1] if len(running) else 0) == len(library.encode(text, add_special_tokens=False).ids)
+
+
+def test_long_strings_are_not_kept():
+    codec, library, counter = bpe.Codec(BYTES), Tokenizer.from_file(BYTES), prefixes.PrefixCounter(WORDS)
+    rng = random.Random(8)
+    for _ in range(3):
+        text = " ".join("".join(rng.choice("abcdefgh") for _ in range(3000)) for _ in range(4)) + " some words"
+        for _ in range(2):
+            assert np.frombuffer(codec.encode_many([text])[0], dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+            counter.count(text)
+    assert sum(map(len, [*codec.units, *codec.words, *counter.units, *counter.totals])) < 200
+
+
 @given(texts)
 @settings(max_examples=60, deadline=None)
 def test_every_prefix(own_counter, text):
@@ -69,10 +94,12 @@ def test_operators_on_odd_rows(make_docs):
     library = Tokenizer.from_file(WORDS)
     assert all(r.n_tokens == len(library.encode(r.text or "", add_special_tokens=False).ids) for r in counted)
     assert all(r.n_bytes == len((r.text or "").encode()) for r in counted)
+    units = prefixes.unit_prefixes(docs.where("doc_id is not null"), WORDS).select("doc_id", "unit_tokens", prefixes.units_within(2).alias("n"))
+    assert sorted(map(tuple, units.distinct().collect())) == [(1, [0], 0), (2, [0], 0), (3, [0, 1, 2], 2), (5, [0, 1, 2, 3, 4], 2)]
     stored = prefixes.prefix_counts(docs.where("doc_id is not null"), WORDS)
     asked = stored.select("doc_id", prefixes.tokens_within(7).alias("n"), prefixes.longest_within(2).alias("c")).distinct().collect()
     assert sorted(map(tuple, asked)) == [(1, 0, 0), (2, 0, 0), (3, 2, 11), (5, 2, 8)]
-    for operator in (bpe.encode, prefixes.token_counts, prefixes.prefix_counts):
+    for operator in (bpe.encode, prefixes.token_counts, prefixes.unit_prefixes, prefixes.prefix_counts):
         assert operator(make_docs([]), WORDS if operator is not bpe.encode else BYTES).collect() == []
 
 
