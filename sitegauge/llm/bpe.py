@@ -26,6 +26,7 @@ LOOSE = regex.compile(r" (?:\s|$)")
 NEVER = np.int64(1) << 62
 WIDE = 64
 CACHED = 150_000
+LONGEST_CACHED = 64
 
 
 def byte_characters() -> list[str]:
@@ -231,6 +232,8 @@ class Codec:
         self.units.update(zip(single, map(get, single), strict=True))
         for u, ws in cut.items():
             self.units[u] = b"".join(map(get, ws)) if len(ws) > 1 else get(ws[0])
+        for w in [w for w in fresh if len(w) > LONGEST_CACHED]:
+            del self.words[w]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
@@ -250,7 +253,10 @@ class Codec:
         if fresh:
             self._learn(fresh)
         get = self.units.__getitem__
-        return [b"".join(special[p] if isinstance(p, str) else b"".join(map(get, p)) for p in parts) for parts in split]
+        ids = [b"".join(special[p] if isinstance(p, str) else b"".join(map(get, p)) for p in parts) for parts in split]
+        for u in [u for u in fresh if len(u) > LONGEST_CACHED]:  # the caches are bounded in bytes too
+            del self.units[u]
+        return ids
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.strings.__getitem__, ids.tolist())).decode("utf-8", "replace")

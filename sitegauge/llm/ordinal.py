@@ -26,6 +26,7 @@ ROUNDS = 80
 SHAPES = bytes(97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
 EDGES = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 CACHED = 300_000
+LONGEST_CACHED = 64
 
 
 def word_features(word: bytes) -> tuple[int, ...]:
@@ -235,7 +236,9 @@ def score(docs: DataFrame, model: Ordinal | None, text_col: str = "text") -> Dat
                 for w in words:
                     own = known.get(w)
                     if own is None:
-                        own = known[w] = tuple(f for f in word_features(w) if f in of)
+                        own = tuple(f for f in word_features(w) if f in of)
+                        if len(w) <= LONGEST_CACHED:
+                            known[w] = own
                     found.update(own)
                 scores.append(sum(of[f] for f in sorted(found)))
             tails = Ordinal({}, thresholds).tails(np.array(scores, dtype=np.float64))
