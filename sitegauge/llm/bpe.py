@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sitegauge.llm.common import extended, without_collector, worker_cache
 
@@ -321,3 +322,33 @@ def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "token_ids", to: s
                 at += len(some)
 
     return encoded.mapInArrow(run, extended(encoded, f"{to} string"))
+
+
+def round_trip(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
+    """The rows and columns of ``docs`` without the text, with ``token_ids``, ``n_tokens`` and the text ``decoded`` from the ids.
+
+    The same as ``encode`` and then ``decode``, in one pass through one worker a task. Null counts as empty. Columns of these
+    names in ``docs`` are replaced.
+    """
+    docs = docs.drop("token_ids", "n_tokens", "decoded")
+    others = [c for c in docs.columns if c != text_col]
+
+    def run(batches):
+        own = codec(tokenizer)
+        for batch in batches:
+            kept = batch.select(others)
+            for at, texts in text_batches(batch, text_col):
+                ids = own.encode_many(texts)
+                back = [own.decode(np.frombuffer(i, dtype="<u4")) for i in ids]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *kept.slice(at, len(texts)).columns,
+                        pa.array(ids, pa.binary()),
+                        pa.array([len(i) // 4 for i in ids], pa.int64()),
+                        pa.array(back, pa.string()),
+                    ],
+                    names=[*others, "token_ids", "n_tokens", "decoded"],
+                )
+
+    kept = docs.select(*[F.col(f"`{c}`") for c in others])
+    return docs.mapInArrow(without_collector(run), extended(kept, "token_ids binary, n_tokens long, decoded string"))

@@ -80,8 +80,7 @@ def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    both = bpe.decode(encoded.drop("text"), path)
+    both = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
     return both.select(
         "doc_id",
         "n_tokens",

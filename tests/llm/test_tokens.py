@@ -90,6 +90,10 @@ def test_operators_on_odd_rows(make_docs):
     rows = bpe.decode(bpe.encode(docs, BYTES), BYTES).collect()
     assert sorted((r.doc_id or -1, r.decoded) for r in rows) == sorted((i or -1, t or "") for i, t in pairs)
     assert {r.n_tokens for r in rows if not r.text} == {0}
+    both = bpe.round_trip(docs, BYTES)
+    assert set(both.columns) == {*docs.columns, "token_ids", "n_tokens", "decoded"} - {"text"}
+    shown = lambda some: sorted((r.doc_id or -1, bytes(r.token_ids), r.n_tokens, r.decoded) for r in some)
+    assert shown(both.collect()) == shown(rows)
     counted = prefixes.token_counts(docs, WORDS).collect()
     library = Tokenizer.from_file(WORDS)
     assert all(r.n_tokens == len(library.encode(r.text or "", add_special_tokens=False).ids) for r in counted)
@@ -99,8 +103,8 @@ def test_operators_on_odd_rows(make_docs):
     stored = prefixes.prefix_counts(docs.where("doc_id is not null"), WORDS)
     asked = stored.select("doc_id", prefixes.tokens_within(7).alias("n"), prefixes.longest_within(2).alias("c")).distinct().collect()
     assert sorted(map(tuple, asked)) == [(1, 0, 0), (2, 0, 0), (3, 2, 11), (5, 2, 8)]
-    for operator in (bpe.encode, prefixes.token_counts, prefixes.unit_prefixes, prefixes.prefix_counts):
-        assert operator(make_docs([]), WORDS if operator is not bpe.encode else BYTES).collect() == []
+    for operator in (bpe.encode, bpe.round_trip, prefixes.token_counts, prefixes.unit_prefixes, prefixes.prefix_counts):
+        assert operator(make_docs([]), BYTES if operator in (bpe.encode, bpe.round_trip) else WORDS).collect() == []
 
 
 @given(st.lists(st.integers(0, 40), max_size=40), st.integers(1, 16))
