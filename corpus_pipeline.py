@@ -39,7 +39,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path).drop("text"), path)
+    both = bpe.round_trip(docs.select("doc_id", "text"), path)
     return both.select(
         "doc_id",
         "n_tokens",
