@@ -1,52 +1,33 @@
 """Exact nearest neighbours and neighbour ranks without forming all pairs.
 
-Points are assigned to the nearest of a set of pivots. From each cell's radius follow, by the
-triangle inequality, the cells that can hold a neighbour; only those are visited. Cells are cut
-into blocks of bounded size, and the queries visiting a block are cut likewise, so no task holds
-an unbounded group. Copies of one vector are reduced before they become candidates. Pruning is
-strong in the low-dimensional maps these metrics are meant for; for many dimensions it fades and
-the work approaches one distance per pair, still exact and still in bounded tasks.
+Queries and points are dealt into parts by hash, and each part of the one meets each part of the other in one task
+(``pairs``). There both are cut into leaves, boxes of few rows that lie close together, and a leaf of queries visits the
+leaves of points that can matter by the distance of the boxes. Copies of one vector are reduced before they become
+candidates. Pruning is strong in the low-dimensional maps these metrics are meant for; for many dimensions it fades and the
+work approaches one distance per pair, still exact and in bounded tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..session import cut_lineage
+from . import pairs as P
 from .ranking import first_k
 
 BLOCK_POINTS = 2_000
-PIVOT_BYTES = 64 << 20
-_CELL_BUDGET = 4 << 20
+# Rows of a leaf: of queries and of points in few dimensions, of points in many, where boxes prune little.
+_LEAF, _LONG_LEAF, _FEW = 256, 1_024, 8
 _SLACK = 1e-7
+_ROUND = 1e-6
 
 
-@dataclass(frozen=True)
-class Cells:
-    """Driver-side summary, its size bounded by ``PIVOT_BYTES``, and the points cut into blocks."""
-
-    pivots: np.ndarray
-    radius: np.ndarray
-    counts: np.ndarray  # weight per cell and group
-    first_block: np.ndarray  # blocks of cell c are first_block[c] .. first_block[c + 1] - 1
-    points: DataFrame  # block, id, vec, grp, weight
-
-
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.array(column.tolist(), dtype=np.float64)
-
-
-def _squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Squared distances by one matrix product, and a bound on their rounding error."""
-    aa, bb = (a * a).sum(axis=1)[:, None], (b * b).sum(axis=1)[None, :]
-    return np.maximum(aa + bb - 2.0 * (a @ b.T), 0.0), 1e-12 * (aa + bb)
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
 
 
 def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -54,105 +35,68 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(((a - b) ** 2).sum(axis=1))
 
 
-def _to_pivots(a: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Distances to the pivots, accurate to ``_SLACK``."""
-    squares, _ = _squares(a, pivots)
-    return np.sqrt(squares)
-
-
-def _pieces(n: int, width: int) -> Iterator[slice]:
-    step = max(1, _CELL_BUDGET // max(1, width))
-    for i in range(0, n, step):
-        yield slice(i, i + step)
-
-
-def build_cells(points: DataFrame, n_groups: int = 1, block_points: int = BLOCK_POINTS) -> Cells:
-    """``points``: id, vec, grp, weight. They are written once, as several passes follow."""
-    spark = points.sparkSession
-    points = cut_lineage(points.select("id", "vec", "grp", "weight"), "points")
+def _places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns that are set; for few of them much faster than ``nonzero`` of two dimensions."""
+    return np.divmod(np.flatnonzero(mask), mask.shape[1])
+
+
+def _leaves(x: np.ndarray, size: int) -> list[np.ndarray]:
+    """The rows in leaves of at most ``size``, halved along the widest side."""
+    out, todo = [], [np.arange(len(x))]
+    while todo:
+        at = todo.pop()
+        if len(at) <= size:
+            out.append(at)
+            continue
+        own = x[at]
+        half = len(at) // 2
+        order = np.argpartition(own[:, np.ptp(own, axis=0).argmax()], half)
+        todo += [at[order[half:]], at[order[:half]]]
+    return out
+
+
+class _Points:
+    """The points of a part, leaf by leaf."""
+
+    def __init__(self, vec: np.ndarray, size: int):
+        leaves = _leaves(vec, size)
+        self.order = np.concatenate(leaves)
+        self.vec = vec[self.order]
+        self.ends = np.cumsum([len(leaf) for leaf in leaves])
+        self.starts = self.ends - [len(leaf) for leaf in leaves]
+        self.low = np.minimum.reduceat(self.vec, self.starts, axis=0)
+        self.high = np.maximum.reduceat(self.vec, self.starts, axis=0)
+
+    def reach(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each leaf the least and the largest squared distance that one of its points can have to one of ``x``."""
+        low, high = x.min(axis=0), x.max(axis=0)
+        least = np.maximum(np.maximum(self.low - high, low - self.high), 0.0)
+        most = np.maximum(self.high - low, high - self.low)
+        return (least * least).sum(axis=1), (most * most).sum(axis=1)
+
+    def rough(self, x: np.ndarray):
+        """A function that gives a slice's squared distances to ``x`` in single precision, where that has the range, and what
+        they may be off by."""
+        middle = x.mean(axis=0)
+        extent = max(np.abs(self.low - middle).max(), np.abs(self.high - middle).max(), np.abs(x - middle).max())
+        kind = "float32" if extent < 1e15 else "float64"
+        here = (x - middle).astype(kind)
+        longest, share = (here * here).sum(axis=1).max(), (x.shape[1] + 8) * 2.0**-23
+
+        def distances(part: slice) -> tuple[np.ndarray, float]:
+            there = (self.vec[part] - middle).astype(kind)
+            return P.squares(here, there), float(share * (longest + (there * there).sum(axis=1).max()) + 1e-30)
+
+        return distances
+
+
+def _points(points: DataFrame, name: str) -> tuple[DataFrame, int, int]:
+    """The points as a written table, as several passes follow, with their number and the length of a vector."""
+    points = cut_lineage(points, name)
     head = points.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
     if not head["n"]:
         raise ValueError("no points")
-    most = max(1, PIVOT_BYTES // (8 * head["d"]))
-    wanted = min(-(-head["n"] // block_points), most)
-    chosen = points.select("vec", F.xxhash64("id").alias("h")).orderBy("h").limit(wanted).toPandas()
-    pivots = _matrix(chosen["vec"])
-    shared = spark.sparkContext.broadcast(pivots)
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            vec = _matrix(b["vec"])
-            cell, reach = np.empty(len(b), "int64"), np.empty(len(b))
-            for part in _pieces(len(b), len(shared.value)):
-                d = _to_pivots(vec[part], shared.value)
-                cell[part] = d.argmin(axis=1)
-                reach[part] = d.min(axis=1)
-            yield b.assign(cell=cell, reach=reach)
-
-    schema = "id long, vec array<double>, grp int, weight long, cell long, reach double"
-    placed = points.mapInPandas(assign, schema)
-    stats = placed.groupBy("cell", "grp").agg(
-        F.max("reach").alias("reach"), F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n")
-    ).toPandas()
-    radius = np.full(len(pivots), -np.inf)
-    np.maximum.at(radius, stats["cell"], stats["reach"])
-    counts = np.zeros((len(pivots), n_groups))
-    counts[stats["cell"], stats["grp"]] = stats["weight"]
-    rows = np.zeros(len(pivots))
-    np.add.at(rows, stats["cell"], stats["n"])
-    first = np.concatenate([[0], np.cumsum(np.ceil(rows / block_points))]).astype("int64")
-    cuts = spark.createDataFrame(
-        pd.DataFrame({"cell": np.arange(len(pivots)), "at": first[:-1], "blocks": np.maximum(np.diff(first), 1)})
-    )
-    # One row per pivot: bounded by PIVOT_BYTES.
-    blocked = placed.join(F.broadcast(cuts), "cell").select(
-        (F.col("at") + F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("block"), "id", "vec", "grp", "weight"
-    )
-    return Cells(pivots, radius, counts, first, blocked)
-
-
-def _blocks_of(row: np.ndarray, cell: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All blocks of the visited cells, with the visiting row."""
-    times = first[cell + 1] - first[cell]
-    start = np.repeat(np.cumsum(times) - times, times)
-    return np.repeat(row, times), np.repeat(first[cell], times) + (np.arange(times.sum()) - start)
-
-
-def _packs(row: np.ndarray, block: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
-    """One row per block and at most ``BLOCK_POINTS`` queries, arrays as bytes."""
-    order = np.argsort(block, kind="stable")
-    row, block = row[order], block[order]
-    edges = np.flatnonzero(np.diff(block)) + 1
-    for lo, hi in zip(np.concatenate([[0], edges]), np.concatenate([edges, [len(block)]])):
-        for i in range(lo, hi, BLOCK_POINTS):
-            j = min(i + BLOCK_POINTS, hi)
-            packed = {name: [values[row[i:j]].tobytes()] for name, values in columns.items()}
-            yield pd.DataFrame({"block": [block[i]], "n": [j - i], **packed})
-
-
-def _unpack(packs: pd.Series, dtype: str) -> np.ndarray:
-    return np.frombuffer(b"".join(packs), dtype=dtype)
-
-
-def _block_visits(packs: DataFrame, cells: Cells, visit, out_schema: str) -> DataFrame:
-    """Run ``visit`` on the query packs of every block and the block's points.
-
-    Blocks visited by many queries are repeated for parts of them, so both sides stay bounded.
-    """
-    parts = packs.groupBy("block").agg(F.ceil(F.sum("n") / (8 * BLOCK_POINTS)).alias("parts"))
-    asked = packs.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("qid"), F.col("parts")))
-    copies = parts.select(F.col("block").alias("at"), F.col("parts").alias("copies"))
-    held = cells.points.join(copies, F.col("block") == F.col("at")).select(
-        "id",
-        "vec",
-        "grp",
-        "weight",
-        "at",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"),
-    )
-    return asked.groupBy("block", "part").cogroup(held.groupBy("at", "copy")).applyInPandas(visit, out_schema)
+    return points, head["n"], head["d"]
 
 
 def nearest(
@@ -163,137 +107,129 @@ def nearest(
     Both inputs have ``id, vec, grp``. With several groups (folds) a query ignores the points
     of its own group; with one group it ignores only itself.
     """
-    spark = points.sparkSession
     vec = A.doubles(F.col("vec"))
     # A list needs at most k points of one vector and group, plus the query itself.
-    some = first_k(points.select("id", vec.alias("vec"), "grp"), ["vec", "grp"], ["id"], k + 1)
-    weighted = some.select("id", "vec", "grp", F.lit(1).cast("long").alias("weight"))
-    cells = build_cells(weighted, n_groups, block_points)
-    shared = spark.sparkContext.broadcast((cells.pivots, cells.radius, cells.counts, cells.first_block))
-    folds = n_groups > 1
-
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pivots, radius, counts, first = shared.value
-        for b in batches:
-            vec, grp = _matrix(b["vec"]), b["grp"].to_numpy()
-            ids = b["id"].to_numpy(dtype="int64")
-            rows, blocks = [], []
-            for part in _pieces(len(b), len(pivots)):
-                d = _to_pivots(vec[part], pivots)
-                reach = d + radius
-                order = np.argsort(reach, axis=1)
-                near = counts.sum(axis=1)[None, :] - (counts[:, grp[part]].T if folds else np.zeros((len(d), 1)))
-                enough = np.take_along_axis(near, order, 1).cumsum(axis=1) >= (k if folds else k + 1)
-                at = np.take_along_axis(order, enough.argmax(axis=1)[:, None], 1)
-                limit = np.where(enough.any(axis=1), np.take_along_axis(reach, at, 1)[:, 0], np.inf)
-                row, cell = np.nonzero(d - radius <= limit[:, None] * (1 + _SLACK) + _SLACK)
-                row, block = _blocks_of(row + part.start, cell, first)
-                rows.append(row)
-                blocks.append(block)
-            if rows:
-                columns = {"qid": ids, "qvec": vec, "qgrp": grp.astype("int32")}
-                yield from _packs(np.concatenate(rows), np.concatenate(blocks), columns)
-
-    def visit(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        found = {"id": [], "neighbour": [], "distance": []}
-        if len(asked) and len(held):
-            ids, there = held["id"].to_numpy(), _matrix(held["vec"])
-            grp = held["grp"].to_numpy()
-            qid, qgrp = _unpack(asked["qid"], "int64"), _unpack(asked["qgrp"], "int32")
-            here = _unpack(asked["qvec"], "float64").reshape(len(qid), -1)
-            for part in _pieces(len(qid), len(ids)):
-                d, error = _squares(here[part], there)
-                own = (qgrp[part, None] == grp[None, :]) if folds else (qid[part, None] == ids[None, :])
-                d[own] = np.inf
-                # Everything that can be among the k nearest despite rounding, then exactly.
-                kth = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if d.shape[1] > k else np.full((len(d), 1), np.inf)
-                row, col = np.nonzero((d <= kth + 4 * error.max()) & np.isfinite(d))
-                dist = _exact(here[part][row], there[col])
-                order = np.lexsort((ids[col], dist, row))
-                row, col, dist = row[order], col[order], dist[order]
-                start = np.searchsorted(row, row, side="left")
-                best = np.arange(len(row)) - start < k
-                found["id"].append(qid[part][row[best]])
-                found["neighbour"].append(ids[col[best]])
-                found["distance"].append(dist[best])
-        return pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in found.items()})
-
+    some = first_k(points.select("id", vec.alias("vec"), F.col("grp").cast("int").alias("grp")), ["vec", "grp"], ["id"], k + 1)
+    held, n, size = _points(some.select("id", "vec", "grp"), "points")
     asked = queries.select("id", vec.alias("vec"), F.col("grp").cast("int").alias("grp"))
-    packs = asked.mapInPandas(probe, "block long, n long, qid binary, qvec binary, qgrp binary")
-    found = _block_visits(packs, cells, visit, "id long, neighbour long, distance double")
+    folds, leaf = n_groups > 1, min(block_points, _LEAF)
+    long_leaf = leaf if size <= _FEW else min(block_points, _LONG_LEAF)
+
+    def best(ids: np.ndarray, x: np.ndarray, grp: np.ndarray, there: _Points, other: np.ndarray, their: np.ndarray):
+        """For a leaf of queries: row, neighbour and distance of the nearest."""
+        least, _ = there.reach(x)
+        rough = there.rough(x)
+        kth = np.full(len(x), np.inf)
+        rows, cols, dist = np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0)
+        for at in np.argsort(least):
+            if least[at] > (kth * kth).max() * (1 + _SLACK):
+                break
+            part = slice(there.starts[at], there.ends[at])
+            d, error = rough(part)
+            most = kth * kth
+            if np.isinf(most).any() and d.shape[1] > k:
+                same = (grp[:, None] == their[None, part]) if folds else (ids[:, None] == other[None, part])
+                most = np.minimum(most, np.partition(np.where(same, np.inf, d), k - 1, axis=1)[:, k - 1] + 2 * error)
+            row, col = _places(d <= (most * (1 + _ROUND) + error).astype(d.dtype)[:, None])
+            col += part.start
+            apart = (grp[row] != their[col]) if folds else (ids[row] != other[col])
+            row, col = row[apart], col[apart]
+            if not len(row):
+                continue
+            rows, cols = np.concatenate([rows, row]), np.concatenate([cols, col])
+            dist = np.concatenate([dist, _exact(x[row], there.vec[col])])
+            order = np.lexsort((other[cols], dist, rows))
+            kept = order[np.arange(len(rows)) - np.searchsorted(rows[order], rows[order], side="left") < k]
+            rows, cols, dist = rows[kept], cols[kept], dist[kept]
+            first = np.searchsorted(rows, np.arange(len(x) + 1))
+            full = np.flatnonzero(np.diff(first) == k)
+            kth[full] = dist[first[full] + k - 1]
+        return ids[rows], other[cols], dist
+
+    def visit(asked: pa.Table, held: pa.Table) -> pa.Table:
+        found = [(np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0))]
+        if asked.num_rows and held.num_rows:
+            there = _Points(P.unpacked(held, "vec", "float64").reshape(-1, size), long_leaf)
+            other, their = P.unpacked(held, "id", "int64")[there.order], P.unpacked(held, "grp", "int32")[there.order]
+            ids, grp = P.unpacked(asked, "id", "int64"), P.unpacked(asked, "grp", "int32")
+            x = P.unpacked(asked, "vec", "float64").reshape(-1, size)
+            found += [best(ids[at], x[at], grp[at], there, other, their) for at in _leaves(x, leaf)]
+        return pa.table({name: np.concatenate(v) for name, v in zip(("id", "neighbour", "distance"), zip(*found))})
+
+    many = P.parts_for(asked.count(), size, block_points)
+    found = P.meet(asked, many, held, P.parts_for(n, size), visit, "id long, neighbour long, distance double")
     return first_k(found, ["id"], ["distance", "neighbour"], k, out="rank", salts=1)
 
 
 def neighbour_ranks(pairs: DataFrame, points: DataFrame, block_points: int = BLOCK_POINTS) -> DataFrame:
     """``id, neighbour, rank``: 1 + number of points strictly closer to ``id`` than ``neighbour``.
 
-    ``pairs``: id, vec, neighbour, neighbour_vec. Cells wholly closer are counted from their
-    totals, cells wholly farther are skipped; only the others are visited.
+    ``pairs``: id, vec, neighbour, neighbour_vec. The pairs of one ``id`` are looked up together. Leaves wholly closer are
+    counted from their totals, leaves wholly farther are skipped; only the others are visited.
     """
-    spark = points.sparkSession
-    vec = A.doubles(F.col("vec"))
-    distinct = points.groupBy(vec.alias("vec")).agg(F.count(F.lit(1)).alias("weight"), F.min("id").alias("id"))
-    cells = build_cells(distinct.select("id", "vec", F.lit(0).alias("grp"), "weight"), 1, block_points)
-    shared = spark.sparkContext.broadcast((cells.pivots, cells.radius, cells.counts[:, 0], cells.first_block))
-    # A block that stands for no block: it carries the counts known without a visit.
-    nowhere = -1
-
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pivots, radius, counts, first = shared.value
-        for b in batches:
-            if not len(b):
-                continue
-            here, there = _matrix(b["vec"]), _matrix(b["neighbour_vec"])
-            far = _exact(here, there)
-            known = np.zeros(len(b), "int64")
-            rows, blocks = [np.arange(len(b))], [np.full(len(b), nowhere)]
-            for part in _pieces(len(b), len(pivots)):
-                d, limit = _to_pivots(here[part], pivots), far[part, None]
-                pad = _SLACK * (1 + limit)
-                inside = (d + radius < limit - pad) & np.isfinite(radius)
-                known[part] = (inside * counts[None, :]).sum(axis=1)
-                row, cell = np.nonzero(~inside & (d - radius <= limit + pad))
-                row, block = _blocks_of(row + part.start, cell, first)
-                rows.append(row)
-                blocks.append(block)
-            columns = {
-                "qid": b["id"].to_numpy(dtype="int64"),
-                "other": b["neighbour"].to_numpy(dtype="int64"),
-                "qvec": here,
-                "far": far,
-                "known": known,
-            }
-            yield from _packs(np.concatenate(rows), np.concatenate(blocks), columns)
-
-    def visit(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked):
-            return pd.DataFrame({"id": [], "neighbour": [], "closer": []})
-        qid, other = _unpack(asked["qid"], "int64"), _unpack(asked["other"], "int64")
-        if asked["block"].iloc[0] == nowhere:
-            closer = _unpack(asked["known"], "int64")
-        else:
-            closer = np.zeros(len(qid), "int64")
-        if len(held):
-            here = _unpack(asked["qvec"], "float64").reshape(len(qid), -1)
-            far, there, weight = _unpack(asked["far"], "float64"), _matrix(held["vec"]), held["weight"].to_numpy()
-            for part in _pieces(len(qid), len(there)):
-                d, error = _squares(here[part], there)
-                limit = far[part, None] ** 2
-                margin = 4 * error + 1e-12 * limit
-                closer[part] = ((d < limit - margin) * weight[None, :]).sum(axis=1)
-                # Too close to call from the matrix product: decide exactly.
-                row, col = np.nonzero(np.abs(d - limit) <= margin)
-                sure = _exact(here[part][row], there[col]) < far[part][row]
-                np.add.at(closer, part.start + row[sure], weight[col[sure]])
-        return pd.DataFrame({"id": qid, "neighbour": other, "closer": closer})
-
-    asked = pairs.select("id", vec.alias("vec"), "neighbour", A.doubles(F.col("neighbour_vec")).alias("neighbour_vec"))
-    packs = asked.mapInPandas(
-        probe, "block long, n long, qid binary, other binary, qvec binary, far binary, known binary"
+    vec, neighbour_vec = A.doubles(F.col("vec")), A.doubles(F.col("neighbour_vec"))
+    distinct = points.groupBy(vec.alias("vec")).agg(F.count(F.lit(1)).alias("weight"))
+    held, n, size = _points(distinct, "points")
+    leaf = min(block_points, _LEAF)
+    long_leaf = leaf if size <= _FEW else min(block_points, _LONG_LEAF)
+
+    def distances(batches):
+        for batch in batches:
+            far = _exact(_matrix(batch["vec"]), _matrix(batch["neighbour_vec"])) if batch.num_rows else np.empty(0)
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["vec"], batch["neighbour"], pa.array(far)], names=["id", "vec", "neighbour", "far"])
+
+    apart = pairs.select("id", vec.alias("vec"), "neighbour", neighbour_vec.alias("neighbour_vec")).mapInArrow(
+        distances, "id long, vec array<double>, neighbour long, far double"
     )
-    counted = _block_visits(packs, cells, visit, "id long, neighbour long, closer long")
+    listed = apart.groupBy("id", "vec").agg(F.sort_array(F.collect_list(F.struct("neighbour", "far"))).alias("p"))
+    asked = cut_lineage(listed.select("id", "vec", F.col("p.neighbour").alias("neighbour"), F.col("p.far").alias("far")), "asked")
+
+    def weights_within(x: np.ndarray, far: np.ndarray, there: _Points, weight: np.ndarray, totals: np.ndarray, alone: bool) -> np.ndarray:
+        """For a leaf of queries the weight of points closer than each of their distances; a distance below 0 is none."""
+        none, limit = far < 0, far * far
+        least, most = there.reach(x)
+        rough = there.rough(x)
+        inside = most * (1 + _SLACK) < np.where(none, np.inf, limit).min()
+        found = np.full(far.shape, totals[inside].sum())
+        for at in np.flatnonzero(~inside & (least <= np.where(none, 0.0, limit).max() * (1 + _SLACK))):
+            part = slice(there.starts[at], there.ends[at])
+            d, error = rough(part)
+            below = np.where(none, -np.inf, limit * (1 - _ROUND) - error).astype(d.dtype)
+            above = np.where(none, -np.inf, limit * (1 + _ROUND) + error).astype(d.dtype)
+            for j in range(far.shape[1]):
+                under, up_to = d < below[:, j, None], d <= above[:, j, None]
+                sure = np.count_nonzero(under, axis=1)
+                found[:, j] += sure if alone else under @ weight[part]
+                # Too close to call from rough distances: decide exactly.
+                unsure = np.flatnonzero(np.count_nonzero(up_to, axis=1) > sure)
+                if len(unsure):
+                    row, col = _places(up_to[unsure] & ~under[unsure])
+                    row, col = unsure[row], part.start + col
+                    closer = _exact(x[row], there.vec[col]) < far[row, j]
+                    np.add.at(found[:, j], row[closer], weight[col[closer]])
+        return found
+
+    def visit(asked: pa.Table, held: pa.Table) -> pa.Table:
+        found = [(np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0, "int64"))]
+        if asked.num_rows and held.num_rows:
+            there = _Points(P.unpacked(held, "vec", "float64").reshape(-1, size), long_leaf)
+            weight = P.unpacked(held, "weight", "int64")[there.order].astype("float64")
+            totals, alone = np.add.reduceat(weight, there.starts), bool((weight == 1).all())
+            ids, x = P.unpacked(asked, "id", "int64"), P.unpacked(asked, "vec", "float64").reshape(-1, size)
+            times = P.unpacked(asked, "far_n", "int32")
+            taken = np.arange(times.max()) < times[:, None]
+            far, other = np.full(taken.shape, -1.0), np.zeros(taken.shape, "int64")
+            far[taken], other[taken] = P.unpacked(asked, "far", "float64"), P.unpacked(asked, "neighbour", "int64")
+            for at in _leaves(x, leaf):
+                counts = weights_within(x[at], far[at], there, weight, totals, alone)
+                real = taken[at]
+                found.append((np.repeat(ids[at], times[at]), other[at][real], counts[real].astype("int64")))
+        return pa.table({name: np.concatenate(v) for name, v in zip(("id", "neighbour", "closer"), zip(*found))})
+
+    many = P.parts_for(asked.count(), size, block_points)
+    counted = P.meet(asked, many, held, P.parts_for(n, size), visit, "id long, neighbour long, closer long")
     total = counted.groupBy("id", "neighbour").agg(F.sum("closer").alias("closer"))
-    apart = A.squared_distance(vec, A.doubles(F.col("neighbour_vec"))) > 0
+    apart = A.squared_distance(vec, neighbour_vec) > 0
     own = pairs.select("id", "neighbour", apart.cast("int").alias("own"))
     # The point itself is closer than any neighbour at a positive distance.
     return total.join(own, ["id", "neighbour"]).select(
