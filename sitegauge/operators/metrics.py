@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..session import cut_lineage
-from .ranking import null_safe_join, row_positions
+from . import pairs
+from .ranking import null_safe_join
 from .vectors import mean_vector
 
 
@@ -278,81 +279,51 @@ def rounded_array(values: Column, digits: int) -> Column:
 EUCLIDEAN_BLOCK = 2_048
 
 
-def vector_blocks(rows: DataFrame, label: str, vector: str, block_rows: int) -> DataFrame:
-    """``block`` (numbered from 0), ``labels`` and ``vectors`` of up to ``block_rows`` rows each, as a written table."""
-    points = rows.select(F.spark_partition_id().alias("task"), F.col(label).cast("string").alias("label"), A.doubles(F.col(vector)).alias("v"))
-
-    def pack(batches):
-        number, labels, vectors, task = 0, [], [], 0
-
-        def block():
-            raw = np.array(vectors, dtype=np.float64).tobytes()
-            columns = [pa.array([task << 32 | number], pa.int64()), pa.array([labels], pa.list_(pa.string())), pa.array([raw], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["at", "labels", "vectors"])
-
-        for batch in batches:
-            task = batch["task"][0].as_py() if batch.num_rows else task
-            for name, v in zip(batch["label"].to_pylist(), batch["v"].to_pylist(), strict=True):
-                labels.append(name)
-                vectors.append(v)
-                if len(labels) == block_rows:
-                    yield block()
-                    number, labels, vectors = number + 1, [], []
-        if labels:
-            yield block()
-
-    packed = cut_lineage(points.filter(F.col("v").isNotNull()).mapInArrow(pack, "at long, labels array<string>, vectors binary"), "vector-blocks")
-    places = row_positions(packed.select("at"), [], ["at"], "block")
-    return cut_lineage(packed.join(places, "at").drop("at"), "vector-blocks")
-
-
 def silhouette_euclidean(rows: DataFrame, label: str, vector: str, block_rows: int = EUCLIDEAN_BLOCK) -> DataFrame:
     """Mean silhouette under plain Euclidean distance, over all rows.
 
     Mean distances have no closed form, so every point meets every other: the work grows with the
-    square of the rows (``silhouette`` is linear). Points are packed into blocks; each pair of
-    blocks meets once, in a group of two rows, and gives for each point its summed distance to each
-    cluster in the other block; those sums are added up. No task holds more than two blocks, and
-    only the list of cluster names, which the label domain bounds, reaches the driver. Rows without
-    a vector are left out, a null label is a cluster of its own.
+    square of the rows (``silhouette`` is linear). Points are dealt into parts that meet each other
+    (``pairs``), where distances are formed for blocks of ``block_rows`` and added up for each point
+    and cluster; only those sums leave the task. Only the list of cluster names, which the label
+    domain bounds, reaches the driver. Rows without a vector are left out, a null label is a cluster
+    of its own.
     """
     name = F.coalesce(F.concat(F.lit("+"), F.col(label).cast("string")), F.lit("-"))
     named = rows.select(name.alias("_name"), vector)
-    blocks = vector_blocks(centred(named.filter(F.col(vector).isNotNull()), vector), "_name", vector, block_rows)
-    sizes = blocks.select(F.explode("labels").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy("name").collect()
-    names, counts = [r["name"] for r in sizes], [r["n"] for r in sizes]
-    many = blocks.count()
-    k = len(names)
-
-    def distances(table):
-        parts = table.sort_by("block").to_pylist()
-        first, second = parts[0], parts[-1]
-        x, y = (np.frombuffer(p["vectors"]).reshape(len(p["labels"]), -1) for p in (first, second))
-        own, other = (np.searchsorted(names, p["labels"]) for p in (first, second))
-        squares = (x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x @ y.T
-        apart = np.sqrt(np.maximum(squares, 0))
-        if first["block"] == second["block"]:
-            np.fill_diagonal(apart, 0.0)
-        sides = [(first["block"], own, apart @ np.eye(k)[other])]
-        if first["block"] != second["block"]:
-            sides.append((second["block"], other, apart.T @ np.eye(k)[own]))
-        return pa.table(
-            {
-                "block": np.concatenate([np.full(len(o), b, dtype=np.int64) for b, o, _ in sides]),
-                "at": np.concatenate([np.arange(len(o), dtype=np.int64) for _, o, _ in sides]),
-                "own": np.concatenate([o.astype(np.int64) for _, o, _ in sides]),
-                "totals": pa.array([t for _, _, totals in sides for t in totals.tolist()], pa.list_(pa.float64())),
-            }
-        )
-
-    # A pair of blocks is named by its numbers, so that it meets by equal keys; a block beside itself comes alone.
-    paired = blocks.withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(max(many - 1, 0)))))
-    paired = paired.withColumns({"lo": F.least("block", "with"), "hi": F.greatest("block", "with")}).drop("with")
-    sums = paired.groupBy("lo", "hi").applyInArrow(distances, "block long, at long, own long, totals array<double>")
-    each = sums.groupBy("block", "at").agg(F.min("own").alias("own"), F.array(*[F.sum(F.get("totals", F.lit(i))) for i in range(k)]).alias("t"))
-    size = F.array(*[F.lit(float(n)) for n in counts])
-    means = F.transform(F.arrays_zip("t", size.alias("n")), lambda z, i: F.when(i != F.col("own"), z["t"] / z["n"]))
-    mine = F.get(size, F.col("own"))
+    there = centred(named.filter(F.col(vector).isNotNull()), vector)
+    points = cut_lineage(there.select("_name", F.monotonically_increasing_id().alias("at"), A.doubles(F.col(vector)).alias("v")), "vectors")
+    sizes = points.groupBy("_name").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).orderBy("_name").collect()
+    names, counts = [r["_name"] for r in sizes], [r["n"] for r in sizes]
+    k, size = len(names), max((r["d"] for r in sizes), default=1)
+
+    def distances(asked, held):
+        totals = [np.empty((0, k))]
+        at, own = pairs.unpacked(asked, "at", "int64"), pairs.unpacked(asked, "own", "int64")
+        if len(at) and held.num_rows:
+            x, y = (pairs.unpacked(t, "v", "float64").reshape(-1, size) for t in (asked, held))
+            cluster = np.eye(k)[pairs.unpacked(held, "own", "int64")]
+            # A point is not apart from itself, whatever the product's rounding.
+            _, here, same = np.intersect1d(at, pairs.unpacked(held, "at", "int64"), return_indices=True)
+            for i in range(0, len(x), block_rows):
+                totals.append(np.zeros((len(x[i : i + block_rows]), k)))
+                for j in range(0, len(y), block_rows):
+                    apart = pairs.squares(x[i : i + block_rows], y[j : j + block_rows])
+                    met = (here >= i) & (here < i + block_rows) & (same >= j) & (same < j + block_rows)
+                    apart[here[met] - i, same[met] - j] = 0.0
+                    totals[-1] += np.sqrt(np.maximum(apart, 0.0, out=apart), out=apart) @ cluster[j : j + block_rows]
+        sums = np.concatenate(totals)
+        return pa.table({"at": at[: len(sums)], "own": own[: len(sums)], "totals": pa.array(sums.tolist(), pa.list_(pa.float64()))})
+
+    placed = points.select("at", (F.array_position(F.lit(names), F.col("_name")) - 1).alias("own"), "v")
+    n = sum(counts)
+    sums = pairs.meet(
+        placed, pairs.parts_for(n, size, block_rows), placed, pairs.parts_for(n, size), distances, "at long, own long, totals array<double>"
+    )
+    each = sums.groupBy("at").agg(F.min("own").alias("own"), F.array(*[F.sum(F.get("totals", F.lit(i))) for i in range(k)]).alias("t"))
+    weights = F.array(*[F.lit(float(c)) for c in counts])
+    means = F.transform(F.arrays_zip("t", weights.alias("n")), lambda z, i: F.when(i != F.col("own"), z["t"] / z["n"]))
+    mine = F.get(weights, F.col("own"))
     both = each.select(mine.alias("size"), F.try_divide(F.get("t", F.col("own")), mine - 1).alias("a"), F.array_min(means).alias("b"))
     s = F.when(F.col("size") <= 1, F.lit(0.0)).otherwise(
         F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
