@@ -141,18 +141,15 @@ def class_distribution(rows: DataFrame, label: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ distributions
-DENSITY_BINS = 64
-
-
 def density_by_class(
-    rows: DataFrame, label: str, value: str, points: int = 200, cut: float = 3.0, bins: int = DENSITY_BINS
+    rows: DataFrame, label: str, value: str, points: int = 200, cut: float = 3.0, bins: int | None = None
 ) -> DataFrame:
     """Gaussian density estimate per class, each normalised alone: ``label, point_no, x, density``.
 
     Bandwidth ``h`` by Scott's rule (sample standard deviation times ``n^(-1/5)``); the grid of a
-    class runs ``cut`` bandwidths beyond its range. Values are first shared linearly between the two
-    nearest of ``bins`` grid lines a bandwidth, so what is summed over the points is bins, however
-    many values there are. An estimate is off by at most ``0.4 / (8 * bins^2 * h)``, the error of
+    class runs ``cut`` bandwidths beyond its range. Every value has its kernel; equal ones are counted
+    first. With ``bins`` values are shared linearly between the two nearest of so many grid lines a
+    bandwidth instead, and an estimate is off by at most ``0.4 / (8 * bins^2 * h)``, the error of
     interpolating the kernel between two lines. Classes of equal values have no density.
     """
     seen = rows.filter(F.col(value).isNotNull()).select(F.col(label).alias("_l"), F.col(value).cast("double").alias("_v"))
@@ -167,24 +164,29 @@ def density_by_class(
         .filter((F.col("_n") > 1) & (F.col("_sd") > 0))
         .withColumn("_h", F.col("_sd") * F.pow(F.col("_n"), F.lit(-0.2)))
     )
-    place = (F.col("_v") - F.col("_lo")) / (F.col("_h") / bins)
-    near = null_safe_join(seen, widths.drop("_sd", "_n", "_hi"), ["_l"]).withColumn("_place", place).withColumn("_line", F.floor("_place"))
-    right = F.col("_place") - F.col("_line")
-    lines = near.groupBy("_l", "_line").agg(F.sum(1 - right).alias("_a"), F.sum(right).alias("_b"))
+    if bins is None:
+        counted = seen.groupBy("_l", "_v").agg(F.count(F.lit(1)).alias("_a"))
+    else:
+        place = (F.col("_v") - F.col("_lo")) / (F.col("_h") / bins)
+        near = null_safe_join(seen, widths.drop("_sd", "_n", "_hi"), ["_l"]).withColumn("_place", place).withColumn("_line", F.floor("_place"))
+        right = F.col("_place") - F.col("_line")
+        counted = near.groupBy("_l", "_line").agg(F.sum(1 - right).alias("_a"), F.sum(right).alias("_b"))
     start = F.col("_lo") - cut * F.col("_h")
     step = (F.col("_hi") - F.col("_lo") + 2 * cut * F.col("_h")) / (points - 1)
 
-    def kernel(i: Column, line: Column) -> Column:
-        u = (start + step * i - F.col("_lo")) / F.col("_h") - line / bins
+    def kernel(i: Column, away: Column) -> Column:
+        u = (start + step * i - F.col("_lo")) / F.col("_h") - away
         return F.exp(-u * u / 2)
 
-    share = F.transform(
-        F.sequence(F.lit(0), F.lit(points - 1)),
-        lambda i: F.col("_a") * kernel(i, F.col("_line")) + F.col("_b") * kernel(i, F.col("_line") + 1),
-    )
-    held = null_safe_join(lines, widths.drop("_sd"), ["_l"])
+    def share(i: Column) -> Column:
+        if bins is None:
+            return F.col("_a") * kernel(i, (F.col("_v") - F.col("_lo")) / F.col("_h"))
+        return F.col("_a") * kernel(i, F.col("_line") / bins) + F.col("_b") * kernel(i, (F.col("_line") + 1) / bins)
+
+    shares = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), share)
+    held = null_safe_join(counted, widths.drop("_sd"), ["_l"])
     summed = held.groupBy("_l").agg(
-        vector_to_array(Summarizer.sum(array_to_vector(share))).alias("_d"), *[F.first(c).alias(c) for c in ("_n", "_lo", "_hi", "_h")]
+        vector_to_array(Summarizer.sum(array_to_vector(shares))).alias("_d"), *[F.first(c).alias(c) for c in ("_n", "_lo", "_hi", "_h")]
     )
     scale = F.col("_n") * F.col("_h") * F.lit((2 * math.pi) ** 0.5)
     each = summed.select("*", F.posexplode("_d").alias("point_no", "_e"))

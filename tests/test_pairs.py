@@ -79,3 +79,14 @@ def test_euclidean_silhouette_over_several_parts(spark, monkeypatch):
     df = spark.createDataFrame([(v.tolist(), int(c)) for v, c in zip(x, y, strict=True)], "v array<double>, y int").repartition(5)
     got = metrics.silhouette_euclidean(df, "y", "v", block_rows=16).first()
     assert got.n == 150 and got.silhouette == pytest.approx(((far - own) / np.maximum(own, far)).mean(), abs=1e-6)
+
+
+def test_density_is_exact_without_bins(spark):
+    r = np.random.default_rng(8)
+    values = [(0, float(v)) for v in r.normal(3, 2, 300)] + [(1, float(v)) for v in r.integers(0, 9, 200)]
+    found = metrics.density_by_class(spark.createDataFrame(values, "y int, v double"), "y", "v", points=30).collect()
+    assert len(found) == 60
+    for q in found:
+        x = np.array([v for c, v in values if c == q.y])
+        h = x.std(ddof=1) * len(x) ** -0.2
+        assert q.density == pytest.approx(np.exp(-(((q.x - x) / h) ** 2) / 2).sum() / (len(x) * h * (2 * np.pi) ** 0.5), rel=1e-9)
