@@ -31,6 +31,7 @@ LONG_CONTRACTIONS = ("'re", "'ve", "'ll")
 END = "</w>"
 NEVER = 1 << 60
 CACHED = 400_000
+CACHED_PIECES = 100_000
 LONGEST_CACHED = 64
 
 
@@ -87,6 +88,8 @@ class PrefixCounter:
         self.careful = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{odd}]]+|[\p{{N}}--[{odd}]]|[^\s[[\p{{L}}\p{{N}}]--[{odd}]]]+")
         self.totals: dict[str, int] = {}
         self.units: dict[str, int] = {}
+        self.words: dict[str, list[int]] = {}
+        self.pieces: dict[str, np.ndarray] = {}
 
     def _may_follow(self, left: int, right: int, limit: int = NEVER) -> bool:
         """Whether both stay when they meet: no pair across the border merges before its members go into their own tokens.
@@ -153,10 +156,19 @@ class PrefixCounter:
         """The count of each prefix of a word, from one character on."""
         if word in LONG_CONTRACTIONS:  # cut short, these are an apostrophe and a letter
             return [self.word("'"), self.word("'") + self.word(word[1]), self.word(word)]
+        known = self.words.get(word)
+        if known is not None:
+            return known
         raw = word.encode()
         last, count = self._inner(raw)
-        ends = [i for i in range(1, len(raw) + 1) if i == len(raw) or raw[i] & 0xC0 != 0x80]
-        return [self._ended(raw, i, last, count) for i in ends]
+        ends = range(1, len(raw) + 1) if len(raw) == len(word) else [i for i in range(1, len(raw) + 1) if i == len(raw) or raw[i] & 0xC0 != 0x80]
+        counts = [self._ended(raw, i, last, count) for i in ends]
+        if len(word) <= LONGEST_CACHED:
+            for kept, most, value in ((self.words, CACHED_PIECES, counts), (self.totals, CACHED, counts[-1])):
+                if len(kept) > most:
+                    kept.clear()
+                kept[word] = value
+        return counts
 
     def _words(self, plain: str) -> list[str]:
         careful = not plain.isascii() and self.odd.search(plain)
@@ -196,27 +208,40 @@ class PrefixCounter:
 
     def prefixes(self, text: str) -> tuple[str, np.ndarray]:
         """The normalized text, and at i the exact count of its first i characters."""
-        normal, counts, base = [], [0], 0
+        normal, counts, base = [], [_ZERO], 0
         parts = self.cut.split(text)
         for k in range(0, len(parts), 2):
             plain = self._normal(parts[k])
             special = parts[k + 1] if k + 1 < len(parts) else ""
             # Cut inside a special string, the rest of it is ordinary text next to what stands before.
             own = self._running(plain + special.lower())
-            counts += [base + n for n in own[1 : len(plain) + len(special) + (not special)]]
+            counts.append(base + own[1 : len(plain) + len(special) + (not special)])
             if special:
-                base += own[len(plain)] + 1
-                counts.append(base)
+                base += int(own[len(plain)]) + 1
+                counts.append(np.array([base], dtype=np.int32))
             normal += [plain, special]
-        return "".join(normal), np.array(counts, dtype=np.int32)
+        return "".join(normal), np.concatenate(counts).astype(np.int32, copy=False)
+
+    def _running(self, plain: str) -> np.ndarray:
+        """The counts of a normalized text, put together from those between its spaces: no token reaches over one."""
+        pieces = [self._piece(p) for p in plain.split(" ")]
+        totals = np.cumsum([0, *(int(p[-1]) for p in pieces[:-1])], dtype=np.int32)
+        return np.concatenate(pieces) + np.repeat(totals, [len(p) for p in pieces])
 
-    def _running(self, plain: str) -> list[int]:
-        out, total, at = [0], 0, 0
-        for m in (self.careful if self.odd.search(plain) else WORD).finditer(plain):
-            out += [total] * (m.start() - at)
-            out += [total + n for n in self.word_prefixes(m[0])]
-            total, at = out[-1], m.end()
-        return out + [total] * (len(plain) - at)
+    def _piece(self, piece: str) -> np.ndarray:
+        found = self.pieces.get(piece)
+        if found is None:
+            out, total, at = [0], 0, 0
+            for m in (self.careful if self.odd.search(piece) else WORD).finditer(piece):
+                out += [total] * (m.start() - at)
+                out += [total + n for n in self.word_prefixes(m[0])]
+                total, at = out[-1], m.end()
+            found = np.array(out + [total] * (len(piece) - at), dtype=np.int32)
+            if len(piece) <= LONGEST_CACHED:
+                if len(self.pieces) > CACHED_PIECES:
+                    self.pieces.clear()
+                self.pieces[piece] = found
+        return found
 
 
 _ZERO = np.zeros(1, dtype=np.int32)
@@ -249,6 +274,30 @@ def token_counts(docs: DataFrame, tokenizer: str, text_col: str = "text") -> Dat
     return docs.mapInArrow(without_collector(run), extended(docs, "n_bytes long, n_tokens long"))
 
 
+def all_prefixes(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
+    """Every row and column of ``docs`` with ``n_bytes``, ``unit_tokens`` as from ``unit_prefixes`` and ``prefix_tokens`` as from
+    ``prefix_counts``, each text read once. Columns of these names are replaced."""
+    docs = docs.drop("n_bytes", "unit_tokens", "prefix_tokens")
+
+    def run(batches):
+        own = counter(tokenizer)
+        for batch in batches:
+            for at, texts in text_batches(batch, text_col, 1 << 20):
+                found = [own.prefixes(t)[1] for t in texts]
+                units = [np.cumsum([0, *own.unit_counts(t)], dtype=np.int32) for t in texts]
+                lists = [
+                    pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, c)]), pa.int32()), pa.array(np.concatenate(c), pa.int32()))
+                    for c in (units, found)
+                ]
+                sizes = pa.array([len(t.encode()) for t in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.slice(at, len(texts)).columns, sizes, *lists],
+                    names=[*batch.schema.names, "n_bytes", "unit_tokens", "prefix_tokens"],
+                )
+
+    return docs.mapInArrow(without_collector(run), extended(docs, "n_bytes long, unit_tokens array<int>, prefix_tokens array<int>"))
+
+
 def unit_prefixes(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
     """Every row and column of ``docs`` with ``n_bytes`` and ``unit_tokens``: at i the tokens of the text's first i units.
 

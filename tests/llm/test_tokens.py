@@ -84,6 +84,19 @@ def test_every_prefix(own_counter, text):
         assert counts[i] == len(library.encode(normal[:i], add_special_tokens=False).ids)
 
 
+def test_every_prefix_beside_units(make_docs):
+    texts = ["", None, "one  two\nthree-four's <|endoftext|>x", " \u03a3a\x1cb 12 caf\u00e9", "a" * 70 + " b" * 40, "<|end"]
+    docs = make_docs(list(enumerate(texts)))
+    found = {r.doc_id: r for r in prefixes.all_prefixes(docs, WORDS).collect()}
+    units = {r.doc_id: r for r in prefixes.unit_prefixes(docs, WORDS).collect()}
+    single = {r.doc_id: r for r in prefixes.prefix_counts(docs, WORDS).collect()}
+    library = Tokenizer.from_file(WORDS)
+    for i, t in enumerate(texts):
+        assert found[i].n_bytes == len((t or "").encode()) and found[i].unit_tokens == units[i].unit_tokens
+        assert found[i].prefix_tokens == single[i].prefix_tokens and len(found[i].prefix_tokens) == len(single[i].normalized) + 1
+        assert found[i].prefix_tokens[-1] == units[i].unit_tokens[-1] == len(library.encode(t or "", add_special_tokens=False).ids)
+
+
 def test_operators_on_odd_rows(make_docs):
     pairs = [(1, None), (2, ""), (3, "Hello hello"), (3, "Hello hello"), (None, "a" * 200_000), (5, "one two three four")]
     docs = make_docs(pairs, n_tokens="old", token_ids="old", n_bytes="old", decoded="old")
