@@ -3,15 +3,18 @@
 For a word, ``last[i]`` is the last token of the encoding of its first i bytes: the only token t ending there such that t may
 follow ``last[i - len(t)]``, that is, no merge across their border comes before those that built the two. So the count of a
 prefix is the count at the start of its last token plus one, for all prefixes together in time linear in the word. A prefix
-that ends a word takes a token with the end mark as its last one. Words do not affect one another, so the counts of a text
-are running sums, and questions about truncation or budgets are answered from the stored counts.
+that ends a word takes a token with the end mark as its last one. Words that begin alike share those steps in a tree. Words
+do not affect one another, so the counts of a text are running sums, and questions about truncation or budgets are answered
+from the stored counts.
 """
 
 from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from itertools import chain
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +29,15 @@ from sitegauge.llm.common import extended, without_collector, worker_cache
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 LETTERS_AND_NUMBERS = regex.compile(r"[\p{L}\p{N}]")
 SPACE = regex.compile(r"\s+")
+UNEVEN_SPACE = regex.compile(r"[^\S ]\s*| \s+")
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
 LONG_CONTRACTIONS = ("'re", "'ve", "'ll")
 END = "</w>"
 NEVER = 1 << 60
 CACHED = 400_000
-CACHED_PIECES = 100_000
+CACHED_PIECES = 300_000
+CACHED_WORDS = 200_000
+CACHED_BEGINNINGS = 600_000
 LONGEST_CACHED = 64
 
 
@@ -54,6 +60,14 @@ def strangers(tokenizer: Tokenizer, unknown: list[str]) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
 
 
+class Beginnings:
+    """A tree of the beginnings of words: of each the last token, the count without an end mark, and the count with one."""
+
+    def __init__(self):
+        self.after: dict[int, int] = {}
+        self.last, self.count, self.ended, self.tail = [-1], [0], [0], [b""]
+
+
 class PrefixCounter:
     """Counts by a vocabulary of byte-pair merges with word ends, lower case and no white space."""
 
@@ -79,17 +93,20 @@ class PrefixCounter:
                 ends = token.endswith(END) and token != END
                 raw = bytes(as_byte[c] for c in (token[: -len(END)] if ends else token))
                 (self.ending if ends else self.inner)[raw] = i
-        self.most = max(map(len, self.inner)), max(map(len, self.ending))
+        self.starts = {raw[:i] for raw in chain(self.inner, self.ending) for i in range(len(raw) + 1)}
+        self.tails: dict[bytes, tuple] = {}
         library, unknown = Tokenizer.from_file(path), doubtful()
         odd = strangers(library, unknown) or "\\x00"
         lower = library.normalizer.normalize_str
         self.lower = {ord(c): low for c in unknown if (low := lower(c)) != c}
+        self.unlike = {chr(c) for c in self.lower}
         self.odd = regex.compile(f"[{odd}]")
         self.careful = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{odd}]]+|[\p{{N}}--[{odd}]]|[^\s[[\p{{L}}\p{{N}}]--[{odd}]]]+")
         self.totals: dict[str, int] = {}
         self.units: dict[str, int] = {}
-        self.words: dict[str, list[int]] = {}
-        self.pieces: dict[str, np.ndarray] = {}
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.beginnings = Beginnings()
 
     def _may_follow(self, left: int, right: int, limit: int = NEVER) -> bool:
         """Whether both stay when they meet: no pair across the border merges before its members go into their own tokens.
@@ -119,33 +136,65 @@ class PrefixCounter:
             fits = self.fits[key] = self._may_follow(left, right)
         return fits
 
-    def _inner(self, raw: bytes) -> tuple[list[int], list[int]]:
-        """For each proper prefix of a word the last token and the count, without an end mark."""
-        last, count = [-1], [0]
-        tokens, most = self.inner, self.most[0]
-        for i in range(1, len(raw)):
-            for start in range(max(0, i - most), i):
-                token = tokens.get(raw[start:i])
-                if token is not None and (not start or self._fits(last[start], token)):
-                    last.append(token)
-                    count.append(count[start] + 1)
-                    break
-        return last, count
+    def _tail(self, raw: bytes) -> tuple[bytes, list[tuple[int, int]], list[tuple[int, int]]]:
+        """The longest end of ``raw`` that begins a token, and the tokens, without and with an end mark, that end there, longest first."""
+        found = self.tails.get(raw)
+        if found is None:
+            tail = raw
+            while tail not in self.starts:
+                tail = tail[1:]
+            ends = [tail[i:] for i in range(len(tail))]
+            found = tail, *([(len(e), tokens[e]) for e in ends if e in tokens] for tokens in (self.inner, self.ending))
+            if len(self.tails) > CACHED_PIECES:
+                self.tails.clear()
+            self.tails[raw] = found
+        return found
 
-    def _ended(self, raw: bytes, i: int, last: list[int], count: list[int]) -> int:
-        tokens = self.ending
-        for start in range(max(0, i - self.most[1]), i):
-            token = tokens.get(raw[start:i])
-            if token is not None and (not start or self._fits(last[start], token)):
-                return count[start] + 1
-        raise ValueError("a byte has no token")
+    def _step(self, tree: Beginnings, path: list[int], byte: int) -> int:
+        """Adds the beginning that is one byte longer than the last one of ``path``."""
+        tail, inner, ending = self._tail(tree.tail[path[-1]] + bytes((byte,)))
+        last, count, i, fits = tree.last, tree.count, len(path), self.fits.get
+        for size, token in ending:
+            at = path[i - size]
+            if not at or fits((last[at], token)) or self._fits(last[at], token):
+                ended = count[at] + 1
+                break
+        else:
+            raise ValueError("a byte has no token")
+        for size, token in inner:
+            at = path[i - size]
+            if not at or fits((last[at], token)) or self._fits(last[at], token):
+                break
+        else:
+            raise ValueError("a byte has no token")
+        node = tree.after[path[-1] << 8 | byte] = len(last)
+        last.append(token)
+        count.append(count[at] + 1)
+        tree.ended.append(ended)
+        tree.tail.append(tail)
+        return node
+
+    def _path(self, raw: bytes) -> list[int]:
+        """The counts of the first i bytes of a word, for each i."""
+        if len(raw) > LONGEST_CACHED:
+            tree = Beginnings()
+        else:
+            if len(self.beginnings.last) > CACHED_BEGINNINGS:
+                self.beginnings = Beginnings()
+            tree = self.beginnings
+        after, node, path = tree.after, 0, [0]
+        for byte in raw:
+            node = after.get(node << 8 | byte) or self._step(tree, path, byte)
+            path.append(node)
+        ended = tree.ended
+        return [ended[n] for n in path]
 
     def word(self, word: str) -> int:
         """The count of a whole word."""
         found = self.totals.get(word)
         if found is None:
             raw = word.encode()
-            found = 1 if raw in self.ending else self._ended(raw, len(raw), *self._inner(raw))
+            found = 1 if raw in self.ending else self._path(raw)[-1]
             if len(word) <= LONGEST_CACHED:
                 if len(self.totals) > CACHED:
                     self.totals.clear()
@@ -156,19 +205,23 @@ class PrefixCounter:
         """The count of each prefix of a word, from one character on."""
         if word in LONG_CONTRACTIONS:  # cut short, these are an apostrophe and a letter
             return [self.word("'"), self.word("'") + self.word(word[1]), self.word(word)]
-        known = self.words.get(word)
-        if known is not None:
-            return known
         raw = word.encode()
-        last, count = self._inner(raw)
-        ends = range(1, len(raw) + 1) if len(raw) == len(word) else [i for i in range(1, len(raw) + 1) if i == len(raw) or raw[i] & 0xC0 != 0x80]
-        counts = [self._ended(raw, i, last, count) for i in ends]
-        if len(word) <= LONGEST_CACHED:
-            for kept, most, value in ((self.words, CACHED_PIECES, counts), (self.totals, CACHED, counts[-1])):
-                if len(kept) > most:
-                    kept.clear()
-                kept[word] = value
-        return counts
+        counts = self._path(raw)
+        if len(raw) == len(word):
+            return counts[1:]
+        return [counts[i] for i in range(1, len(raw) + 1) if i == len(raw) or raw[i] & 0xC0 != 0x80]
+
+    def _word_steps(self, word: str) -> bytes:
+        """By how much each character of a word changes the count, as 32-bit integers."""
+        found = self.words.get(word)
+        if found is None:
+            counts = self.word_prefixes(word)
+            found = array("i", map(sub, counts, [0, *counts])).tobytes()
+            if len(word) <= LONGEST_CACHED:
+                if len(self.words) > CACHED_WORDS:
+                    self.words.clear()
+                self.words[word] = found
+        return found
 
     def _words(self, plain: str) -> list[str]:
         careful = not plain.isascii() and self.odd.search(plain)
@@ -177,8 +230,9 @@ class PrefixCounter:
     def _normal(self, text: str) -> str:
         """As the vocabulary normalizes: composed, white space runs as one space, lower case letter by letter."""
         if text.isascii():
-            return SPACE.sub(" ", text).lower()
-        return SPACE.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower().translate(self.lower)
+            return UNEVEN_SPACE.sub(" ", text).lower()
+        low = UNEVEN_SPACE.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
+        return low if self.unlike.isdisjoint(low) else low.translate(self.lower)
 
     def count(self, text: str) -> int:
         """Tokens of a whole text."""
@@ -208,6 +262,9 @@ class PrefixCounter:
 
     def prefixes(self, text: str) -> tuple[str, np.ndarray]:
         """The normalized text, and at i the exact count of its first i characters."""
+        if "<|" not in text:
+            plain = self._normal(text)
+            return plain, self._running(plain)
         normal, counts, base = [], [_ZERO], 0
         parts = self.cut.split(text)
         for k in range(0, len(parts), 2):
@@ -224,27 +281,41 @@ class PrefixCounter:
 
     def _running(self, plain: str) -> np.ndarray:
         """The counts of a normalized text, put together from those between its spaces: no token reaches over one."""
-        pieces = [self._piece(p) for p in plain.split(" ")]
-        totals = np.cumsum([0, *(int(p[-1]) for p in pieces[:-1])], dtype=np.int32)
-        return np.concatenate(pieces) + np.repeat(totals, [len(p) for p in pieces])
-
-    def _piece(self, piece: str) -> np.ndarray:
-        found = self.pieces.get(piece)
-        if found is None:
-            out, total, at = [0], 0, 0
-            for m in (self.careful if self.odd.search(piece) else WORD).finditer(piece):
-                out += [total] * (m.start() - at)
-                out += [total + n for n in self.word_prefixes(m[0])]
-                total, at = out[-1], m.end()
-            found = np.array(out + [total] * (len(piece) - at), dtype=np.int32)
-            if len(piece) <= LONGEST_CACHED:
-                if len(self.pieces) > CACHED_PIECES:
-                    self.pieces.clear()
-                self.pieces[piece] = found
+        known, piece = self.pieces.get, self._piece
+        steps = np.frombuffer(_STAY.join([known(p) or piece(p) for p in plain.split(" ")]), np.intc)
+        out = np.zeros(len(steps) + 1, dtype=np.int32)
+        np.cumsum(steps, out=out[1:])
+        return out
+
+    def _piece(self, piece: str) -> bytes:
+        """By how much each character changes the count."""
+        if not piece:
+            return b""
+        out, at = [], 0
+        careful = not piece.isascii() and self.odd.search(piece)
+        for m in (self.careful if careful else WORD).finditer(piece):
+            out += [_STAY * (m.start() - at), self._word_steps(m[0])]
+            at = m.end()
+        found = b"".join([*out, _STAY * (len(piece) - at)])
+        if len(piece) <= LONGEST_CACHED:
+            if len(self.pieces) > CACHED_PIECES:
+                self.pieces.clear()
+            self.pieces[piece] = found
         return found
 
+    def both(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The counts of every prefix as from ``prefixes``, and those at the ends of units, as from ``unit_counts``, added up."""
+        normal, counts = self.prefixes(text)
+        if "<|" in text:
+            return counts, np.cumsum([0, *self.unit_counts(text)], dtype=np.int32)
+        there = np.frombuffer(normal.encode("utf-32-le"), "<u4") != ord(" ")
+        ends = there.copy()
+        ends[:-1] &= ~there[1:]
+        return counts, np.concatenate([_ZERO, counts[1:][ends]])
+
 
 _ZERO = np.zeros(1, dtype=np.int32)
+_STAY = np.zeros(1, dtype=np.intc).tobytes()
 
 
 def counter(path: str) -> PrefixCounter:
@@ -283,8 +354,7 @@ def all_prefixes(docs: DataFrame, tokenizer: str, text_col: str = "text") -> Dat
         own = counter(tokenizer)
         for batch in batches:
             for at, texts in text_batches(batch, text_col, 1 << 20):
-                found = [own.prefixes(t)[1] for t in texts]
-                units = [np.cumsum([0, *own.unit_counts(t)], dtype=np.int32) for t in texts]
+                found, units = zip(*map(own.both, texts), strict=True)
                 lists = [
                     pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, c)]), pa.int32()), pa.array(np.concatenate(c), pa.int32()))
                     for c in (units, found)

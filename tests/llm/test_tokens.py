@@ -97,6 +97,23 @@ def test_every_prefix_beside_units(make_docs):
         assert found[i].prefix_tokens[-1] == units[i].unit_tokens[-1] == len(library.encode(t or "", add_special_tokens=False).ids)
 
 
+@given(texts)
+@settings(max_examples=60, deadline=None)
+def test_prefixes_and_units_from_one_reading(own_counter, text):
+    counts, units = own_counter[0].both(text)
+    assert counts.tolist() == own_counter[0].prefixes(text)[1].tolist()
+    assert units.tolist() == np.cumsum([0, *own_counter[0].unit_counts(text)]).tolist()
+
+
+def test_words_that_begin_alike_share_their_steps():
+    counter, library = prefixes.PrefixCounter(WORDS), Tokenizer.from_file(WORDS)
+    for word, steps in (("onorresh", 8), ("onorreshth", 10), ("onorthe", 13), ("onorre", 13)):
+        assert counter.word_prefixes(word) == [len(library.encode(word[:i], add_special_tokens=False).ids) for i in range(1, len(word) + 1)]
+        assert len(counter.beginnings.last) == 1 + steps
+    counter.word_prefixes("ab" * 40)
+    assert len(counter.beginnings.last) == 14
+
+
 def test_operators_on_odd_rows(make_docs):
     pairs = [(1, None), (2, ""), (3, "Hello hello"), (3, "Hello hello"), (None, "a" * 200_000), (5, "one two three four")]
     docs = make_docs(pairs, n_tokens="old", token_ids="old", n_bytes="old", decoded="old")
