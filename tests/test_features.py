@@ -13,7 +13,10 @@ from sitegauge.functions.rules import (
     NUMBER_RULES,
     UNIQUE_RULES,
     CountRule,
+    NumberRule,
+    UniqueRule,
 )
+from sitegauge.operators import features
 from sitegauge.operators.features import count_matches, structural_features
 
 SCHEMA = "company string, category string, seq long, text string"
@@ -145,3 +148,22 @@ def test_no_python_in_the_plan_and_one_scan(spark, tmp_path):
     assert "Python" not in plan and "Pandas" not in plan
     # The text is read once; the other scans read keys and positions.
     assert len(re.findall(r"ReadSchema: struct<[^>]*\btext:", plan)) == 1
+
+
+def test_patterns_searched_by_arrow_find_what_sparks_find(spark):
+    texts = [None, "", "the cat", "the\nthe 12", "海外 34 the", "a\x85the\x0b5", "thethe\u3000 7 😀 the"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "at long, text string")
+    rule = NumberRule("n", "(?:the|海外)", r"[\s\x0B\x85\p{Z}]", 10, "[0-9]+", "")
+    found = features._searched(frame, "text", {"many": "the|海外"}, {"stretch": features._stretch(rule)})
+    spark_finds = F.coalesce(features._anchored(F.col("text"), rule), F.lit(""))
+    rows = found.select("*", F.regexp_count("text", F.lit("the|海外")).alias("n"), spark_finds.alias("s")).collect()
+    assert [(r.many, r.stretch) for r in rows] == [(r.n, r.s) for r in rows] and any(r.stretch for r in rows)
+    kept = (r"\bthe", "a.b", "^a", "[a-z&&[^b]]", "(a)", "a++", r"\s", "(?i)a", "a(?=b)", "a{2000}")
+    assert not any(map(features._alike, kept)) and all(map(features._alike, (r"No\.1|a", "[^\n]{1,2}", r"\p{L}x")))
+
+
+def test_terms_of_a_block_are_told_apart_by_hash(spark):
+    terms = features._distinct_terms(F.col("text"), 3, UniqueRule("u", "[a-z]+"))
+    frame = spark.createDataFrame([("b a b 3",)], "text string").select(terms.alias("terms"))
+    assert frame.schema["terms"].dataType.simpleString() == "array<string>"
+    assert frame.first().terms == ["3 b", "3 a"]
