@@ -20,8 +20,9 @@ from . import pairs as P
 from .ranking import first_k
 
 BLOCK_POINTS = 2_000
-# Rows of a leaf: of queries and of points in few dimensions, of points in many, where boxes prune little.
-_LEAF, _LONG_LEAF, _FEW = 256, 1_024, 8
+# Rows of a leaf, of queries and of points: in few dimensions, and in many, where boxes prune little. A part has a share of
+# the queries but all points, so a leaf of queries lies over many leaves of points.
+_ASKED_LEAF, _LEAF, _LONG_LEAF, _FEW = 64, 256, 1_024, 8
 _SLACK = 1e-7
 _ROUND = 1e-6
 
@@ -55,6 +56,12 @@ def _leaves(x: np.ndarray, size: int) -> list[np.ndarray]:
     return out
 
 
+def _leaf_rows(size: int, block_points: int) -> tuple[int, int]:
+    """Most rows of a leaf of queries and of points, for vectors of ``size`` numbers."""
+    asked, held = (_ASKED_LEAF, _LEAF) if size <= _FEW else (_LEAF, _LONG_LEAF)
+    return min(block_points, asked), min(block_points, held)
+
+
 class _Points:
     """The points of a part, leaf by leaf."""
 
@@ -112,8 +119,7 @@ def nearest(
     some = first_k(points.select("id", vec.alias("vec"), F.col("grp").cast("int").alias("grp")), ["vec", "grp"], ["id"], k + 1)
     held, n, size = _points(some.select("id", "vec", "grp"), "points")
     asked = queries.select("id", vec.alias("vec"), F.col("grp").cast("int").alias("grp"))
-    folds, leaf = n_groups > 1, min(block_points, _LEAF)
-    long_leaf = leaf if size <= _FEW else min(block_points, _LONG_LEAF)
+    folds, (leaf, long_leaf) = n_groups > 1, _leaf_rows(size, block_points)
 
     def best(ids: np.ndarray, x: np.ndarray, grp: np.ndarray, there: _Points, other: np.ndarray, their: np.ndarray):
         """For a leaf of queries: row, neighbour and distance of the nearest."""
@@ -170,19 +176,22 @@ def neighbour_ranks(pairs: DataFrame, points: DataFrame, block_points: int = BLO
     vec, neighbour_vec = A.doubles(F.col("vec")), A.doubles(F.col("neighbour_vec"))
     distinct = points.groupBy(vec.alias("vec")).agg(F.count(F.lit(1)).alias("weight"))
     held, n, size = _points(distinct, "points")
-    leaf = min(block_points, _LEAF)
-    long_leaf = leaf if size <= _FEW else min(block_points, _LONG_LEAF)
+    leaf, long_leaf = _leaf_rows(size, block_points)
 
     def distances(batches):
         for batch in batches:
             far = _exact(_matrix(batch["vec"]), _matrix(batch["neighbour_vec"])) if batch.num_rows else np.empty(0)
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["vec"], batch["neighbour"], pa.array(far)], names=["id", "vec", "neighbour", "far"])
+            columns = [batch["id"], batch["vec"], batch["neighbour"], pa.array(far), batch["own"]]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "vec", "neighbour", "far", "own"])
 
-    apart = pairs.select("id", vec.alias("vec"), "neighbour", neighbour_vec.alias("neighbour_vec")).mapInArrow(
-        distances, "id long, vec array<double>, neighbour long, far double"
+    own = (A.squared_distance(vec, neighbour_vec) > 0).cast("int").alias("own")
+    apart = pairs.select("id", vec.alias("vec"), "neighbour", neighbour_vec.alias("neighbour_vec"), own).mapInArrow(
+        distances, "id long, vec array<double>, neighbour long, far double, own int"
     )
-    listed = apart.groupBy("id", "vec").agg(F.sort_array(F.collect_list(F.struct("neighbour", "far"))).alias("p"))
-    asked = cut_lineage(listed.select("id", "vec", F.col("p.neighbour").alias("neighbour"), F.col("p.far").alias("far")), "asked")
+    listed = apart.groupBy("id", "vec").agg(F.sort_array(F.collect_list(F.struct("neighbour", "far", "own"))).alias("p"))
+    # Written with all that is needed of the pairs, so that whatever finds them runs once.
+    listed = cut_lineage(listed.select("id", "vec", *[F.col(f"p.{c}").alias(c) for c in ("neighbour", "far", "own")]), "asked")
+    asked = listed.drop("own")
 
     def weights_within(x: np.ndarray, far: np.ndarray, there: _Points, weight: np.ndarray, totals: np.ndarray, alone: bool) -> np.ndarray:
         """For a leaf of queries the weight of points closer than each of their distances; a distance below 0 is none."""
@@ -229,8 +238,7 @@ def neighbour_ranks(pairs: DataFrame, points: DataFrame, block_points: int = BLO
     many = P.parts_for(asked.count(), size, block_points)
     counted = P.meet(asked, many, held, P.parts_for(n, size), visit, "id long, neighbour long, closer long")
     total = counted.groupBy("id", "neighbour").agg(F.sum("closer").alias("closer"))
-    apart = A.squared_distance(vec, neighbour_vec) > 0
-    own = pairs.select("id", "neighbour", apart.cast("int").alias("own"))
+    own = listed.select("id", F.explode(F.arrays_zip("neighbour", "own")).alias("p")).select("id", "p.neighbour", "p.own")
     # The point itself is closer than any neighbour at a positive distance.
     return total.join(own, ["id", "neighbour"]).select(
         "id", "neighbour", (F.col("closer") - F.col("own") + 1).alias("rank")

@@ -57,6 +57,23 @@ def test_ranks(spark, block):
         assert got[i, j] == closer + 1
 
 
+def test_ranks_read_their_pairs_once(spark):
+    """The pairs come from a whole neighbour search; it must not run again for the last join."""
+    x = cloud(6, n=60, copies=10)
+    rows = [(i, x[i].tolist(), (i + j) % 60, x[(i + j) % 60].tolist()) for i in range(60) for j in range(1, 6)]
+    pairs = spark.createDataFrame(rows, "id long, vec array<double>, neighbour long, neighbour_vec array<double>")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    found = N.neighbour_ranks(pairs.mapInArrow(counted, pairs.schema), frame(spark, x, np.zeros(60)).select("id", "vec")).collect()
+    assert len(found) == len(rows)
+    assert seen.value == len(rows)
+
+
 def test_trustworthiness_and_votes(spark):
     r = np.random.default_rng(3)
     high = r.normal(size=(80, 4))
