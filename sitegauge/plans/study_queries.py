@@ -131,19 +131,23 @@ def map_study(spark, sf_dir):
     return M.rounded(learn.study(mapped, "id", "label", "vec", "low"), 6, "value")
 
 
-@query("group_study")
-def group_study(spark, sf_dir):
-    """Map metrics per group of document features, labelled by quality."""
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+def _document_features(spark, sf_dir):
+    """Features of the labelled documents, taken before the join, so that no text is shuffled."""
     words = F.size(F.split("text", " "))
-    rows = docs.select(
+    features = table(spark, sf_dir, "documents").select(
         "doc_id",
-        "quality",
         F.log1p("n_chars").alias("chars_log"),
         F.log1p(words).alias("words_log"),
         (F.col("n_chars") / words).alias("word_size"),
         F.log1p(F.regexp_count("text", F.lit("[0-9]"))).alias("digits_log"),
     )
+    return features.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+
+
+@query("group_study")
+def group_study(spark, sf_dir):
+    """Map metrics per group of document features, labelled by quality."""
+    rows = _document_features(spark, sf_dir)
     groups = {"size": ("chars_log", "words_log"), "style": ("word_size", "digits_log"), "missing": ("none",)}
     return M.rounded(learn.group_study(rows, "doc_id", "quality", groups), 6, "value")
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from sitegauge.operators import neighbours as N
+from sitegauge.plans import study_queries
 
 SCHEMA = "id long, vec array<double>, grp int"
 
@@ -104,3 +105,18 @@ def test_empty_input_is_refused(spark):
     empty = spark.createDataFrame([], SCHEMA)
     with pytest.raises(ValueError):
         N.nearest(empty, empty, 3)
+
+
+def test_group_study_joins_features_not_texts(spark, tmp_path):
+    docs = [(1, "a b 12", 6), (1, "a b 12", 6), (2, None, None), (3, "", 0), (4, "x", 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = study_queries._document_features(spark, str(tmp_path))
+    above, below = rows._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)
+    assert "text#" not in above and "text#" in below
+    one = (1, 1, *np.log1p([6, 3]), 2.0, np.log1p(2))
+    want = [one, one, (2, 0, None, None, None, None), (3, 1, 0.0, np.log1p(1), 0.0, 0.0)]
+    got = rows.select("doc_id", "quality", "chars_log", "words_log", "word_size", "digits_log").orderBy("doc_id").collect()
+    for mine, its in zip(got, want, strict=True):
+        assert [x is None for x in mine] == [x is None for x in its]
+        assert [x for x in mine if x is not None] == pytest.approx([x for x in its if x is not None])
