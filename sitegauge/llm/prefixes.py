@@ -3,9 +3,9 @@
 For a word, ``last[i]`` is the last token of the encoding of its first i bytes: the only token t ending there such that t may
 follow ``last[i - len(t)]``, that is, no merge across their border comes before those that built the two. So the count of a
 prefix is the count at the start of its last token plus one, for all prefixes together in time linear in the word. A prefix
-that ends a word takes a token with the end mark as its last one. Words that begin alike share those steps in a tree. Words
-do not affect one another, so the counts of a text are running sums, and questions about truncation or budgets are answered
-from the stored counts.
+that ends a word takes a token with the end mark as its last one. Words that begin alike share those steps: new words of a
+batch are sorted and take them together, byte by byte, few new ones singly in a tree. Words do not affect one another, so the
+counts of a text are running sums, and questions about truncation or budgets are answered from the stored counts.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from array import array
-from itertools import chain
+from itertools import chain, groupby, pairwise
 from operator import sub
 
 import numpy as np
@@ -39,6 +39,10 @@ CACHED_PIECES = 300_000
 CACHED_WORDS = 200_000
 CACHED_BEGINNINGS = 600_000
 LONGEST_CACHED = 64
+FEW_WORDS = 64
+WORDS_TOGETHER = 1 << 14
+PIECES_TOGETHER = 1 << 18
+PAIR_BITS = 21
 
 
 def doubtful() -> list[str]:
@@ -68,6 +72,34 @@ class Beginnings:
         self.last, self.count, self.ended, self.tail = [-1], [0], [0], [b""]
 
 
+class Tails:
+    """The tails of words as numbered states, 0 the empty one: ``after`` of each the one that a byte more leads to.
+
+    ``inner`` and ``ending`` are tokens without and with an end mark, each as the token that a state is itself, the state of
+    the longest token that ends there, and that of the next shorter one.
+    """
+
+    def __init__(self, starts: set[bytes], inner: dict[bytes, int], ending: dict[bytes, int]):
+        ordered = sorted(starts, key=len)
+        number = {raw: k for k, raw in enumerate(ordered)}
+        self.size = np.array(list(map(len, ordered)))
+        self.after = np.zeros((len(ordered), 256), np.int32)
+        above = np.array([number[raw[:-1]] for raw in ordered])
+        byte = np.array([0, *(raw[-1] for raw in ordered[1:])])
+        shorter = np.zeros(len(ordered), int)
+        tokens = [np.array([kind.get(raw, -1) for raw in ordered]) for kind in (inner, ending)]
+        longest = [np.zeros(len(ordered), int) for _ in tokens]
+        for size in range(1, len(ordered[-1]) + 1):
+            own = np.flatnonzero(self.size == size)
+            if size > 1:
+                shorter[own] = self.after[shorter[above[own]], byte[own]]
+            self.after[above[own], byte[own]] = own
+            self.after[own] = self.after[shorter[own]]
+            for token, to in zip(tokens, longest, strict=True):
+                to[own] = np.where(token[own] >= 0, own, to[shorter[own]])
+        self.inner, self.ending = ((token, to, to[shorter]) for token, to in zip(tokens, longest, strict=True))
+
+
 class PrefixCounter:
     """Counts by a vocabulary of byte-pair merges with word ends, lower case and no white space."""
 
@@ -95,12 +127,16 @@ class PrefixCounter:
                 (self.ending if ends else self.inner)[raw] = i
         self.starts = {raw[:i] for raw in chain(self.inner, self.ending) for i in range(len(raw) + 1)}
         self.tails: dict[bytes, tuple] = {}
+        self.states = Tails(self.starts, self.inner, self.ending)
+        self.pairs = np.full(1 << PAIR_BITS, -1)
         library, unknown = Tokenizer.from_file(path), doubtful()
         odd = strangers(library, unknown) or "\\x00"
         lower = library.normalizer.normalize_str
         self.lower = {ord(c): low for c in unknown if (low := lower(c)) != c}
         self.unlike = {chr(c) for c in self.lower}
         self.odd = regex.compile(f"[{odd}]")
+        self.is_odd = np.zeros(0x110000, bool)
+        self.is_odd[list(map(ord, self.odd.findall("".join(unknown))))] = True
         self.careful = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{odd}]]+|[\p{{N}}--[{odd}]]|[^\s[[\p{{L}}\p{{N}}]--[{odd}]]]+")
         self.totals: dict[str, int] = {}
         self.units: dict[str, int] = {}
@@ -189,6 +225,75 @@ class PrefixCounter:
         ended = tree.ended
         return [ended[n] for n in path]
 
+    def _all_fit(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``_fits`` for many pairs. Each pair known has one place in a table, where another may take its turn."""
+        key = left << 20 | right
+        place = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)).view(np.int64)
+        known = self.pairs[place]
+        fit = known & 1 == 1
+        miss = np.flatnonzero(known >> 1 != key)
+        if len(miss):
+            new, at, back = np.unique(key[miss], return_index=True, return_inverse=True)
+            found = np.array([self._fits(k >> 20, k & 0xFFFFF) for k in new.tolist()])
+            self.pairs[place[miss[at]]] = new << 1 | found
+            fit[miss] = found[back]
+        return fit
+
+    def _together(self, words: list[str]) -> np.ndarray:
+        """By how much each character of sorted, distinct words changes the count, word after word.
+
+        The nodes of a level are the beginnings of one length; words that share them follow one another.
+        """
+        raw = np.frombuffer("\n".join([*words, ""]).encode(), np.uint8)
+        ends = np.flatnonzero(raw == ord("\n"))
+        sizes = np.diff(ends, prepend=-1) - 1
+        n, most = len(words), int(sizes.max())
+        owner = np.repeat(np.arange(n), sizes)
+        raw = raw[raw != ord("\n")]
+        place = np.arange(len(raw)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        table = np.zeros((most, n), np.uint8)
+        table[place, owner] = raw
+        nodes = np.zeros((most + 1, n), np.int32)
+        last, count, ended = (np.zeros(len(raw) + 1, int) for _ in range(3))
+        states, alike, made = np.zeros(1, int), np.ones(n, bool), 1
+        alike[0], first = False, 0
+        for size in range(1, most + 1):
+            there, byte = sizes >= size, table[size - 1]
+            alike[1:] &= there[:-1] & (byte[1:] == byte[:-1])
+            new = there & ~alike
+            word = np.flatnonzero(new)
+            states = self.states.after[states[nodes[size - 1, word] - first], byte[word]]
+            first, made = made, made + len(word)
+            nodes[size] = np.cumsum(new) + (first - 1)
+            here = slice(first, made)
+            ended[here] = count[self._last(self.states.ending, states, nodes, size, word, last)[0]] + 1
+            before, last[here] = self._last(self.states.inner, states, nodes, size, word, last)
+            count[here] = count[before] + 1
+        counts = ended[nodes[place + 1, owner]]
+        whole = np.append(raw[1:] & 0xC0 != 0x80, True)  # a word's next byte begins a character, as does the next word's
+        counts = counts[whole]
+        steps = np.diff(counts, prepend=0)
+        lengths = np.fromiter(map(len, words), int, n)
+        begins = np.cumsum(lengths) - lengths
+        steps[begins] = counts[begins]
+        return steps.astype(np.intc)
+
+    def _last(self, kind: tuple, states: np.ndarray, nodes: np.ndarray, size: int, word: np.ndarray, last: np.ndarray):
+        """Of the beginnings of one size, each with a word that has it: the node where the last token starts, and that token."""
+        tokens, longest, shorter = kind
+        before, found = np.zeros(len(word), int), np.zeros(len(word), int)
+        left, tail = np.arange(len(word)), longest[states]
+        while len(left):
+            if not tail.all():
+                raise ValueError("a byte has no token")
+            at, token = nodes[size - self.states.size[tail], word[left]], tokens[tail]
+            fit = at == 0
+            met = np.flatnonzero(~fit)
+            fit[met] = self._all_fit(last[at[met]], token[met])
+            before[left[fit]], found[left[fit]] = at[fit], token[fit]
+            left, tail = left[~fit], shorter[tail[~fit]]
+        return before, found
+
     def word(self, word: str) -> int:
         """The count of a whole word."""
         found = self.totals.get(word)
@@ -229,11 +334,21 @@ class PrefixCounter:
 
     def _normal(self, text: str) -> str:
         """As the vocabulary normalizes: composed, white space runs as one space, lower case letter by letter."""
+        return self._lower(UNEVEN_SPACE.sub(" ", text if text.isascii() else unicodedata.normalize("NFC", text)))
+
+    def _lower(self, text: str) -> str:
         if text.isascii():
-            return UNEVEN_SPACE.sub(" ", text).lower()
-        low = UNEVEN_SPACE.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
+            return text.lower()
+        low = text.replace("Σ", "σ").lower()
         return low if self.unlike.isdisjoint(low) else low.translate(self.lower)
 
+    def _between_spaces(self, text: str) -> list[str]:
+        """The normalized text, split at its spaces."""
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space for Python only
+            return self._normal(text).split(" ")
+        low = self._lower(text if text.isascii() else unicodedata.normalize("NFC", text))
+        return [*([""] if low[:1].isspace() else []), *low.split(), *([""] if low[-1:].isspace() or not low else [])]
+
     def count(self, text: str) -> int:
         """Tokens of a whole text."""
         return sum(self.unit_counts(text))
@@ -264,14 +379,14 @@ class PrefixCounter:
         """The normalized text, and at i the exact count of its first i characters."""
         if "<|" not in text:
             plain = self._normal(text)
-            return plain, self._running(plain)
+            return plain, self._running(plain.split(" "))
         normal, counts, base = [], [_ZERO], 0
         parts = self.cut.split(text)
         for k in range(0, len(parts), 2):
             plain = self._normal(parts[k])
             special = parts[k + 1] if k + 1 < len(parts) else ""
             # Cut inside a special string, the rest of it is ordinary text next to what stands before.
-            own = self._running(plain + special.lower())
+            own = self._running((plain + special.lower()).split(" "))
             counts.append(base + own[1 : len(plain) + len(special) + (not special)])
             if special:
                 base += int(own[len(plain)]) + 1
@@ -279,14 +394,56 @@ class PrefixCounter:
             normal += [plain, special]
         return "".join(normal), np.concatenate(counts).astype(np.int32, copy=False)
 
-    def _running(self, plain: str) -> np.ndarray:
+    def _running(self, pieces: list[str]) -> np.ndarray:
         """The counts of a normalized text, put together from those between its spaces: no token reaches over one."""
-        known, piece = self.pieces.get, self._piece
-        steps = np.frombuffer(_STAY.join([known(p) or piece(p) for p in plain.split(" ")]), np.intc)
+        parts = []
+        for at in range(0, len(pieces), PIECES_TOGETHER):
+            parts += self._pieces(pieces[at : at + PIECES_TOGETHER])
+        steps = np.frombuffer(_STAY.join(parts), np.intc)
         out = np.zeros(len(steps) + 1, dtype=np.int32)
         np.cumsum(steps, out=out[1:])
         return out
 
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """``_piece`` of each, new words taken together if they are many."""
+        found = list(map(self.pieces.get, pieces))
+        missing = [i for i, steps in enumerate(found) if steps is None]
+        if not missing:
+            return found
+        new = {pieces[i] for i in missing}
+        made = self._new_pieces([p for p in new if 0 < len(p) <= LONGEST_CACHED]) if len(new) > FEW_WORDS else {}
+        known, piece = made.get, self._piece
+        for i in missing:
+            p = pieces[i]
+            found[i] = known(p) or piece(p)
+        return found
+
+    def _new_pieces(self, new: list[str]) -> dict[str, bytes]:
+        """``_piece`` of those that take no careful pattern, and no cut between words: their new words step together."""
+        joined = " ".join(new)
+        if not joined.isascii() and self.is_odd[np.frombuffer(joined.encode("utf-32-le"), "<u4")].any():
+            new = [p for p in new if not self.odd.search(p)]
+            joined = " ".join(new)
+        words = WORD.findall(joined)
+        steps = {w: self.words.get(w) for w in words}
+        steps |= {w: self._word_steps(w) for w in LONG_CONTRACTIONS if w in steps}
+        fresh = sorted(w for w, known in steps.items() if known is None)
+        if len(self.words) + len(fresh) > CACHED_WORDS:
+            self.words.clear()
+        for at in range(0, len(fresh), WORDS_TOGETHER):
+            some = fresh[at : at + WORDS_TOGETHER]
+            made = dict(zip(some, _cut(self._together(some).tobytes(), some), strict=True))
+            steps.update(made)
+            self.words.update(made)
+        flat = b"".join(map(steps.__getitem__, words))
+        if len(flat) != len(_STAY) * (len(joined) - joined.count(" ")):
+            return {}
+        made = dict(zip(new, _cut(flat, new), strict=True))
+        if len(self.pieces) + len(made) > CACHED_PIECES:
+            self.pieces.clear()
+        self.pieces.update(made)
+        return made
+
     def _piece(self, piece: str) -> bytes:
         """By how much each character changes the count."""
         if not piece:
@@ -305,13 +462,44 @@ class PrefixCounter:
 
     def both(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The counts of every prefix as from ``prefixes``, and those at the ends of units, as from ``unit_counts``, added up."""
-        normal, counts = self.prefixes(text)
         if "<|" in text:
-            return counts, np.cumsum([0, *self.unit_counts(text)], dtype=np.int32)
-        there = np.frombuffer(normal.encode("utf-32-le"), "<u4") != ord(" ")
-        ends = there.copy()
-        ends[:-1] &= ~there[1:]
-        return counts, np.concatenate([_ZERO, counts[1:][ends]])
+            return self.prefixes(text)[1], np.cumsum([0, *self.unit_counts(text)], dtype=np.int32)
+        counts, _, units, _ = self._plain_batch([text])
+        return counts, units
+
+    def _plain_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Both counts of texts without special strings, text after text, each with how many a text has.
+
+        The texts are counted as one with a space between them, so the place of that space is the start of the next text.
+        """
+        pieces = list(map(self._between_spaces, texts))
+        flat = list(chain.from_iterable(pieces))
+        lengths = np.fromiter(map(len, flat), int, len(flat))
+        ends = np.cumsum(lengths + 1)
+        sizes = np.diff(ends[np.cumsum(list(map(len, pieces))) - 1], prepend=0)
+        starts = np.cumsum(sizes) - sizes
+        running = self._running(flat)
+        marked = np.zeros(len(running), bool)
+        marked[ends[lengths > 0] - 1] = True
+        marked[starts] = True
+        counts = running - np.repeat(running[starts], sizes)
+        return counts, sizes, counts[marked], np.add.reduceat(marked, starts, dtype=int)
+
+    def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What ``both`` gives for each, text after text: the counts of prefixes, how many each text has, those of units, how many."""
+        parts = []
+        for special, some in groupby(texts, lambda t: "<|" in t):
+            if special:
+                parts += [(c, [len(c)], u, [len(u)]) for c, u in map(self.both, some)]
+            else:
+                parts.append(self._plain_batch(list(some)))
+        return tuple(map(np.concatenate, zip(*parts, strict=True)))
+
+
+def _cut(steps: bytes, words: list[str]) -> list[bytes]:
+    """The steps of each word out of those of all."""
+    ends = np.cumsum(list(map(len, words))) * len(_STAY)
+    return [steps[a:b] for a, b in pairwise([0, *ends.tolist()])]
 
 
 _ZERO = np.zeros(1, dtype=np.int32)
@@ -354,10 +542,10 @@ def all_prefixes(docs: DataFrame, tokenizer: str, text_col: str = "text") -> Dat
         own = counter(tokenizer)
         for batch in batches:
             for at, texts in text_batches(batch, text_col, 1 << 20):
-                found, units = zip(*map(own.both, texts), strict=True)
+                found, n_found, units, n_units = own.batch(texts)
                 lists = [
-                    pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, c)]), pa.int32()), pa.array(np.concatenate(c), pa.int32()))
-                    for c in (units, found)
+                    pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(counts, pa.int32()))
+                    for counts, sizes in ((units, n_units), (found, n_found))
                 ]
                 sizes = pa.array([len(t.encode()) for t in texts], pa.int64())
                 yield pa.RecordBatch.from_arrays(

@@ -114,6 +114,46 @@ def test_words_that_begin_alike_share_their_steps():
     assert len(counter.beginnings.last) == 14
 
 
+def test_many_new_words_step_together():
+    """No byte of them is stepped singly, and every prefix has the library's count."""
+    counter, library, rng = prefixes.PrefixCounter(WORDS), Tokenizer.from_file(WORDS), random.Random(5)
+    parts = ["on", "or", "re", "sh", "the", "ing", "é", "ß", "東", "1", "!?", "\x00", "z"]
+    words = sorted({"".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(250)} | {"a" * 64, "東" * 64, "on", "onor", "onorre"})
+    counts, sizes, units, n_units = counter.batch([" ".join(words), ""])
+    assert len(counter.beginnings.last) == 1 and sizes.tolist() == [len(" ".join(words)) + 1, 1] and n_units.tolist() == [len(words) + 1, 1]
+    at = base = 0
+    for word in words:
+        assert [n - base for n in counts[at + 1 : at + len(word) + 1]] == [
+            len(library.encode(word[:i], add_special_tokens=False).ids) for i in range(1, len(word) + 1)
+        ]
+        at, base = at + len(word) + 1, counts[at + len(word)]
+    assert units.tolist() == [0, *np.cumsum([counter.count(w) for w in words]), 0]
+
+
+@given(st.lists(st.one_of(texts, st.text(max_size=40)), max_size=6))
+@settings(max_examples=150, deadline=None)
+def test_batches_give_what_single_texts_give(own_counter, some):
+    counter, few = own_counter[0], prefixes.FEW_WORDS
+    want = [(counter.prefixes(t)[1], np.cumsum([0, *counter.unit_counts(t)])) for t in some]
+    counter.pieces.clear()
+    counter.words.clear()
+    prefixes.FEW_WORDS = 0
+    try:
+        counts, sizes, units, n_units = counter.batch(some) if some else [np.zeros(0)] * 4
+    finally:
+        prefixes.FEW_WORDS = few
+    assert counts.tolist() == [int(n) for c, _ in want for n in c] and sizes.tolist() == [len(c) for c, _ in want]
+    assert units.tolist() == [int(n) for _, u in want for n in u] and n_units.tolist() == [len(u) for _, u in want]
+
+
+def test_pairs_that_share_a_place(monkeypatch):
+    monkeypatch.setattr(prefixes, "PAIR_BITS", 2)
+    counter, rng = prefixes.PrefixCounter(WORDS), random.Random(6)
+    words = sorted({"".join(rng.choice("aetinohsé") for _ in range(rng.randint(1, 20))) for _ in range(300)})
+    want = [n for w in words for n in np.diff(counter.word_prefixes(w), prepend=0).tolist()]
+    assert counter._together(words).tolist() == want and counter._together(words).tolist() == want
+
+
 def test_operators_on_odd_rows(make_docs):
     pairs = [(1, None), (2, ""), (3, "Hello hello"), (3, "Hello hello"), (None, "a" * 200_000), (5, "one two three four")]
     docs = make_docs(pairs, n_tokens="old", token_ids="old", n_bytes="old", decoded="old")
